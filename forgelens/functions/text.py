@@ -17,22 +17,64 @@ def ignore_case(pattern: str) -> str:
 
 
 def found(column: Column, pattern: str) -> Column:
-    """Case-insensitive search anywhere in a string."""
+    """Case-insensitive pattern search anywhere in a string."""
     return column.rlike(ignore_case(pattern))
 
 
-def any_found(array: Column, pattern: str) -> Column:
-    """Case-insensitive search in any element of a string array."""
-    return F.exists(array, lambda item: found(item, pattern))
+def folded(column: Column) -> Column:
+    """Lower-case text for term searches.
 
+    Four non-ASCII letters also match an ASCII letter when case is ignored; the mapping of those is skipped for
+    text that is all ASCII.
+    """
+    mapped = F.lower(F.translate(column, "\u0130\u0131\u017f\u212a", "iisk"))
+    return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(mapped)
 
-def only_found(array: Column, pattern: str) -> Column:
-    return F.filter(array, lambda item: found(item, pattern))
 
+def spellings(term: str) -> list[str]:
+    """Literal spellings of a term; ``~`` is an optional separator."""
+    forms = [""]
+    for i, part in enumerate(term.split("~")):
+        forms = [form + (separator if i else "") + part for form in forms for separator in ("", "-", "_", " ")]
+    return list(dict.fromkeys(forms))
 
-def any_term(pattern_terms) -> str:
-    """Alternation of literal terms (none of ours has a regex metacharacter but the dot and slash)."""
-    return "|".join(term.replace(".", r"\.") for term in pattern_terms)
+
+def mentions(text: str, terms) -> Column:
+    """Whether a folded text column contains any of the terms.
+
+    Plain substring tests: generated code, and a fraction of the cost of a case-insensitive alternation.  Terms
+    that contain another term are implied by it and left out.  The text has to be a column, not an expression,
+    so that it is folded once per row and not once per term.
+    """
+    words = [word for term in terms for word in spellings(term)]
+    needed = [word for word in dict.fromkeys(words) if not any(other != word and other in word for other in words)]
+    return F.expr(" OR ".join(f"contains({text}, {quoted(word)})" for word in needed))
+
+
+def quoted(word: str) -> str:
+    """SQL string literal."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(words) -> Column:
+    """Constant string array, parsed in one call."""
+    return F.expr(f"array({', '.join(map(quoted, words))})" if words else "cast(array() AS array<string>)")
+
+
+def pattern_of(terms) -> str:
+    """The same terms as a bare alternation, for extracting what matched."""
+    return "|".join(term.replace(".", r"\.").replace("~", "[-_ ]?") for term in terms)
+
+
+def folded_items(array: str) -> Column:
+    """Elements of a string array as one folded text (no term spans a line break)."""
+    return folded(F.array_join(array, "\n"))
+
+
+def only_matching(array: str, terms, guard: Column) -> Column:
+    """Elements that match a term; rows whose ``guard`` fails skip the element-wise pass."""
+    pattern = ignore_case(pattern_of(terms))
+    return F.when(guard, F.filter(array, lambda item: item.rlike(pattern))).otherwise(strings(()))
 
 
 def joined(array: Column) -> Column:

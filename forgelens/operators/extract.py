@@ -10,6 +10,7 @@ from forgelens import rules, schemas
 from forgelens.functions import text
 from forgelens.functions.parsers import parse_workflow_batches, read_descriptions
 
+
 def parse(files: DataFrame) -> DataFrame:
     """Parse stage: raw files (repo, file_name, source_file, content) to typed rows with an ``_error`` column.
 
@@ -27,23 +28,28 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
 
 def derive(df: DataFrame, known_ai_actions: list[str] | None = None) -> DataFrame:
     """Add the columns that follow from others and put the table in contract order."""
-    normalized = F.transform("actions_used", text.normalized_action)
     df = df.withColumns(
         {
-            "actions_normalized": normalized,
+            "_uses": text.folded_items("actions_used"),
+            "actions_normalized": F.transform("actions_used", text.normalized_action),
+        }
+    )
+    df = df.withColumns(
+        {
             "uses_reusable_workflows": F.size("reusable_workflows") > 0,
-            "has_security_scan": text.any_found(F.col("actions_used"), rules.SCANNER_ACTIONS),
+            "has_security_scan": text.mentions("_uses", rules.SCANNER_ACTIONS),
+            "ai_review_actions": _ai_review_actions(known_ai_actions),
         }
-    ).withColumn("ai_review_actions", ai_review_actions(F.col("actions_normalized"), known_ai_actions))
+    )
     return df.withColumn("has_ai_review", F.size("ai_review_actions") > 0).select(*schemas.WORKFLOW.names)
 
 
-def ai_review_actions(actions: Column, known: list[str] | None = None) -> Column:
+def _ai_review_actions(known: list[str] | None) -> Column:
     """AI-review actions of a workflow: members of a known set, or a name pattern when no set is given."""
     if known:
-        known_names = F.lit(sorted(known))
-        return F.filter(actions, lambda action: F.array_contains(known_names, action))
-    return text.only_found(actions, rules.AI_ACTIONS_FALLBACK)
+        return F.filter("actions_normalized", lambda action: F.array_contains(text.strings(sorted(known)), action))
+    guard = text.mentions("_uses", rules.AI_ACTIONS_FALLBACK)
+    return text.only_matching("actions_normalized", rules.AI_ACTIONS_FALLBACK, guard)
 
 
 def workflows_from(parsed: DataFrame, crawl_date: Column, known_ai_actions: list[str] | None = None) -> DataFrame:
@@ -91,13 +97,15 @@ def raw_text_scan(files: DataFrame) -> DataFrame:
     """Flags and scanner names found by pattern in the whole raw text of each file."""
     content = F.col("content")
     uses = F.transform(F.regexp_extract_all(content, F.lit("(?U)" + rules.RAW_USES), F.lit(1)), text.normalized_action)
-    return files.select(
+    scanned = files.withColumns({"_text": text.folded(content), "_uses": uses})
+    scanners = text.mentions("_text", rules.RAW_SCANNERS)
+    return scanned.select(
         "repo",
         "file_name",
         text.found(content, rules.RAW_MATRIX).alias("has_matrix"),
         content.rlike("(?m)" + rules.RAW_PERMISSIONS).alias("has_permissions"),
-        text.found(content, rules.RAW_AI).alias("has_ai_review"),
-        text.only_found(uses, rules.RAW_SCANNERS).alias("security_tools"),
+        text.mentions("_text", rules.RAW_AI).alias("has_ai_review"),
+        text.only_matching("_uses", rules.RAW_SCANNERS, scanners).alias("security_tools"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens import rules
+from forgelens.functions import text
 from forgelens.operators.extract import derive
 
 # --- fixed vocabularies of the derived inputs ---------------------------------
@@ -135,7 +136,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(words, index: Column) -> Column:
     """Element of a constant list by zero-based position."""
-    return F.element_at(F.lit(list(words)), index.cast("int") + 1)
+    return F.element_at(text.strings(words), index.cast("int") + 1)
 
 
 def _bits(code: Column, shift: int) -> Column:
@@ -205,12 +206,12 @@ def workflows(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> D
         "triggers",
         F.concat(
             F.array_distinct(F.transform(job, lambda number: F.concat(F.lit("job"), number))),
-            F.when(shared, F.array(F.lit("shared"))).otherwise(_no_strings()),
+            F.when(shared, F.array(F.lit("shared"))).otherwise(text.strings(())),
         ).alias("job_names"),
         (F.size("matrix_values") > 0).alias("uses_matrix"),
-        F.when(F.size("matrix_values") > 0, F.array(F.lit("version"))).otherwise(_no_strings()).alias("matrix_keys"),
+        F.when(F.size("matrix_values") > 0, F.array(F.lit("version"))).otherwise(text.strings(())).alias("matrix_keys"),
         "matrix_values",
-        F.when(shared, F.array(F.lit(SHARED_WORKFLOW))).otherwise(_no_strings()).alias("reusable_workflows"),
+        F.when(shared, F.array(F.lit(SHARED_WORKFLOW))).otherwise(text.strings(())).alias("reusable_workflows"),
         F.transform("steps", lambda code: _pick(ACTIONS, _bits(code, 5))).alias("actions_used"),
         (F.col("o_orderstatus") == "F").alias("has_permissions_block"),
         F.when(F.col("o_orderstatus") == "F", PERMISSIONS_JSON).alias("permissions"),
@@ -228,10 +229,6 @@ def workflows(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> D
     return derive(located)
 
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
-
-
 def snapshot_orders(which: str) -> Column:
     """Filter over orders: two overlapping snapshots of the corpus."""
     missing = {"previous": 0, "current": 1}[which]
@@ -317,7 +314,7 @@ def repo_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = F.col("c_custkey")
     topics = F.element_at(
-        F.array(*[F.lit(list(words)) if words else _no_strings() for words in TOPIC_LISTS]),
+        F.array(*[text.strings(words) for words in TOPIC_LISTS]),
         (key % len(TOPIC_LISTS)).cast("int") + 1,
     )
     return customer.join(nation, "c_nationkey", "left").select(
@@ -361,7 +358,7 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         path.alias("path"),
         F.when(is_dir, "dir").otherwise("file").alias("type"),
         F.when(~is_dir, _config_body(path, F.col("variant"))).alias("content"),
-        F.when(is_dir, F.slice(F.lit(list(DIRECTORY_ENTRIES)), 1, entry_count)).alias("entries"),
+        F.when(is_dir, F.slice(text.strings(DIRECTORY_ENTRIES), 1, entry_count)).alias("entries"),
     )
 
 
