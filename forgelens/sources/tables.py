@@ -5,8 +5,6 @@ code (job, action, command), so the per-file step list is a set over a fixed voc
 the vocabulary however many lines an order has, it combines map-side, and only integers are shuffled.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -327,7 +325,50 @@ def repo_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(LICENSES, key % len(LICENSES)).alias("license"),
         F.lit("2026-01-01T00:00:00Z").alias("pushed_at"),
         (key % 17 == 0).alias("archived"),
+        F.when(key % 101 == 7, "HTTP 404").alias("error"),
+    )
+
+
+def counted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository metadata with the number of workflow files; both sides have one row per customer."""
+    per_order = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    filled = table(spark, sf_dir, "orders").join(per_order, "o_orderkey", "left_semi")
+    counts = filled.groupBy(repo_name(F.col("o_custkey")).alias("full_name")).agg(
+        F.count("*").alias("workflow_count")
     )
+    counted = repo_metadata(spark, sf_dir).join(counts, "full_name", "left")
+    return counted.withColumn("workflow_count", F.coalesce("workflow_count", F.lit(0)))
+
+
+def api_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository objects as an API returns them: other field names, nested license, absent values."""
+    known = repo_metadata(spark, sf_dir)
+    wide = F.repeat(F.concat("description", F.lit(" ")), 20)
+    return known.select(
+        "full_name",
+        F.when(F.col("forks") % 7 != 0, wide).alias("description"),
+        "language",
+        F.col("stars").alias("stargazers_count"),
+        F.col("forks").alias("forks_count"),
+        F.lit(None).cast("bigint").alias("open_issues_count"),
+        F.when(F.size("topics") > 0, F.col("topics")).alias("topics"),
+        F.when(F.col("license") != "MIT", F.struct(F.col("license").alias("spdx_id"))).alias("license"),
+        F.lit(None).cast("string").alias("created_at"),
+        F.lit(None).cast("string").alias("updated_at"),
+        "pushed_at",
+        F.when(F.col("archived"), True).alias("archived"),
+        F.lit(None).cast("string").alias("default_branch"),
+    )
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with Markdown repository links appended, many of them repeated."""
+    documents = table(spark, sf_dir, "documents")
+    number = (F.col("doc_id") % 300).cast("string")
+    name = F.concat(F.lit("org"), (F.col("doc_id") % 7).cast("string"), F.lit("/lib."), number)
+    link = F.concat(F.lit("["), name, F.lit("](https://github.com/"), name, F.lit(")"))
+    plain = F.concat(F.lit("[docs/here](https://example.com/docs/here) "), link, F.lit(" [Core/engine](https://github.com/Core/engine)"))
+    return documents.select("doc_id", F.concat("text", F.lit("\n| "), plain, F.lit(" |")).alias("text"))
 
 
 def _config_body(path: Column, pick: Column) -> Column:
@@ -340,20 +381,27 @@ def _config_body(path: Column, pick: Column) -> Column:
     )
 
 
-def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File listing per repository, one row per (repo, path), derived from orders and lines."""
+def _path_variants(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
+    """Which variant of which path each customer's repository has."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         ((F.col("l_partkey") + F.col("l_suppkey")) % len(FILE_PATHS)).alias("path_no"),
         (F.col("l_partkey") % 4).alias("variant"),
     )
     per_order = lines.groupBy("o_orderkey", "path_no").agg(F.min("variant").alias("variant"))
-    owned = per_order.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    listed = owned.groupBy("o_custkey", "path_no").agg(F.min("variant").alias("variant"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    owned = per_order.join(orders, "o_orderkey")
+    if keep is not None:
+        owned = owned.where(keep)
+    return owned.groupBy("o_custkey", "path_no").agg(F.min("variant").alias("variant"))
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File listing per repository, one row per (repo, path), derived from orders and lines."""
     path = _pick(FILE_PATHS, F.col("path_no"))
     is_dir = path.isin(list(DIRECTORY_PATHS))
     entry_count = (F.col("variant") * 2 + 1).cast("int")
-    return listed.select(
+    return _path_variants(spark, sf_dir).select(
         repo_name(F.col("o_custkey")).alias("repo"),
         path.alias("path"),
         F.when(is_dir, "dir").otherwise("file").alias("type"),
@@ -362,5 +410,42 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def hashed_listing(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Listing of one snapshot with a content hash per file."""
+    path = _pick(FILE_PATHS, F.col("path_no"))
+    return _path_variants(spark, sf_dir, snapshot_orders(which)).select(
+        repo_name(F.col("o_custkey")).alias("repo"),
+        path.alias("path"),
+        F.md5(F.concat(path, F.col("variant").cast("string"))).alias("sha"),
+    )
+
+
+def repo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of repositories of one owner: each customer with the next one of the same owner."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        repo_name(key).alias("left_repo"), repo_name(key + OWNERS).alias("right_repo")
+    )
+
+
+def action_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition files of actions: one action per part, one or two candidate files each."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    action = F.concat(F.col("p_type"), F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"), key.cast("string"))
+    name = F.when(key % 11 == 0, F.concat(F.lit("./"), "p_type")).otherwise(action)
+    phrase = (
+        F.when(key % 5 == 0, "GPT powered pull request helper")
+        .when(key % 5 == 1, "Automated code review")
+        .when(key % 5 == 2, "Cache things")
+        .when(key % 5 == 3, "")
+        .otherwise("Review with care, no robots")
+    )
+    quoted = F.concat(F.lit('name: x\ndescription: "'), phrase, F.lit(' of '), "p_brand", F.lit('"\n'))
+    first = F.when(key % 5 == 3, "name: x\n").when(key % 13 == 0, "description: [broken\n").otherwise(quoted)
+    second = F.concat(F.lit("description: fallback for "), "p_brand", F.lit("\n"))
+    candidates = F.array(
+        F.struct(F.lit(0).alias("candidate"), first.alias("content")),
+        F.struct(F.lit(1).alias("candidate"), F.when(key % 2 == 0, second).alias("content")),
+    )
+    return part.select(name.alias("action"), F.inline(candidates)).where(F.col("content").isNotNull())
