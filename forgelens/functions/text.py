@@ -31,8 +31,18 @@ def folded(column: Column) -> Column:
     return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(mapped)
 
 
+def pattern_of(terms) -> str:
+    """Terms as a bare alternation; ``~`` is an optional separator."""
+    return "|".join(term.replace(".", r"\.").replace("~", "[-_ ]?") for term in terms)
+
+
+def whole_word(terms) -> str:
+    """Pattern for any of the terms as a whole word (letters, digits and underscore of any script)."""
+    return rf"(?<![\p{{L}}\p{{N}}_])(?:{pattern_of(terms)})(?![\p{{L}}\p{{N}}_])"
+
+
 def spellings(term: str) -> list[str]:
-    """Literal spellings of a term; ``~`` is an optional separator."""
+    """Literal spellings of a term."""
     forms = [""]
     for i, part in enumerate(term.split("~")):
         forms = [form + (separator if i else "") + part for form in forms for separator in ("", "-", "_", " ")]
@@ -42,12 +52,12 @@ def spellings(term: str) -> list[str]:
 def mentions(text: str, terms) -> Column:
     """Whether a folded text column contains any of the terms.
 
-    Plain substring tests: generated code, and a fraction of the cost of a case-insensitive alternation.  Terms
-    that contain another term are implied by it and left out.  The text has to be a column, not an expression,
-    so that it is folded once per row and not once per term.
+    Chained substring tests, measured at half the cost of an alternation over all rules together.  Terms that
+    contain another term are implied by it and left out.  The text has to be a column, not an expression, so that
+    it is folded once per row and not once per term.
     """
-    words = [word for term in terms for word in spellings(term)]
-    needed = [word for word in dict.fromkeys(words) if not any(other != word and other in word for other in words)]
+    words = list(dict.fromkeys(word for term in terms for word in spellings(term)))
+    needed = [word for word in words if not any(other != word and other in word for other in words)]
     return F.expr(" OR ".join(f"contains({text}, {quoted(word)})" for word in needed))
 
 
@@ -61,11 +71,6 @@ def strings(words) -> Column:
     return F.expr(f"array({', '.join(map(quoted, words))})" if words else "cast(array() AS array<string>)")
 
 
-def pattern_of(terms) -> str:
-    """The same terms as a bare alternation, for extracting what matched."""
-    return "|".join(term.replace(".", r"\.").replace("~", "[-_ ]?") for term in terms)
-
-
 def folded_items(array: str) -> Column:
     """Elements of a string array as one folded text (no term spans a line break)."""
     return folded(F.array_join(array, "\n"))

@@ -65,7 +65,7 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
     }
     events = F.transform("triggers", F.lower)
     # all build systems are single words, so one pass over the text finds each of them
-    words = r"(?U)\b(?:" + text.pattern_of(rules.BUILD_SYSTEMS) + r")\b"
+    words = text.whole_word(rules.BUILD_SYSTEMS)
     columns = {flag(slug): condition for slug, condition in by_slug.items()}
     columns["is_release"] = says(*rules.RELEASE)
     columns["is_dispatch"] = F.arrays_overlap(events, text.strings(rules.DISPATCH_TRIGGERS)) | says(
@@ -128,9 +128,16 @@ def slugs_of() -> Column:
 
 
 def pattern_repos(facts: DataFrame) -> DataFrame:
-    """Long form: (repo, slug, hits) of the patterns each repo has."""
+    """Long form: (repo, slug) of the patterns each repo has, with what the repo-level ones rest on."""
+    details = {
+        "multiple-build-systems": "array_join(build_systems, ',')",
+        "per-sample-ci": "cast(sample_workflows AS string)",
+    }
     cells = _compact(
-        [(flag(slug), f"struct({text.quoted(slug)} AS slug, {hits(slug)} AS hits)") for slug in ALL_SLUGS]
+        [
+            (flag(slug), f"struct({text.quoted(slug)} AS slug, {details.get(slug, text.quoted(''))} AS detail)")
+            for slug in ALL_SLUGS
+        ]
     )
     return facts.select("repo", "maturity_score", F.inline(cells))
 
@@ -140,39 +147,39 @@ def repo_patterns(facts: DataFrame) -> DataFrame:
     return facts.select("repo", slugs.alias("slugs"), F.size(slugs).cast("bigint").alias("pattern_count"))
 
 
-def pattern_adoption(facts: DataFrame) -> DataFrame:
-    """Repos, matching workflows and adoption of each pattern; patterns without hits stay with zeros."""
+def _rollup(facts: DataFrame) -> DataFrame:
+    """One row per pattern from a single aggregate row; patterns without hits stay with zeros."""
+    members: dict[str, list[str]] = {}
+    for slug, _, category, _ in rules.PATTERNS:
+        members.setdefault(category, []).append(flag(slug))
+    in_category = {name: f"c{i}" for i, name in enumerate(members)}
     counted = facts.agg(
         F.count("*").alias("total"),
         *[F.count_if(flag(slug)).alias(flag(slug)) for slug in ALL_SLUGS],
         *[F.expr(f"coalesce(sum({hits(slug)}), 0L) AS {hits(slug)}") for slug in ALL_SLUGS],
+        *[F.expr(f"count_if({' OR '.join(flags)}) AS {in_category[name]}") for name, flags in members.items()],
     )
     cells = ", ".join(
-        f"{text.quoted(slug)}, {text.quoted(name)}, {text.quoted(category)}, {tier}L, {flag(slug)}, {hits(slug)}"
+        f"{text.quoted(slug)}, {text.quoted(name)}, {text.quoted(category)}, {tier}L,"
+        f" {flag(slug)}, {hits(slug)}, {in_category[category]}"
         for slug, name, category, tier in rules.PATTERNS
     )
-    names = "slug, name, category, tier, repo_count, workflow_count"
+    names = "slug, name, category, tier, repo_count, workflow_count, category_repo_count"
     long = counted.selectExpr("total", f"stack({len(rules.PATTERNS)}, {cells}) AS ({names})")
-    return long.select(
-        "slug", "name", "category", "tier", "repo_count", "workflow_count",
-        percentage(F.col("repo_count"), F.col("total")).alias("adoption_pct"),
+    return long.withColumn("adoption_pct", percentage(F.col("repo_count"), F.col("total")))
+
+
+def pattern_adoption(facts: DataFrame) -> DataFrame:
+    """Repos, matching workflows and adoption of each pattern."""
+    return _rollup(facts).select(
+        "slug", "name", "category", "tier", "repo_count", "workflow_count", "adoption_pct"
     )
 
 
 def pattern_categories(facts: DataFrame) -> DataFrame:
     """Patterns by category with the repos that have any of its patterns, most adopted first."""
-    members = {}
-    for slug, _, category, _ in rules.PATTERNS:
-        members.setdefault(category, []).append(flag(slug))
-    counted = facts.agg(
-        *[F.expr(f"count_if({' OR '.join(flags)})").alias(f"c{i}") for i, flags in enumerate(members.values())]
-    )
-    cells = ", ".join(f"{text.quoted(name)}, c{i}" for i, name in enumerate(members))
-    per_category = counted.selectExpr(f"stack({len(members)}, {cells}) AS (category, category_repo_count)")
-    # both sides have as many rows as there are categories and patterns
-    ranked = pattern_adoption(facts).join(F.broadcast(per_category), "category")
     order = Window.partitionBy("category").orderBy(F.desc("repo_count"), "name")
-    return ranked.select(
+    return _rollup(facts).select(
         "category",
         "category_repo_count",
         F.row_number().over(order).cast("bigint").alias("position"),
@@ -213,62 +220,39 @@ def pattern_top_repos(facts: DataFrame, limit: int = 3) -> DataFrame:
 def pattern_examples(flags: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     """First examples of each pattern by (maturity desc, repo, workflow).
 
-    The first ``limit`` examples lie in the first ``limit`` repos that have the pattern, so those few repos are
-    picked from the per-repo table first and only their workflows are looked at again.
+    They lie in the first ``limit`` repos that have the pattern, so those few repos are picked from the per-repo
+    table first and only their workflows are looked at again, at most ``limit`` of each.  A release train is one
+    example that lists the names of its first release workflows.
     """
-    facts = repo_facts(flags)
-    picked = top_repos(facts, limit, F.desc("maturity_score"), F.col("repo")).withColumnRenamed(
-        "position", "repo_rank"
-    )
-    # at most ``limit`` rows per pattern
-    first = F.broadcast(picked.select("slug", "repo", "repo_rank"))
-    cells = _compact([(flag(slug), text.quoted(slug)) for slug in WORKFLOW_SLUGS])
-    matches = flags.select(*_KEYS, F.explode(cells).alias("slug")).join(first, ["slug", "repo"])
-    order = Window.partitionBy("slug").orderBy("repo_rank", "workflow_name", "workflow_path")
-    by_workflow = (
-        matches.withColumn("position", F.row_number().over(order).cast("bigint"))
-        .where(F.col("position") <= limit)
-        .select("slug", "position", *_KEYS, F.lit("").alias("detail"))
+    train = "multi-stage-release"
+    picked = top_repos(repo_facts(flags), limit, F.desc("maturity_score"), F.col("repo")).select(
+        "slug", "repo", F.col("position").alias("repo_rank"), "detail"
     )
-    return by_workflow.unionByName(_repo_level_examples(flags, facts, limit))
-
-
-def _repo_level_examples(flags: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
-    """Examples of the repo-level patterns, with what made each repo match."""
     cells = _compact(
-        [
-            (flag(slug), f"struct({text.quoted(slug)} AS slug, {detail} AS detail)")
-            for slug, detail in (
-                ("multi-stage-release", "''"),
-                ("multiple-build-systems", "array_join(build_systems, ',')"),
-                ("per-sample-ci", "cast(sample_workflows AS string)"),
-            )
-        ]
+        [(flag(slug), text.quoted(slug)) for slug in WORKFLOW_SLUGS] + [("is_release", text.quoted(train))]
     )
-    window = Window.partitionBy("slug").orderBy(F.desc("maturity_score"), "repo")
-    first = (
-        facts.select("repo", "maturity_score", F.inline(cells))
-        .withColumn("position", F.row_number().over(window).cast("bigint"))
-        .where(F.col("position") <= limit)
+    # the picked side has at most ``limit`` rows per pattern
+    matches = flags.select(*_KEYS, F.explode(cells).alias("slug")).join(
+        F.broadcast(picked.select("slug", "repo")), ["slug", "repo"], "left_semi"
     )
-    # at most ``limit`` repos, at most ``limit`` names each
-    trains = F.broadcast(first.where(F.col("slug") == "multi-stage-release").select("slug", "repo"))
-    names = flags.where("is_release").select("repo", "workflow_name", "workflow_path").join(trains, "repo")
-    order = Window.partitionBy("repo").orderBy("workflow_name", "workflow_path")
-    listed = (
-        names.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= limit)
-        .groupBy("slug", "repo")
-        .agg(F.sort_array(F.collect_list(F.struct("_n", "workflow_name"))).alias("_names"))
-        .select("slug", "repo", F.array_join(F.col("_names.workflow_name"), ",").alias("_listed"))
+    within_repo = Window.partitionBy("slug", "repo").orderBy("workflow_name", "workflow_path")
+    first = matches.withColumn("_n", F.row_number().over(within_repo)).where(F.col("_n") <= limit)
+    # from here on a few hundred rows at most
+    found = picked.join(F.broadcast(first), ["slug", "repo"], "left")
+    by_repo = F.col("slug").isin(list(rules.REPO_LEVEL_PATTERNS))
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("_n", "workflow_name")))["workflow_name"], ",")
+    examples = found.groupBy("slug", "repo_rank", "repo", F.when(~by_repo, F.col("_n")).alias("_n1")).agg(
+        *[F.min(name).alias(name) for name in (*_KEYS[1:], "detail")], listed.alias("_listed")
     )
-    joined = first.join(F.broadcast(listed), ["slug", "repo"], "left")
-    return joined.select(
+    order = Window.partitionBy("slug").orderBy("repo_rank", "_n1")
+    placed = examples.withColumn("position", F.row_number().over(order).cast("bigint"))
+    detail = F.when(F.col("slug") == train, F.col("_listed")).otherwise(F.col("detail"))
+    return placed.where(F.col("position") <= limit).select(
         "slug",
         "position",
         "repo",
-        *[F.lit("").alias(name) for name in _KEYS[1:]],
-        F.coalesce("_listed", "detail").alias("detail"),
+        *[F.when(by_repo, F.lit("")).otherwise(F.col(name)).alias(name) for name in _KEYS[1:]],
+        detail.alias("detail"),
     )
 
 

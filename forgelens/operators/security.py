@@ -31,7 +31,7 @@ def tool_rows(detail: DataFrame) -> DataFrame:
     supply = text.only_matching("actions", rules.SUPPLY_CHAIN, text.mentions("action_text", rules.SUPPLY_CHAIN))
     word = rules.PERSONAL_TOKEN_WORD
     personal = text.mentions("_folded", rules.PERSONAL_TOKEN) | (
-        text.mentions("_folded", (word,)) & F.col("_folded").rlike(rf"(?U)\b{word}\b")
+        text.mentions("_folded", (word,)) & F.col("_folded").rlike(text.whole_word((word,)))
     )
     texts = detail.withColumn("_text", repos.security_text()).withColumn("_folded", text.folded(F.col("_text")))
     named = texts.select(

@@ -158,6 +158,38 @@ def _extras(x: Inputs) -> DataFrame:
     return tables.table(x.spark, x.sf_dir, "supplier").select(owner.alias("owner"), repo.alias("repo"))
 
 
+def _config_text() -> Column:
+    """Fields of a parsed configuration file as one line; absent ones are left out."""
+    names = {
+        "tsconfig": ("extends", "strict", "module", "target", "resolution:module_resolution", "jsx", "paths:paths_configured"),
+        "pyproject": (
+            "name:project_name", "python:requires_python", "backend:build_backend", "ruff:uses_ruff",
+            "pytest:uses_pytest", "uv:uses_uv",
+        ),
+        "cargo": ("workspace", "package:package_name", "edition", "members:workspace_members"),
+        "pnpm_workspace": ("workspace", "globs:package_patterns", "count:package_pattern_count"),
+        "turbo": ("tasks:task_count", "cache:uses_remote_cache"),
+        "nx": ("plugins", "count:plugin_count", "inputs:named_inputs"),
+        "linter": ("keys:top_level_keys", "rules:rule_count"),
+    }
+    lists = {"package_patterns", "plugins", "named_inputs", "top_level_keys"}
+    cases = []
+    for kind, fields in names.items():
+        parts = []
+        for field in fields:
+            label, _, column = field.partition(":")
+            column = column or label
+            value = f"array_join({column}, ',')" if column in lists else f"cast({column} AS string)"
+            parts.append(f"'{label}=' || {value}")
+        cases.append(f"WHEN kind = '{kind}' THEN concat_ws(';', {', '.join(parts)})")
+    return F.expr(f"CASE {' '.join(cases)} ELSE kind END")
+
+
+def _described(x: Inputs) -> DataFrame:
+    """Actions taken as described already: those of the build category."""
+    return adoption.distinct_actions(x.workflows).where(adoption.action_category(F.col("action")) == "CI/Build")
+
+
 def _diffs_on_shared(x: Inputs) -> DataFrame:
     return changes.two_snapshot_diffs(*changes.on_shared_repos(*x.snapshots()))
 
@@ -210,10 +242,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         "repo", "workflow_name", "ai_review_actions"
     ),
     "ai_actions_known": lambda x: extract.with_known_ai_actions(
-        x.workflows,
-        adoption.ai_action_discovery(
-            x.metadata.withColumn("stars", F.lit(0)), x.descriptions
-        ),
+        x.workflows, adoption.ai_action_discovery(x.metadata, x.descriptions)
     ).distinct(),
     "security_scan_flag": lambda x: x.workflows.where("has_security_scan").select("repo", "workflow_name"),
     "action_descriptions": lambda x: x.descriptions,
@@ -231,9 +260,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "fingerprint_examples": lambda x: adoption.fingerprint_examples(x.workflows),
     "security_scan_adoption": lambda x: adoption.security_scan_repos(x.workflows),
     "distinct_actions": lambda x: adoption.distinct_actions(x.workflows),
-    "actions_missing_desc": lambda x: adoption.missing_descriptions(
-        x.workflows, adoption.category_usage(x.workflows).select(F.lit("actions/checkout").alias("action")).distinct()
-    ),
+    "actions_missing_desc": lambda x: adoption.missing_descriptions(x.workflows, _described(x)),
     "ai_action_discovery": lambda x: adoption.ai_action_discovery(x.metadata, x.descriptions),
     "action_share": lambda x: adoption.action_share(x.workflows),
     "insight_flags": lambda x: insights.insight_flags(x.workflows),
@@ -334,7 +361,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "file_signals": lambda x: signals.file_signals(x.files),
     "file_signal_adoption": lambda x: signals.file_signal_adoption(x.files, x.observed),
     "config_kind": lambda x: signals.config_candidates(x.files).select("repo", "path", "kind"),
-    "config_files": lambda x: x.configs.drop("error"),
+    "config_files": lambda x: x.configs.select("repo", "path", "kind", _config_text().alias("content")),
     "config_trends": lambda x: signals.config_trends(x.configs, x.observed),
     "config_counters": lambda x: signals.config_counters(x.configs),
     "build_backends": lambda x: signals.build_backends(x.configs),
