@@ -248,9 +248,10 @@ def seed_verdicts(metadata: DataFrame) -> DataFrame:
         F.slice(F.coalesce("topics", text.strings(())), 1, SHOWN_TOPICS).alias("topics"),
         verdict().alias("verdict"),
     )
-    return numbered_within(
-        listed, ["category"], [("stars", True)], [F.col("full_name")], "position"
-    )
+    # name prefixes sort like the names, and split categories that have many repos with equally many stars
+    split = listed.withColumns({"_p6": F.substring("full_name", 1, 6), "_p12": F.substring("full_name", 1, 12)})
+    levels = [("stars", True), ("_p6", False), ("_p12", False)]
+    return numbered_within(split, ["category"], levels, [F.col("full_name")], "position").drop("_p6", "_p12")
 
 
 def seed_summary(metadata: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
                 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
             WHERE {keep}""",
         f"wf0{s}": f"""
-            SELECT o_orderkey, repo, workflow_name, crawl_date, triggers, runs_on, matrix_values,
+            SELECT o_orderkey, o_orderstatus, repo, workflow_name, crawl_date, triggers, runs_on, matrix_values,
                    concat('.github/workflows/', workflow_name, '.yml') AS workflow_path,
                    concat('data/raw/', repo, '/', workflow_name, '.yml') AS source_file,
                    len(matrix_values) > 0 AS uses_matrix,
@@ -190,8 +190,8 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
 
 CTES: dict[str, str] = {
     **workflow_ctes(),
-    **workflow_ctes("_prev", "o_orderkey % 10 <> 0"),
-    **workflow_ctes("_curr", "o_orderkey % 10 <> 1"),
+    **workflow_ctes("_prev", "o_orderpriority <> '1-URGENT'"),
+    **workflow_ctes("_curr", "o_orderpriority <> '5-LOW'"),
     "pdef": f"SELECT * FROM (VALUES {_rows(rules.PATTERNS)}) AS v(slug, name, category, tier)",
     "adoption": f"""
         SELECT pdef.slug, name, category, tier::BIGINT AS tier, coalesce(repos, 0) AS repo_count,
@@ -283,10 +283,12 @@ CTES: dict[str, str] = {
                        WHEN category IN ('Awesome List', 'Education / Docs') THEN 'SKIP (not code)' ELSE 'OK' END
                   AS verdict
         FROM cats""",
-    "research": "SELECT full_name FROM reasons WHERE c_custkey % 40 = 0 AND reason IS NULL",
+    "research": f"""
+        SELECT full_name FROM reasons WHERE reason IS NULL
+        AND c_custkey IN (SELECT doc_id % {t.LINKED_REPOS} FROM documents)""",
     # file listings
     "variants": f"""
-        SELECT o_custkey, o_orderkey, {words(t.FILE_PATHS)}[(l_partkey + l_suppkey) % {len(t.FILE_PATHS)} + 1] AS path,
+        SELECT o_custkey, o_orderpriority, {words(t.FILE_PATHS)}[(l_partkey + l_suppkey) % {len(t.FILE_PATHS)} + 1] AS path,
                l_partkey % 4 AS variant
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "listing": f"""
@@ -300,10 +302,10 @@ CTES: dict[str, str] = {
         FROM listing WHERE list_contains({words(rules.CONFIG_PATHS)}, path) AND type = 'file'""",
     "hash_prev": f"""
         SELECT {REPO.format('o_custkey')} AS repo, path, md5(concat(path, min(variant))) AS sha
-        FROM variants WHERE o_orderkey % 10 <> 0 GROUP BY o_custkey, path""",
+        FROM variants WHERE o_orderpriority <> '1-URGENT' GROUP BY o_custkey, path""",
     "hash_curr": f"""
         SELECT {REPO.format('o_custkey')} AS repo, path, md5(concat(path, min(variant))) AS sha
-        FROM variants WHERE o_orderkey % 10 <> 1 GROUP BY o_custkey, path""",
+        FROM variants WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey, path""",
     "changes": """
         SELECT repo, path, c.sha,
                CASE WHEN p.sha IS NULL THEN 'new' WHEN p.sha = c.sha THEN 'unchanged' ELSE 'changed' END AS outcome

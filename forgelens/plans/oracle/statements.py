@@ -185,7 +185,7 @@ _CATEGORIES = {}
 for _slug, _, _category, _ in rules.PATTERNS:
     _CATEGORIES.setdefault(_category, []).append(col(_slug))
 
-_RECRAWLED = "(SELECT * FROM wf UNION ALL SELECT * FROM wf WHERE o_orderkey % 50 = 0)"
+_RECRAWLED = "(SELECT * FROM wf UNION ALL SELECT * FROM wf WHERE o_orderstatus = 'P')"
 _COPIES = f"SELECT repo, workflow_name, workflow_path, count(*) AS copies FROM {_RECRAWLED} GROUP BY ALL"
 
 
@@ -569,12 +569,12 @@ _STATEMENTS: dict[str, str] = {
         FROM facts f LEFT JOIN (SELECT repo, score FROM scores) USING (repo)""",
     "export_patterns": "SELECT slug, name, category, repo_count, adoption_pct FROM adoption",
     # seeds
-    "link_extract": """
-        SELECT split_part(name, '/', 1) AS owner, split_part(name, '/', 2) AS repo, doc AS first_document, pos::BIGINT AS first_place
-        FROM (SELECT name, min(doc) AS doc, arg_min(pos, doc) AS pos FROM (
-                SELECT doc_id AS doc, concat('org', doc_id % 7, '/lib.', doc_id % 300) AS name, 0 AS pos FROM documents
-                UNION ALL SELECT doc_id, 'Core/engine', 1 FROM documents)
-              GROUP BY name)""",
+    "link_extract": f"""
+        SELECT split_part(name, '/', 1) AS owner, split_part(name, '/', 2) AS repo, min(doc_id) AS first_document,
+               arg_min(place, doc_id)::BIGINT AS first_place
+        FROM (SELECT doc_id, {REPO.format(f'(doc_id % {t.LINKED_REPOS})')} AS name, 0 AS place FROM documents
+              UNION ALL SELECT doc_id, 'Core/engine.js', 1 FROM documents)
+        GROUP BY name""",
     "seed_metadata": """
         SELECT full_name,
                CASE WHEN forks % 7 <> 0 THEN substring(repeat(concat(description, ' '), 20), 1, 200) ELSE '' END

@@ -110,7 +110,7 @@ class Inputs:
 
     def recrawled(self) -> DataFrame:
         """Workflows with part of them delivered twice."""
-        return self.workflows.unionByName(self._of(tables.workflows, F.col("o_orderkey") % 50 == 0))
+        return self.workflows.unionByName(self._of(tables.workflows, F.col("o_orderstatus") == "P"))
 
 
 def _joined(name: str) -> Column:
@@ -140,10 +140,11 @@ def _seed_lists(x: Inputs) -> DataFrame:
 
 
 def _research(x: Inputs) -> DataFrame:
-    """Accepted research candidates: every 40th repository that passes the checks."""
-    number = F.substring_index("full_name", "cust", -1).cast("bigint")
-    chosen = x.metadata.where(number % 40 == 0)
-    return seeds.with_reason(chosen).where(F.col("reason").isNull()).select("full_name")
+    """Accepted research candidates: repositories linked from documents that pass the checks."""
+    links = seeds.repo_links(x._of(tables.linked_documents), "doc_id", "text")
+    linked = links.select(F.concat("owner", F.lit("/"), "repo").alias("full_name"))
+    passed = seeds.with_reason(x.metadata).where(F.col("reason").isNull())
+    return passed.select("full_name").join(linked, "full_name", "left_semi")
 
 
 def _extras(x: Inputs) -> DataFrame:

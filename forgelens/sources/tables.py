@@ -41,6 +41,7 @@ JOBS_PER_FILE = 8
 SHARED_WORKFLOW = "./.github/workflows/shared.yml"
 PERMISSIONS_JSON = '{"contents": "read"}'
 OWNERS = 20
+LINKED_REPOS = 150
 
 TOPIC_LISTS = (
     ("awesome", "list"), ("machine-learning", "nlp"), ("docker", "devops"), ("database",), ("security", "hacking"),
@@ -228,9 +229,10 @@ def workflows(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> D
 
 
 def snapshot_orders(which: str) -> Column:
-    """Filter over orders: two overlapping snapshots of the corpus."""
-    missing = {"previous": 0, "current": 1}[which]
-    return F.col("o_orderkey") % 10 != missing
+    """Filter over orders for two overlapping snapshots of the corpus: urgent orders are files that only the
+    current one has, low-priority orders files that are gone since the previous one."""
+    absent = {"previous": "1-URGENT", "current": "5-LOW"}[which]
+    return F.col("o_orderpriority") != absent
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,13 +364,13 @@ def api_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with Markdown repository links appended, many of them repeated."""
+    """Documents with Markdown repository links appended, many of them to the same repository."""
     documents = table(spark, sf_dir, "documents")
-    number = (F.col("doc_id") % 300).cast("string")
-    name = F.concat(F.lit("org"), (F.col("doc_id") % 7).cast("string"), F.lit("/lib."), number)
+    name = repo_name(F.col("doc_id") % LINKED_REPOS)
     link = F.concat(F.lit("["), name, F.lit("](https://github.com/"), name, F.lit(")"))
-    plain = F.concat(F.lit("[docs/here](https://example.com/docs/here) "), link, F.lit(" [Core/engine](https://github.com/Core/engine)"))
-    return documents.select("doc_id", F.concat("text", F.lit("\n| "), plain, F.lit(" |")).alias("text"))
+    plain = F.lit("[docs/here](https://example.com/docs/here) ")
+    shared = F.lit(" [Core/engine.js](https://github.com/Core/engine.js)")
+    return documents.select("doc_id", F.concat("text", F.lit("\n| "), plain, link, shared, F.lit(" |")).alias("text"))
 
 
 def _config_body(path: Column, pick: Column) -> Column:
@@ -389,10 +391,10 @@ def _path_variants(spark: SparkSession, sf_dir: str, keep: Column | None = None)
         (F.col("l_partkey") % 4).alias("variant"),
     )
     per_order = lines.groupBy("o_orderkey", "path_no").agg(F.min("variant").alias("variant"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    owned = per_order.join(orders, "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     if keep is not None:
-        owned = owned.where(keep)
+        orders = orders.where(keep)
+    owned = per_order.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
     return owned.groupBy("o_custkey", "path_no").agg(F.min("variant").alias("variant"))
 
 
