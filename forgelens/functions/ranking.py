@@ -14,11 +14,11 @@ def numbered_within(
     that holds a large part of all rows is thereby split over its level values.  The count tables carry no
     broadcast hint: their size depends on the data, so the adaptive planner decides after measuring them.
     """
-    keys = list(group)
+    source, keys = df, list(group)
     offset = F.lit(0).cast("bigint")
     for i, (column, descending) in enumerate(levels):
         before = f"_before_{i}"
-        counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+        counts = source.groupBy(*keys, column).agg(F.count("*").alias("_n"))
         order = F.col(column).desc() if descending else F.col(column).asc()
         running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn(before, F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")

@@ -80,19 +80,15 @@ def pair_workflows(pairs: DataFrame, workflows: DataFrame) -> DataFrame:
     Names are tagged with their side and met in one aggregate by (pair, name); no two repos' lists are ever
     compared with each other.  Pairs with an unknown repo give nothing.
     """
-    names = workflows.select("repo", "workflow_name").distinct()
-    known = names.select("repo").distinct()
-    usable = pairs.join(known.withColumnRenamed("repo", "left_repo"), "left_repo", "left_semi").join(
-        known.withColumnRenamed("repo", "right_repo"), "right_repo", "left_semi"
+    sides = pairs.selectExpr("left_repo", "right_repo", "stack(2, 'left', left_repo, 'right', right_repo) AS (side, repo)")
+    known = sides.join(workflows.select("repo").distinct(), "repo")
+    complete = known.groupBy("left_repo", "right_repo").agg(F.count_distinct("side").alias("_sides"))
+    usable = sides.join(complete.where("_sides = 2"), ["left_repo", "right_repo"], "left_semi")
+    named = usable.join(workflows.select("repo", "workflow_name"), "repo")
+    met = named.groupBy("left_repo", "right_repo", "workflow_name").agg(
+        F.min("side").alias("side"), F.max("side").alias("_other")
     )
-
-    def side(name: str) -> DataFrame:
-        tagged = usable.join(names.withColumnRenamed("repo", f"{name}_repo"), f"{name}_repo")
-        return tagged.select("left_repo", "right_repo", "workflow_name", F.lit(name).alias("side"))
-
-    met = side("left").unionByName(side("right")).groupBy("left_repo", "right_repo", "workflow_name")
-    sides = met.agg(F.min("side").alias("side"), F.max("side").alias("_other"))
-    return sides.where(F.col("side") == F.col("_other")).drop("_other")
+    return met.where(F.col("side") == F.col("_other")).drop("_other")
 
 
 def repo_advice(detail: DataFrame, scores: DataFrame) -> DataFrame:
