@@ -37,6 +37,8 @@ COMMANDS = (
 )
 COMMON_COMMAND_COUNT = 4
 MATRIX_VALUES = ("3.11", "3.12", "3.13", "3.14", "ubuntu-latest", "arm64", "cuda-12", "20")
+TRIGGERS = ("push", "pull_request", "workflow_dispatch")
+RUNNERS = ("ubuntu-latest", "macos-latest")
 JOBS_PER_FILE = 8
 SHARED_WORKFLOW = "./.github/workflows/shared.yml"
 PERMISSIONS_JSON = '{"contents": "read"}'
@@ -161,26 +163,43 @@ def _step_code() -> Column:
     return (job * 1024 + action * 32 + command).cast("int")
 
 
+def _bit_of(words: tuple[str, ...], index: Column) -> Column:
+    """Bit of a word: its place among the sorted words, so that set bits come out in sorted order."""
+    ranked = sorted(words)
+    return F.element_at(F.expr(f"array({', '.join(str(1 << ranked.index(word)) for word in words)})"), index + 1)
+
+
+def _words_of(bits: str, words: tuple[str, ...]) -> Column:
+    """Sorted words whose bits are set."""
+    cases = [f"CASE WHEN {bits} & {1 << i} > 0 THEN {text.quoted(word)} END" for i, word in enumerate(sorted(words))]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has lines: sorted step codes and the small value sets of its lines."""
+    """One row per order that has lines: sorted step codes and the small value sets of its lines.
+
+    Value sets are bit masks while they are aggregated and shuffled: fixed-size buffers, hash aggregation.
+    """
     lines = table(spark, sf_dir, "lineitem")
     value = ((F.col("l_linenumber") + F.col("l_partkey")) % len(MATRIX_VALUES)).cast("int")
-    trigger = (
-        F.when(F.col("l_returnflag") == "A", "push")
-        .when(F.col("l_returnflag") == "N", "pull_request")
-        .otherwise("workflow_dispatch")
-    )
-    runner = F.when(F.col("l_linestatus") == "O", "ubuntu-latest").otherwise("macos-latest")
+    trigger = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    runner = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
     steps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sort_array(F.collect_set(_step_code())).alias("steps"),
-        F.sort_array(F.collect_set(trigger)).alias("triggers"),
-        F.sort_array(F.collect_set(runner)).alias("runs_on"),
-        F.sort_array(F.collect_set(F.when(F.col("l_quantity") >= 36, _pick(MATRIX_VALUES, value)))).alias(
-            "matrix_values"
-        ),
+        F.bit_or(_bit_of(TRIGGERS, trigger)).alias("_triggers"),
+        F.bit_or(_bit_of(RUNNERS, runner)).alias("_runners"),
+        F.bit_or(F.when(F.col("l_quantity") >= 36, _bit_of(MATRIX_VALUES, value)).otherwise(0)).alias("_values"),
         F.bool_or(F.col("l_tax") >= 0.08).alias("uses_reusable_workflows"),
     )
-    return table(spark, sf_dir, "orders").join(steps, "o_orderkey", "inner")
+    files = table(spark, sf_dir, "orders").join(steps, "o_orderkey", "inner")
+    return files.withColumns(
+        {
+            "triggers": _words_of("_triggers", TRIGGERS),
+            "runs_on": _words_of("_runners", RUNNERS),
+            "matrix_values": _words_of("_values", MATRIX_VALUES),
+            "uses_matrix": F.col("_values") > 0,
+        }
+    )
 
 
 def _file_columns() -> dict[str, Column]:
@@ -207,8 +226,8 @@ def workflows(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> D
             F.array_distinct(F.transform(job, lambda number: F.concat(F.lit("job"), number))),
             F.when(shared, F.array(F.lit("shared"))).otherwise(text.strings(())),
         ).alias("job_names"),
-        (F.size("matrix_values") > 0).alias("uses_matrix"),
-        F.when(F.size("matrix_values") > 0, F.array(F.lit("version"))).otherwise(text.strings(())).alias("matrix_keys"),
+        "uses_matrix",
+        F.when(F.col("uses_matrix"), F.array(F.lit("version"))).otherwise(text.strings(())).alias("matrix_keys"),
         "matrix_values",
         F.when(shared, F.array(F.lit(SHARED_WORKFLOW))).otherwise(text.strings(())).alias("reusable_workflows"),
         F.transform("steps", lambda code: _pick(ACTIONS, _bits(code, 5))).alias("actions_used"),
@@ -268,7 +287,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(":\n"),
             F.when(first, F.concat(F.lit("    runs-on: "), flow(F.col("runs_on")), F.lit("\n"))).otherwise(""),
             F.when(
-                first & (F.size("matrix_values") > 0),
+                first & F.col("uses_matrix"),
                 F.concat(
                     F.lit("    strategy:\n      matrix:\n        version: "), flow(F.col("matrix_values")), F.lit("\n")
                 ),

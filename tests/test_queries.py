@@ -40,6 +40,9 @@ def comparable(value):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, oracle, name):
     df = entry_module.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "EvalPython" not in plan
+    assert ("MapInPandas" in plan) == (name in PYTHON_STAGES)
     columns = sorted(df.columns)
     got = [tuple(comparable(value) for value in row) for row in df.select(*columns).collect()]
     relation = oracle.sql(entry_module.oracle_sql()[name])
@@ -61,14 +64,6 @@ def plan_of(spark, sf_dir, name):
     return build(name, spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_plan_shape(spark, sf_dir, name):
-    plan = plan_of(spark, sf_dir, name)
-    assert "CartesianProduct" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert ("MapInPandas" in plan) == (name in PYTHON_STAGES)
-
-
 @pytest.mark.parametrize(
     "name", ["fingerprint_examples", "pattern_top_repos", "pattern_examples", "surprising_actions", "insight_flags"]
 )
@@ -92,7 +87,11 @@ def test_a_pattern_query_evaluates_only_its_own_rule(spark, sf_dir):
     assert "toxiproxy" in plan and "callgrind" not in plan
 
 
-def test_no_text_is_shuffled(spark, sf_dir):
-    plan = build("pattern_adoption", spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    grouped = plan[: plan.index("hashpartitioning(repo")]
-    assert "_text" not in grouped.splitlines()[-1]
+@pytest.mark.parametrize("name", ["pattern_adoption", "repo_patterns", "security_scores", "repo_maturity"])
+def test_no_text_is_shuffled(spark, sf_dir, name):
+    execution = build(name, spark, sf_dir)._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    sections = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", execution.explainString(mode))
+    assert len(sections) >= 2
+    for columns in sections:
+        assert not re.search(r"_text|_raw|_folded|run_commands|actions|source_file", columns), columns
