@@ -45,6 +45,15 @@ def permissions_usage(workflows: DataFrame) -> DataFrame:
     return counted.withColumn("percentage", percentage(F.col("with_permissions"), F.col("total_workflows")))
 
 
+def adoption_counts(workflows: DataFrame) -> DataFrame:
+    """Repos with AI review and with security scanning."""
+    return per_repo_flags(workflows).agg(
+        F.count("*").alias("total_repos"),
+        F.count_if("has_ai_review").alias("ai_review_repos"),
+        F.count_if("has_security_scan").alias("security_scan_repos"),
+    )
+
+
 def list_usage(workflows: DataFrame, column: str, name: str) -> DataFrame:
     """Occurrences of each element of an array column and the repos that have it."""
     used = workflows.select("repo", F.explode(column).alias(name)).where(F.col(name) != "")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from forgelens.operators.insights import group_metrics
 
+LISTED_REPOS = 20
 METRICS = (
     ("matrix_usage_percentage", "matrix_pct"),
     ("permissions_usage_percentage", "permissions_pct"),
@@ -61,6 +62,11 @@ def changed_repos(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo").agg(added.alias("added_patterns"), removed.alias("removed_patterns"))
 
 
+def changed_repos_listed(changes: DataFrame, limit: int = LISTED_REPOS) -> DataFrame:
+    """The first changed repos by name, as shown in the report."""
+    return changed_repos(changes).orderBy("repo").limit(limit)
+
+
 def _long_metrics(metrics: DataFrame) -> DataFrame:
     cells = ", ".join(f"'{name}', cast({column} AS double)" for name, column in METRICS)
     return metrics.selectExpr("grp", f"stack({len(METRICS)}, {cells}) AS (metric, curr_value)")

@@ -37,7 +37,7 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
     """Detail rows plus one boolean per workflow-level pattern and the helper flags of the repo-level ones."""
 
     def says(*terms: str) -> Column:
-        return text.mentions("_text", terms)
+        return text.mentions("_text", terms, items="_items")
 
     uses_ai = F.col("has_ai_review") | says(*rules.AI_TOOLS_TEXT)
     versions = F.filter("matrix_values", lambda value: value.rlike(rf"(?U)\A(?:{rules.VERSION_VALUE})\z"))
@@ -72,16 +72,18 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
         *rules.DISPATCH_TEXT
     )
     columns["is_sample"] = says(*rules.SAMPLE)
-    columns["_builds"] = F.regexp_extract_all("_text", F.lit(words), F.lit(0))
-    texts = detail.withColumn("_raw", repos.workflow_text()).withColumns(
+    columns["_builds"] = F.regexp_extract_all("_items", F.lit(words), F.lit(0))
+    texts = detail.withColumns({"_raw": repos.workflow_text(), "_raw_items": repos.workflow_items()}).withColumns(
         {
             "_text": text.folded(F.col("_raw")),
+            "_items": text.folded(F.col("_raw_items")),
             "_platforms": F.expr("lower(array_join(concat(matrix_keys, matrix_values, runs_on), '\\n'))"),
             "_matrix_text": F.expr("lower(array_join(matrix_values, '\\n'))"),
             "_owner_prefix": F.concat(F.lower(text.owner_of(F.col("repo"))), F.lit("/")),
         }
     )
-    return texts.withColumns(columns).drop("_raw", "_text", "_platforms", "_matrix_text", "_owner_prefix")
+    helpers = ("_raw", "_raw_items", "_text", "_items", "_platforms", "_matrix_text", "_owner_prefix")
+    return texts.withColumns(columns).drop(*helpers)
 
 
 def workflow_hits(flags: DataFrame, slug: str) -> DataFrame:
@@ -89,9 +91,15 @@ def workflow_hits(flags: DataFrame, slug: str) -> DataFrame:
     return flags.where(F.col(flag(slug))).select(*_KEYS)
 
 
+def pattern_hits(flags: DataFrame) -> DataFrame:
+    """Long form of all workflow-level hits: one row per workflow and pattern."""
+    cells = _compact([(flag(slug), text.quoted(slug)) for slug in WORKFLOW_SLUGS])
+    return flags.select(F.explode(cells).alias("slug"), *_KEYS)
+
+
 def repo_facts(flags: DataFrame) -> DataFrame:
     """One row per repo: practices, maturity, hits per pattern, and which patterns it has."""
-    aggregates = {name: column for name, column in repos.practice_aggregates().items()}
+    aggregates = repos.practice_aggregates()
     aggregates.update({hits(slug): F.count_if(flag(slug)) for slug in WORKFLOW_SLUGS})
     aggregates["release_workflows"] = F.count_if("is_release")
     aggregates["dispatch_workflows"] = F.count_if("is_dispatch")

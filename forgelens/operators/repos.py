@@ -148,16 +148,24 @@ def _practice_cells() -> str:
     return ", ".join(f"{text.quoted(label)}, {flag}" for flag, label, _ in rules.PRACTICES)
 
 
+_TEXT_LISTS = (
+    "triggers", "jobs", "actions", "notable_actions", "runs_on", "matrix_keys", "matrix_values", "step_names",
+    "run_commands", "reusable_workflows",
+)
+
+
 def workflow_text() -> Column:
     """Text of a detail row that the practice patterns search."""
-    arrays = (
-        "triggers", "jobs", "actions", "notable_actions", "runs_on", "matrix_keys", "matrix_values", "step_names",
-        "run_commands", "reusable_workflows",
-    )
-    joined = ", ".join(f"array_join({name}, ' ')" for name in arrays)
+    joined = ", ".join(f"array_join({name}, ' ')" for name in _TEXT_LISTS)
     return F.expr(f"concat_ws('\\n', coalesce(workflow_name, ''), {joined})")
 
 
+def workflow_items() -> Column:
+    """The same text with each list item once, one per line; notable actions are among the actions."""
+    lists = ", ".join(name for name in _TEXT_LISTS if name != "notable_actions")
+    return F.expr(f"array_join(array_distinct(concat(array(coalesce(workflow_name, '')), {lists})), '\\n')")
+
+
 def security_text() -> Column:
     """Text of a detail row that the security rules search."""
     joined = ", ".join(f"array_join({name}, ' ')" for name in ("actions", "run_commands", "step_names"))

@@ -108,6 +108,10 @@ def with_reason(metadata: DataFrame) -> DataFrame:
     return metadata.withColumn("reason", F.coalesce(skip_reason(), workflow_gate()))
 
 
+def accepted(metadata: DataFrame) -> DataFrame:
+    return with_reason(metadata).where(F.col("reason").isNull()).drop("reason")
+
+
 def skip_log(metadata: DataFrame, source: str) -> DataFrame:
     rejected = with_reason(metadata).where(F.col("reason").isNotNull())
     return rejected.select(F.col("full_name").alias("repo"), F.lit(source).alias("source"), "reason")

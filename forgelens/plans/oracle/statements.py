@@ -227,6 +227,12 @@ _PATTERN_CHANGES = """
     SELECT repo, slug, 'removed' FROM pr_prev WHERE (repo, slug) NOT IN (SELECT (repo, slug) FROM pr_curr)"""
 
 
+_CHANGED_REPOS = f"""
+    SELECT repo, coalesce(string_agg(slug, '|' ORDER BY slug) FILTER (WHERE change = 'added'), '') AS added_patterns,
+           coalesce(string_agg(slug, '|' ORDER BY slug) FILTER (WHERE change = 'removed'), '') AS removed_patterns
+    FROM ({_PATTERN_CHANGES}) GROUP BY repo"""
+
+
 def _changed(this: str, other: str) -> str:
     return f"SELECT DISTINCT repo, workflow_name FROM {this} EXCEPT SELECT repo, workflow_name FROM {other}"
 
@@ -392,6 +398,9 @@ _STATEMENTS: dict[str, str] = {
     "action_descriptions": _DESCRIPTIONS,
     # adoption
     "totals": "SELECT count(DISTINCT repo) AS total_repos, count(*) AS total_workflows FROM wf",
+    "adoption_counts": """
+        SELECT count(DISTINCT repo) AS total_repos, count(DISTINCT repo) FILTER (WHERE has_ai_review) AS ai_review_repos,
+               count(DISTINCT repo) FILTER (WHERE has_security_scan) AS security_scan_repos FROM wf""",
     "matrix_usage": f"""
         SELECT count(DISTINCT repo) AS total_repos, count(DISTINCT CASE WHEN uses_matrix THEN repo END) AS matrix_repos,
                {pct('count(DISTINCT CASE WHEN uses_matrix THEN repo END)', 'count(DISTINCT repo)')} AS percentage
@@ -469,6 +478,10 @@ _STATEMENTS: dict[str, str] = {
     ),
     # patterns
     **{"pattern_" + slug.replace("-", "_"): _pattern(slug) for slug, *_ in rules.PATTERNS},
+    "pattern_hits": " UNION ALL ".join(
+        f"SELECT '{slug}' AS slug, repo, workflow_name, workflow_path, source_file FROM flags WHERE {col(slug)}"
+        for slug in WORKFLOW_SLUGS
+    ),
     "pattern_adoption": "SELECT * FROM adoption",
     "pattern_categories": """
         SELECT category, category_repo_count,
@@ -539,11 +552,8 @@ _STATEMENTS: dict[str, str] = {
     "workflows_added": _changed("wf_curr", "wf_prev"),
     "workflows_removed": _changed("wf_prev", "wf_curr"),
     "pattern_changes": _PATTERN_CHANGES,
-    "pattern_changed_repos": f"""
-        SELECT repo,
-               coalesce(string_agg(slug, '|' ORDER BY slug) FILTER (WHERE change = 'added'), '') AS added_patterns,
-               coalesce(string_agg(slug, '|' ORDER BY slug) FILTER (WHERE change = 'removed'), '') AS removed_patterns
-        FROM ({_PATTERN_CHANGES}) GROUP BY repo""",
+    "pattern_changed_repos": _CHANGED_REPOS,
+    "pattern_changed_listed": f"SELECT * FROM ({_CHANGED_REPOS}) ORDER BY repo LIMIT 20",
     "trend_on_intersection": _two_diffs(
         f"(SELECT * FROM wf_prev WHERE repo IN {_SHARED})", f"(SELECT * FROM wf_curr WHERE repo IN {_SHARED})"
     ),
@@ -585,6 +595,7 @@ _STATEMENTS: dict[str, str] = {
         FROM meta""",
     "skip_reason": "SELECT full_name, skip AS reason FROM reasons",
     "workflow_gate": "SELECT full_name, gate AS reason FROM reasons",
+    "seed_accepted": "SELECT full_name, stars, workflow_count FROM reasons WHERE reason IS NULL",
     "skip_log": """
         SELECT 'search' AS source, reason, count(*) AS repos FROM reasons WHERE reason IS NOT NULL GROUP BY reason""",
     "seed_fill": """

@@ -143,8 +143,7 @@ def _research(x: Inputs) -> DataFrame:
     """Accepted research candidates: repositories linked from documents that pass the checks."""
     links = seeds.repo_links(x._of(tables.linked_documents), "doc_id", "text")
     linked = links.select(F.concat("owner", F.lit("/"), "repo").alias("full_name"))
-    passed = seeds.with_reason(x.metadata).where(F.col("reason").isNull())
-    return passed.select("full_name").join(linked, "full_name", "left_semi")
+    return seeds.accepted(x.metadata).select("full_name").join(linked, "full_name", "left_semi")
 
 
 def _extras(x: Inputs) -> DataFrame:
@@ -249,6 +248,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "action_descriptions": lambda x: x.descriptions,
     # adoption
     "totals": lambda x: adoption.totals(x.workflows),
+    "adoption_counts": lambda x: adoption.adoption_counts(x.workflows),
     "matrix_usage": lambda x: adoption.matrix_usage(x.workflows),
     "permissions_usage": lambda x: adoption.permissions_usage(x.workflows),
     "popular_actions": lambda x: adoption.popular_actions(x.workflows),
@@ -265,7 +265,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "ai_action_discovery": lambda x: adoption.ai_action_discovery(x.metadata, x.descriptions),
     "action_share": lambda x: adoption.action_share(x.workflows),
     "insight_flags": lambda x: insights.insight_flags(x.workflows),
-    "insight_flags_overall": lambda x: insights.insight_flags(x.workflows, F.lit("all")),
+    "insight_flags_overall": lambda x: insights.insight_flags(
+        x.workflows, F.when(F.col("repo").isNotNull(), "all")
+    ),
     "recommendation_flags": lambda x: insights.recommendation_flags(x.workflows),
     "surprising_actions": lambda x: insights.surprising_actions(x.workflows),
     # repo summaries
@@ -284,6 +286,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "practice_matrix": lambda x: repos.practice_matrix(x.detail),
     # patterns
     **{"pattern_" + slug.replace("-", "_"): _pattern_query(slug) for slug in patterns.ALL_SLUGS},
+    "pattern_hits": lambda x: patterns.pattern_hits(x.flags),
     "pattern_adoption": lambda x: patterns.pattern_adoption(x.facts),
     "pattern_categories": lambda x: patterns.pattern_categories(x.facts),
     "pattern_totals": lambda x: patterns.pattern_totals(x.facts),
@@ -326,6 +329,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "pattern_changed_repos": lambda x: changes.changed_repos(
         changes.pattern_changes(x.snapshot_patterns("previous"), x.snapshot_patterns("current"))
     ),
+    "pattern_changed_listed": lambda x: changes.changed_repos_listed(
+        changes.pattern_changes(x.snapshot_patterns("previous"), x.snapshot_patterns("current"))
+    ),
     "trend_on_intersection": _diffs_on_shared,
     "previous_snapshot": lambda x: changes.previous_snapshot(
         x.workflows.withColumn("crawl_date", F.trunc("crawl_date", "month")), F.lit("1998-01-01").cast("date")
@@ -345,6 +351,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "seed_metadata": lambda x: seeds.metadata_projection(x._of(tables.api_metadata)),
     "skip_reason": lambda x: x.metadata.select("full_name", seeds.skip_reason().alias("reason")),
     "workflow_gate": lambda x: x.metadata.select("full_name", seeds.workflow_gate().alias("reason")),
+    "seed_accepted": lambda x: seeds.accepted(x.metadata).select("full_name", "stars", "workflow_count"),
     "skip_log": lambda x: seeds.skip_counts(seeds.skip_log(x.metadata, "search")),
     "seed_fill": lambda x: seeds.fill_to_target(_research(x), x.metadata),
     "seed_merge": lambda x: seeds.merge_extras(

@@ -78,9 +78,16 @@ def read_result(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def write_profiles(documents: DataFrame, path: str) -> None:
-    """One JSON line per repo profile, in a folder per owner."""
-    documents.write.mode("overwrite").partitionBy("owner").json(path)
+def write_profiles(documents: DataFrame, path: str, by_owner: bool = False) -> None:
+    """One JSON line per repo profile; a folder per owner only where owners are few."""
+    writer = documents.write.mode("overwrite")
+    (writer.partitionBy("owner") if by_owner else writer).json(path)
+
+
+def write_observations(tables: dict[str, DataFrame], root: str) -> None:
+    """Repository observations (file signals, configuration files, structure signals) as JSON lines."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{root}/{name}")
 
 
 def write_export(repos: DataFrame, patterns: DataFrame, root: str) -> None:

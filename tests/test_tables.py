@@ -115,7 +115,7 @@ def test_profiles(spark, make_workflows, tmp_path):
     assert (app.summary, app.stars, app.forks, app.patterns) == ("some text", 12, 3, ["least-privilege-permissions"])
     assert (app.security_score, app.maturity_pct, app.workflow_count) == (25.0, 17, 1)
     assert (got["b/y"].description, got["b/y"].stars, got["b/y"].topics) == ("", None, [])
-    snapshots.write_profiles(profiles.profile_documents(rows), str(tmp_path / "profiles"))
+    snapshots.write_profiles(profiles.profile_documents(rows), str(tmp_path / "profiles"), by_owner=True)
     lines = [json.loads(line) for path in (tmp_path / "profiles").glob("owner=acme/*.json") for line in path.read_text().splitlines()]
     assert lines[0]["cicd"] == {"workflow_count": 1, "patterns": ["least-privilege-permissions"], "security_score": 25.0, "maturity_pct": 17}
 
