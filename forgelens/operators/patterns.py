@@ -225,22 +225,23 @@ def pattern_top_repos(facts: DataFrame, limit: int = 3) -> DataFrame:
     return top_repos(facts, limit, F.col("repo")).select("slug", "position", "repo")
 
 
-def pattern_examples(flags: DataFrame, limit: int = EXAMPLES) -> DataFrame:
+def pattern_examples(detail: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     """First examples of each pattern by (maturity desc, repo, workflow).
 
     They lie in the first ``limit`` repos that have the pattern, so those few repos are picked from the per-repo
-    table first and only their workflows are looked at again, at most ``limit`` of each.  A release train is one
-    example that lists the names of its first release workflows.
+    table first and the rules run again on their workflows only, of which at most ``limit`` of each are kept.  A
+    release train is one example that lists the names of its first release workflows.
     """
     train = "multi-stage-release"
-    picked = top_repos(repo_facts(flags), limit, F.desc("maturity_score"), F.col("repo")).select(
+    picked = top_repos(repo_facts(workflow_flags(detail)), limit, F.desc("maturity_score"), F.col("repo")).select(
         "slug", "repo", F.col("position").alias("repo_rank"), "detail"
     )
     cells = _compact(
         [(flag(slug), text.quoted(slug)) for slug in WORKFLOW_SLUGS] + [("is_release", text.quoted(train))]
     )
     # the picked side has at most ``limit`` rows per pattern
-    matches = flags.select(*_KEYS, F.explode(cells).alias("slug")).join(
+    few = detail.join(F.broadcast(picked.select("repo").distinct()), "repo", "left_semi")
+    matches = workflow_flags(few).select(*_KEYS, F.explode(cells).alias("slug")).join(
         F.broadcast(picked.select("slug", "repo")), ["slug", "repo"], "left_semi"
     )
     within_repo = Window.partitionBy("slug", "repo").orderBy("workflow_name", "workflow_path")

@@ -204,7 +204,7 @@ def _trend_counters(x: Inputs) -> DataFrame:
 
 
 def _examples(x: Inputs) -> DataFrame:
-    return patterns.pattern_examples(x.flags)
+    return patterns.pattern_examples(x.detail)
 
 
 def _pattern_query(slug: str) -> Callable[[Inputs], DataFrame]:

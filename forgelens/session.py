@@ -11,6 +11,8 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", memory: str =
         .appName("forgelens")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # shuffled rows are compact and grow into text that is parsed or searched: keep every core busy with them
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)

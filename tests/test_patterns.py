@@ -69,13 +69,13 @@ def test_rollup_keeps_unused_patterns_and_examples_are_ordered(make_workflows):
         for i in range(4)
         for j in range(3)
     ]
-    flags = flags_of(make_workflows(*rows))
-    facts = patterns.repo_facts(flags)
+    detail = repos.workflow_detail(make_workflows(*rows))
+    facts = patterns.repo_facts(patterns.workflow_flags(detail))
     rollup = {row.slug: row for row in patterns.pattern_adoption(facts).collect()}
     assert len(rollup) == 22 and rollup["harden-runner"].repo_count == 0
     hit = rollup["least-privilege-permissions"]
     assert (hit.repo_count, hit.workflow_count, hit.adoption_pct) == (4, 12, 100.0)
-    examples = patterns.pattern_examples(flags).where(F.col("slug") == "least-privilege-permissions").orderBy("position")
+    examples = patterns.pattern_examples(detail).where(F.col("slug") == "least-privilege-permissions").orderBy("position")
     assert [(row.repo, row.workflow_name) for row in examples.collect()] == [
         ("o3/r", "wf0"), ("o3/r", "wf1"), ("o3/r", "wf2"), ("o0/r", "wf0"), ("o0/r", "wf1"),
     ]
@@ -83,7 +83,7 @@ def test_rollup_keeps_unused_patterns_and_examples_are_ordered(make_workflows):
 
 def test_train_example_lists_first_five_names(make_workflows):
     rows = [{"workflow_name": f"deploy{i}"} for i in range(7)]
-    examples = patterns.pattern_examples(flags_of(make_workflows(*rows)))
+    examples = patterns.pattern_examples(repos.workflow_detail(make_workflows(*rows)))
     train = examples.where(F.col("slug") == "multi-stage-release").collect()
     assert [(row.position, row.repo, row.detail) for row in train] == [
         (1, "acme/app", "deploy0,deploy1,deploy2,deploy3,deploy4")
