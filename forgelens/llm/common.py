@@ -1,12 +1,17 @@
 """Helpers that the operators of this subpackage share."""
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # letters other than A-Z that have a lower case: titlecase and uppercase in the sense of Unicode
 OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
@@ -46,3 +51,11 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def of_worker(name: str, make):
+    """A value that a Python worker process keeps for its later tasks."""
+    held = sys.__dict__.setdefault("_forgelens_llm", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]

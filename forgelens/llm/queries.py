@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their SQL counterparts."""
 
-from . import language_id, line_dedup, token_output
+from . import language_id, line_dedup, near_dedup, token_output
 
 QUERIES = {
+    "op2_minhash_dedup": near_dedup.query,
     "op8_line_dedup": line_dedup.query,
     "op9_token_output": token_output.query,
     "op10_language_id": language_id.query,

@@ -19,7 +19,6 @@ Defined results: a null text is empty, so its ids are the end id alone; a null d
 doc_id keep their number, ordered by text; an empty table gives no file rows.
 """
 
-import functools
 import itertools
 import re
 import zlib
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tokenizer_file, written
+from .common import of_worker, tokenizer_file, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -119,12 +118,6 @@ def grouped(texts: list[str | None], chars: int) -> Iterator[list[str]]:
     yield group
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One a worker process: what it has learned serves later tasks."""
-    return Encoder(path)
-
-
 def _level(seq: np.ndarray, seed: int, min_uses: int, room: int):
     """(positions, ranks, pairs): pairs to replace now, and where.  A hash table of counts finds the frequent ones; of
     pairs that share a slot the first is counted, and another seed parts them on the next level."""
@@ -240,7 +233,8 @@ def blocks(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode, shard = encoder(path).encode, TaskContext.get().partitionId()
+        # one encoder a worker process: what it has learned serves later tasks
+        encode, shard = of_worker(f"encoder {path}", lambda: Encoder(path)).encode, TaskContext.get().partitionId()
         block = first = held = 0
         doc_ids, ids = [], []
 
