@@ -1,11 +1,17 @@
 """Registered queries of the subpackage and their SQL counterparts."""
 
-from . import language_id, line_dedup, near_dedup, token_output
+from . import embedding_dedup, language_id, line_dedup, near_dedup, token_output, topk_search
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_minhash_dedup": near_dedup.query,
+    "op7_topk_search": topk_search.query,
     "op8_line_dedup": line_dedup.query,
     "op9_token_output": token_output.query,
     "op10_language_id": language_id.query,
 }
-STATEMENTS = {"op8_line_dedup": line_dedup.SQL}
+STATEMENTS = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
+    "op7_topk_search": topk_search.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+}
