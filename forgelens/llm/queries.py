@@ -1,11 +1,12 @@
 """Registered queries of the subpackage and their SQL counterparts."""
 
-from . import brown_lm, embedding_dedup, language_id, line_dedup, near_dedup, token_output, topk_search
+from . import brown_lm, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, token_output, topk_search
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_minhash_dedup": near_dedup.query,
     "op3_brown_lm": brown_lm.query,
+    "op5_license_scan": license_scan.query,
     "op7_topk_search": topk_search.query,
     "op8_line_dedup": line_dedup.query,
     "op9_token_output": token_output.query,
@@ -14,6 +15,7 @@ QUERIES = {
 STATEMENTS = {
     "op1_embedding_dedup": embedding_dedup.SQL,
     "op3_brown_lm": brown_lm.query,
+    "op5_license_scan": license_scan.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
