@@ -1,11 +1,22 @@
 """Registered queries of the subpackage and their SQL counterparts."""
 
-from . import brown_lm, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, token_output, topk_search
+from . import (
+    brown_lm,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    soft_mixing,
+    token_output,
+    topk_search,
+)
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_minhash_dedup": near_dedup.query,
     "op3_brown_lm": brown_lm.query,
+    "op4_soft_mixing": soft_mixing.query,
     "op5_license_scan": license_scan.query,
     "op7_topk_search": topk_search.query,
     "op8_line_dedup": line_dedup.query,
