@@ -22,6 +22,7 @@ doc_id keep their number, ordered by text; an empty table gives no file rows.
 import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import of_worker, tokenizer_file, written
+from .word_table import WordTable, grouped
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -38,9 +40,8 @@ N_IDS = 50_257
 MAX_RULES = 65_536 - N_IDS  # a symbol has 16 bits
 BLOCK_TOKENS = 1 << 18
 MIN_USES = 64
-LEVEL_RATIO = 8
+LEVEL_RATIO = 32
 HASH_BITS = 18
-CACHE_WORDS = 500_000
 GROUP_CHARS = 1 << 20
 BLOCK_SCHEMA = (
     "shard int, block int, first long, n_tokens long, doc_ids binary, lengths binary, rules binary, spans binary,"
@@ -52,48 +53,26 @@ FIRST = "\x00"  # marks the first word of a text
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes; keeps the ids of the words that were met last."""
+    """Ids of texts as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.recent, self.older = {}, {}
+        self.table = WordTable(self._words)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.recent) + len(words) > CACHE_WORDS:
-            self.older, self.recent = self.recent, {}
-        missing = []
-        for word in words:
-            if word in self.older:
-                self.recent[word] = self.older[word]
-            else:
-                missing.append(word)
-        chunks = [word[1:] if word[0] == FIRST else word if word[0] == "\n" else " " + word for word in missing]
-        self.recent.update(zip(missing, self.ids(chunks)))
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        return self.ids([word[1:] if word[0] == FIRST else word if word[0] == "\n" else " " + word for word in words])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for group in grouped(texts, GROUP_CHARS):
             split = [words_of(text) for text in group]
-            found, unknown = [], set()
-            for words in split:
-                found.append(list(map(self.recent.get, words)))
-                if None in found[-1]:
-                    unknown.update(word for word, ids in zip(words, found[-1]) if ids is None)
-            if unknown:
-                held = self.recent
-                self._learn(unknown)
-                found = [
-                    [ids or self.recent.get(word) or held[word] for word, ids in zip(words, known)] if None in known else known
-                    for words, known in zip(split, found)
-                ]
-            for text, words, known in zip(group, split, found):
-                yield b"".join(known) if words else self.ids([text])[0]
+            for text, words, ids in zip(group, split, self.table.join(split)):
+                yield ids if words or not text else self.ids([text])[0]
 
 
 def words_of(text: str) -> list[str]:
@@ -106,18 +85,6 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def grouped(texts: list[str | None], chars: int) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters; null becomes empty."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text or "")
-        size += len(group[-1])
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    yield group
-
-
 def _level(seq: np.ndarray, seed: int, min_uses: int, room: int):
     """(positions, ranks, pairs): pairs to replace now, and where.  A hash table of counts finds the frequent ones; of
     pairs that share a slot the first is counted, and another seed parts them on the next level."""
