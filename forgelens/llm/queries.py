@@ -7,6 +7,7 @@ from . import (
     license_scan,
     line_dedup,
     near_dedup,
+    sentence_pieces,
     soft_mixing,
     token_output,
     topk_search,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_brown_lm": brown_lm.query,
     "op4_soft_mixing": soft_mixing.query,
     "op5_license_scan": license_scan.query,
+    "op6_sentence_pieces": sentence_pieces.query,
     "op7_topk_search": topk_search.query,
     "op8_line_dedup": line_dedup.query,
     "op9_token_output": token_output.query,
