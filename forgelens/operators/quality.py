@@ -78,8 +78,8 @@ def quality_summary(df: DataFrame) -> DataFrame:
     status = F.lit("fail") if missing else F.when(duplicated, "warn").otherwise("pass")
     issues = F.concat_ws(
         "; ",
-        F.lit(f"Missing columns: {listed}" if missing else None).cast("string"),
-        F.when(duplicated, F.concat(F.lit("Duplicate workflow rows: "), F.col("duplicate_count").cast("string"))),
+        F.lit(f"missing_columns: {listed}" if missing else None).cast("string"),
+        F.when(duplicated, F.concat(F.lit("duplicate_rows: "), F.col("duplicate_count").cast("string"))),
     )
     return counted.withColumns(
         {"missing_columns": F.lit(listed), "status": status, "issues": issues}
@@ -94,19 +94,21 @@ def _distinct_repos() -> Column:
 def validate(df: DataFrame) -> DataFrame:
     """Gate at a table boundary: raises ``ContractViolation``, or returns the table unchanged.
 
-    Three one-row or ten-row results reach the driver.
+    One pass: rows and values are counted by key, then over all keys; one row reaches the driver.
     """
-    issues = []
-    missing = missing_columns(df)
-    if missing:
-        issues.append(f"Missing required columns: {', '.join(missing)}")
-    if _has_key(df):
-        duplicates = duplicate_count(df).first()["duplicate_count"]
-        if duplicates:
-            issues.append(f"Duplicate workflow rows: {duplicates}")
-    if _checked_for_values(df):
-        empty = sorted(row["column_name"] for row in all_null_columns(df).collect())
-        issues.extend(f"Column is entirely null: {name}" for name in empty)
+    missing, checked = missing_columns(df), _checked_for_values(df)
+    issues = [f"missing_columns: {', '.join(missing)}"] if missing else []
+    keyed = df.groupBy(*(rules.WORKFLOW_KEY if _has_key(df) else ())).agg(
+        F.count("*").alias("_rows"), *[F.count(name).alias(f"_n_{name}") for name in checked]
+    )
+    extra = F.sum(F.col("_rows") - 1) if _has_key(df) else F.lit(0)
+    found = keyed.agg(
+        F.sum("_rows").alias("_rows"), extra.alias("_extra"), *[F.sum(f"_n_{name}").alias(f"_n_{name}") for name in checked]
+    ).first()
+    if found["_extra"]:
+        issues.append(f"duplicate_rows: {found['_extra']}")
+    if found["_rows"]:
+        issues.extend(f"no_values: {name}" for name in checked if not found[f"_n_{name}"])
     if issues:
         raise ContractViolation(issues)
     return df

@@ -117,7 +117,7 @@ def recommendations(scores: DataFrame) -> DataFrame:
 
 
 def advice() -> Column:
-    """Advice texts of a score row, as an ordered array."""
+    """Advice keys of a score row, as an ordered array."""
     conditions = {
         "permissions": F.col("permitted") < F.col("workflow_count"),
         "scanner": F.col("scanners") == 0,
@@ -125,7 +125,7 @@ def advice() -> Column:
         "app_token": ~F.col("app_token"),
         "harden_runner": ~F.col("hardened"),
     }
-    return F.array_compact(F.array(*[F.when(conditions[key], F.lit(line)) for key, line in rules.SECURITY_ADVICE]))
+    return F.array_compact(F.array(*[F.when(conditions[key], F.lit(key)) for key in rules.SECURITY_ADVICE]))
 
 
 def average(scores: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from forgelens.functions.numeric import count_true
 from forgelens.functions.ranking import numbered_within
 from forgelens.operators.changes import membership
 
-NAMES_PER_DIGEST = 10_000
 FINGERPRINT_LENGTH = 16
 TOP_LANGUAGES = 15
 SHOWN_TOPICS = 4
@@ -161,27 +160,19 @@ def seed_names(seeds: DataFrame) -> DataFrame:
     return formed.select(F.concat("owner", F.lit("/"), "repo").alias("full_name")).distinct()
 
 
-def seed_fingerprints(names: DataFrame, group: str, names_per_digest: int = NAMES_PER_DIGEST) -> DataFrame:
+def seed_fingerprints(names: DataFrame, group: str) -> DataFrame:
     """Order-independent fingerprint of each named list: (group, full_name) in, one row per group out.
 
-    A list that fits one digest is hashed as its sorted, newline-joined distinct names.  A longer list is split
-    over buckets by name hash, as many as keep each bucket near ``names_per_digest``, and the bucket digests are
-    hashed in bucket order; ``buckets`` tells the two forms apart.  No task ever holds a whole long list.
+    The sha256 of every distinct name is cut into eight 32-bit numbers; the fingerprint is the hash of the number
+    of names and the eight sums.  Sums combine map-side, so a list of any length is one small row per task.
     """
-    distinct = names.select(group, "full_name").distinct()
-    sizes = distinct.groupBy(group).agg(F.count("*").alias("names"))
-    sizes = sizes.withColumn("buckets", F.ceil(F.col("names") / names_per_digest))
-    spread = F.conv(F.substring(F.md5("full_name"), 1, 8), 16, 10).cast("bigint")
-    placed = distinct.join(sizes, group).withColumn("_bucket", spread % F.col("buckets"))
-    listed = F.array_join(F.array_sort(F.collect_list("full_name")), "\n")
-    digests = placed.groupBy(group, "names", "buckets", "_bucket").agg(F.sha2(listed, 256).alias("_digest"))
-    parts = F.sort_array(F.collect_list(F.struct("_bucket", "_digest")))
-    combined = digests.groupBy(group, "names", "buckets").agg(parts.alias("_parts"))
-    whole = F.sha2(F.array_join(F.col("_parts._digest"), "\n"), 256)
-    digest = F.when(F.col("buckets") == 1, F.col("_parts")[0]["_digest"]).otherwise(whole)
-    return combined.select(
-        group, "names", "buckets", F.substring(digest, 1, FINGERPRINT_LENGTH).alias("fingerprint")
+    distinct = names.select(group, "full_name").distinct().withColumn("_hash", F.sha2("full_name", 256))
+    parts = [F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    summed = distinct.groupBy(group).agg(
+        F.count("*").alias("names"), *[F.sum(part).cast("string").alias(f"_p{i}") for i, part in enumerate(parts)]
     )
+    joined = F.concat_ws(",", F.col("names").cast("string"), *[f"_p{i}" for i in range(8)])
+    return summed.select(group, "names", F.substring(F.sha2(joined, 256), 1, FINGERPRINT_LENGTH).alias("fingerprint"))
 
 
 def seed_compare(previous: DataFrame, current: DataFrame) -> DataFrame:

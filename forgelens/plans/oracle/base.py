@@ -91,7 +91,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
                    o_orderdate::DATE AS crawl_date, l.*
             FROM orders o JOIN (
                 SELECT l_orderkey,
-                       list(DISTINCT code ORDER BY code) AS steps,
+                       list(code ORDER BY code) AS steps,
                        list(DISTINCT trig ORDER BY trig) AS triggers,
                        list(DISTINCT runner ORDER BY runner) AS runs_on,
                        coalesce(list(DISTINCT mval ORDER BY mval) FILTER (WHERE mval IS NOT NULL), []) AS matrix_values,

@@ -129,7 +129,7 @@ _ADVICE = (
     "list_filter(["
     + ", ".join(
         f"CASE WHEN {condition} THEN {quote(line)} END"
-        for condition, (_, line) in zip(_ADVICE_CONDITIONS, rules.SECURITY_ADVICE)
+        for condition, line in zip(_ADVICE_CONDITIONS, rules.SECURITY_ADVICE)
     )
     + "], lambda v: v IS NOT NULL)"
 )
@@ -190,12 +190,12 @@ _COPIES = f"SELECT repo, workflow_name, workflow_path, count(*) AS copies FROM {
 
 
 def _quality(missing: str) -> str:
-    prefix = f"Missing columns: {missing}; " if missing else ""
+    prefix = f"missing_columns: {missing}; " if missing else ""
     return f"""
         SELECT sum(copies)::BIGINT AS row_count, count(DISTINCT repo) AS repo_count,
                sum(copies - 1)::BIGINT AS duplicate_count, '{missing}' AS missing_columns,
                {"'fail'" if missing else "CASE WHEN sum(copies - 1) > 0 THEN 'warn' ELSE 'pass' END"} AS status,
-               concat('{prefix}', 'Duplicate workflow rows: ', sum(copies - 1)::BIGINT) AS issues
+               concat('{prefix}', 'duplicate_rows: ', sum(copies - 1)::BIGINT) AS issues
         FROM ({_COPIES})"""
 
 
@@ -362,17 +362,8 @@ _PAIRS = f"""
     SELECT {REPO.format('c_custkey')} AS left_repo, {REPO.format('(c_custkey + 20)')} AS right_repo FROM customer"""
 _GROUPED_SEEDS = f"""SELECT split_part(name, '/', 1) AS list_name, name
     FROM (SELECT {REPO.format('c_custkey')} AS name FROM customer)"""
-_SPLIT = f"""
-    WITH named AS ({_GROUPED_SEEDS}), sized AS (
-        SELECT list_name, count(*) AS names, (count(*) + 9) // 10 AS buckets FROM named GROUP BY list_name),
-    digests AS (
-        SELECT list_name, names, buckets, bucket, sha256(string_agg(name, chr(10) ORDER BY name)) AS digest
-        FROM (SELECT *, ('0x' || substring(md5(name), 1, 8))::BIGINT % buckets AS bucket
-              FROM named JOIN sized USING (list_name)) GROUP BY ALL)
-    SELECT list_name, names, buckets,
-           substring(CASE WHEN buckets = 1 THEN one ELSE sha256(parts) END, 1, 16) AS fingerprint
-    FROM (SELECT list_name, names, buckets, min(digest) AS one, string_agg(digest, chr(10) ORDER BY bucket) AS parts
-          FROM digests GROUP BY list_name, names, buckets)"""
+_PARTS = ", ".join(f"sum(('0x' || substring(h, {8 * i + 1}, 8))::BIGINT)" for i in range(8))
+
 
 _STATEMENTS: dict[str, str] = {
     # sources and extraction
@@ -391,7 +382,7 @@ _STATEMENTS: dict[str, str] = {
     "actions_normalized": _usage("actions_used", "used", ", split_part(used, '@', 1) AS action"),
     "ai_actions_regex": f"SELECT repo, workflow_name, {_lists('ai_review_actions')} FROM wf WHERE has_ai_review",
     "ai_actions_known": f"""
-        SELECT DISTINCT action, repo, workflow_name
+        SELECT action, repo, workflow_name
         FROM (SELECT repo, workflow_name, unnest(actions_normalized) AS action FROM wf)
         WHERE action IN ({_DISCOVERED})""",
     "security_scan_flag": "SELECT repo, workflow_name FROM wf WHERE has_security_scan",
@@ -615,10 +606,8 @@ _STATEMENTS: dict[str, str] = {
         LEFT JOIN reasons r USING (full_name)
         WHERE e.full_name NOT IN (SELECT full_name FROM research)""",
     "seed_fingerprint": f"""
-        SELECT list_name, count(*) AS names, 1::BIGINT AS buckets,
-               substring(sha256(string_agg(name, chr(10) ORDER BY name)), 1, 16) AS fingerprint
-        FROM ({_GROUPED_SEEDS}) GROUP BY list_name""",
-    "seed_fingerprint_split": _SPLIT,
+        SELECT list_name, count(*) AS names, substring(sha256(concat_ws(',', count(*), {_PARTS})), 1, 16) AS fingerprint
+        FROM (SELECT DISTINCT list_name, name, sha256(name) AS h FROM ({_GROUPED_SEEDS})) GROUP BY list_name""",
     "seed_compare": """
         SELECT coalesce(p.repo, c.repo) AS full_name,
                CASE WHEN c.repo IS NULL THEN 'previous_only' WHEN p.repo IS NULL THEN 'current_only'

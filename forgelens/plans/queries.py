@@ -243,7 +243,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "ai_actions_known": lambda x: extract.with_known_ai_actions(
         x.workflows, adoption.ai_action_discovery(x.metadata, x.descriptions)
-    ).distinct(),
+    ),
     "security_scan_flag": lambda x: x.workflows.where("has_security_scan").select("repo", "workflow_name"),
     "action_descriptions": lambda x: x.descriptions,
     # adoption
@@ -358,7 +358,6 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         _research(x).withColumn("source", F.lit("research")), _extras(x), x.metadata
     ),
     "seed_fingerprint": lambda x: seeds.seed_fingerprints(_seed_lists(x), "list_name"),
-    "seed_fingerprint_split": lambda x: seeds.seed_fingerprints(_seed_lists(x), "list_name", 10),
     "seed_compare": lambda x: seeds.seed_compare(x.seeds("previous"), x.seeds("current")),
     "repo_category": lambda x: seeds.categorized(x.metadata).select("full_name", "category"),
     "category_stats": lambda x: seeds.category_stats(x.metadata),

@@ -31,20 +31,35 @@ def read_seed_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _refuse_objects(spark: SparkSession, path: str) -> None:
-    wrong = spark.read.text(path, wholetext=True).where(~F.col("value").rlike(r"\A\s*\[")).limit(1)
-    if wrong.count():
-        raise NotAList("Seed repo file must contain a list")
+    """Looks at the first line that is not blank; the rest of the file is not read."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    if first and not first[0]["value"].lstrip().startswith("["):
+        raise NotAList("not a list of repositories")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata rows from a list, or from an object that wraps one, keyed by full name."""
+    """Metadata rows from a list, from an object that wraps one, or from an object keyed by full name."""
     wrapped = T.StructType([T.StructField(name, T.ArrayType(_ITEM)) for name in ENVELOPES])
     any_shape = T.StructType(_ITEM.fields + wrapped.fields)
     rows = spark.read.schema(any_shape).option("multiLine", True).json(path)
     nested = F.coalesce(*ENVELOPES)
     bare = rows.where(nested.isNull()).select(*_ITEM.names)
     unwrapped = rows.where(nested.isNotNull()).select(F.inline(nested))
-    items = bare.unionByName(unwrapped)
+    known = _named(bare.unionByName(unwrapped))
+    if known.limit(1).count():
+        return known
+    # neither shape: names are the keys, so the object is one map (and one value of Spark: at most 2 GB)
+    keyed = spark.read.text(path, wholetext=True).select(
+        F.explode(F.from_json("value", T.MapType(T.StringType(), _ITEM))).alias("_key", "_item")
+    )
+    items = _named(keyed.where(F.contains("_key", F.lit("/"))).select("_key", "_item.*"), F.col("_key")).drop("_key")
+    if not items.limit(1).count() and not rows.where(nested.isNotNull()).limit(1).count():
+        if spark.read.text(path).where(~F.trim("value").isin("", "[]", "{}")).limit(1).count():
+            raise NotAList("no repositories in any known shape")
+    return items
+
+
+def _named(items: DataFrame, *names) -> DataFrame:
     by_parts = F.concat("owner", F.lit("/"), "repo")
-    named = items.withColumn("full_name", F.coalesce("full_name", by_parts)).drop("owner", "repo")
+    named = items.withColumn("full_name", F.coalesce("full_name", by_parts, *names)).drop("owner", "repo")
     return named.where(F.col("full_name").isNotNull())

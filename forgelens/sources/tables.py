@@ -1,8 +1,8 @@
 """Workflow-shaped inputs derived from star-schema tables.
 
-An order is a workflow file, its customer a repository, its lines the steps.  A line becomes a small integer
-code (job, action, command), so the per-file step list is a set over a fixed vocabulary: its size is bounded by
-the vocabulary however many lines an order has, it combines map-side, and only integers are shuffled.
+An order is a workflow file, its customer a repository, its lines the steps, in the order of their codes and with
+repeats.  A line becomes a small integer code (job, action, command).  Lines are counted by (order, code) first, which
+combines map-side; the list that is collected for an order then holds (code, number) pairs, bounded by the vocabulary.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,7 +176,7 @@ def _words_of(bits: str, words: tuple[str, ...]) -> Column:
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has lines: sorted step codes and the small value sets of its lines.
+    """One row per order that has lines: step codes in order, repeats kept, and the small value sets of its lines.
 
     Value sets are bit masks while they are aggregated and shuffled: fixed-size buffers, hash aggregation.
     """
@@ -184,12 +184,22 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = ((F.col("l_linenumber") + F.col("l_partkey")) % len(MATRIX_VALUES)).cast("int")
     trigger = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     runner = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
-    steps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sort_array(F.collect_set(_step_code())).alias("steps"),
+    coded = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), _step_code().alias("_code")).agg(
+        F.count("*").cast("int").alias("_n"),
         F.bit_or(_bit_of(TRIGGERS, trigger)).alias("_triggers"),
         F.bit_or(_bit_of(RUNNERS, runner)).alias("_runners"),
         F.bit_or(F.when(F.col("l_quantity") >= 36, _bit_of(MATRIX_VALUES, value)).otherwise(0)).alias("_values"),
-        F.bool_or(F.col("l_tax") >= 0.08).alias("uses_reusable_workflows"),
+        F.bool_or(F.col("l_tax") >= 0.08).alias("_reuses"),
+    )
+    steps = coded.groupBy("o_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("_code", "_n"))).alias("_steps"),
+        F.bit_or("_triggers").alias("_triggers"),
+        F.bit_or("_runners").alias("_runners"),
+        F.bit_or("_values").alias("_values"),
+        F.bool_or("_reuses").alias("uses_reusable_workflows"),
+    )
+    steps = steps.withColumn(
+        "steps", F.flatten(F.transform("_steps", lambda step: F.array_repeat(step["_code"], step["_n"])))
     )
     files = table(spark, sf_dir, "orders").join(steps, "o_orderkey", "inner")
     return files.withColumns(

@@ -77,4 +77,4 @@ def test_lists_and_average(spark):
 def test_recommendations_in_order(make_workflows):
     rows = security.recommendations(scores_of(make_workflows({}))).orderBy("position").collect()
     assert [row.position for row in rows] == [0, 1, 2, 3, 4]
-    assert rows[0].advice.startswith("Set explicit")
+    assert rows[0].advice == "permissions"

@@ -84,7 +84,9 @@ def test_fill_and_merge(spark):
 
 
 def fingerprint(names):
-    return hashlib.sha256("\n".join(sorted(set(names))).encode()).hexdigest()[:16]
+    hashes = [hashlib.sha256(name.encode()).hexdigest() for name in set(names)]
+    sums = [sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes) for i in range(8)]
+    return hashlib.sha256(",".join(map(str, [len(hashes), *sums])).encode()).hexdigest()[:16]
 
 
 def test_fingerprint_ignores_order_and_repeats(spark):
@@ -93,21 +95,14 @@ def test_fingerprint_ignores_order_and_repeats(spark):
     random.Random(1).shuffle(shuffled)
     df = spark.createDataFrame([("all", name) for name in shuffled], "list string, full_name string")
     row = seeds.seed_fingerprints(df, "list").first()
-    assert (row.names, row.buckets, row.fingerprint) == (40, 1, fingerprint(names))
+    assert (row.names, row.fingerprint) == (40, fingerprint(names))
+    other = df.where(F.col("full_name") != "o1/r7")
+    assert seeds.seed_fingerprints(other, "list").first().fingerprint != row.fingerprint
 
 
-def test_long_lists_are_hashed_by_bucket(spark):
-    names = [f"o/r{i}" for i in range(95)]
-    df = spark.createDataFrame([("all", name) for name in names], "list string, full_name string")
-    row = seeds.seed_fingerprints(df, "list", 20).first()
-    buckets = [[] for _ in range(5)]
-    for name in names:
-        buckets[int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % 5].append(name)
-    parts = [hashlib.sha256("\n".join(sorted(bucket)).encode()).hexdigest() for bucket in buckets]
-    expected = hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
-    assert (row.names, row.buckets, row.fingerprint) == (95, 5, expected)
-    other = df.where(F.col("full_name") != "o/r7")
-    assert seeds.seed_fingerprints(other, "list", 20).first().fingerprint != expected
+def test_only_well_formed_seeds_have_names(spark):
+    rows = [("a", "x"), ("a", "x"), ("", "y"), (None, "z"), ("b", None)]
+    assert [row.full_name for row in seeds.seed_names(spark.createDataFrame(rows, "owner string, repo string")).collect()] == ["a/x"]
 
 
 def test_compare(spark):
@@ -172,3 +167,13 @@ def test_metadata_envelopes(spark, tmp_path, envelope):
     path.write_text(json.dumps(items if envelope is None else {envelope: items}))
     got = {(row.full_name, row.stars, row.stargazers_count) for row in seed_files.read_metadata(spark, str(path)).collect()}
     assert got == {("a/x", 3, None), ("b/y", None, 4)}
+
+
+def test_metadata_keyed_by_full_name(spark, tmp_path):
+    path = tmp_path / "meta.json"
+    path.write_text(json.dumps({"a/x": {"stars": 3}, "b/y": {"full_name": "b/y", "language": "Go"}}))
+    got = {(row.full_name, row.stars, row.language) for row in seed_files.read_metadata(spark, str(path)).collect()}
+    assert got == {("a/x", 3, None), ("b/y", None, "Go")}
+    path.write_text(json.dumps({"unknown": 1}))
+    with pytest.raises(seed_files.NotAList):
+        seed_files.read_metadata(spark, str(path))

@@ -46,9 +46,16 @@ def test_hot_keys(spark, skewed, name):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
-def test_steps_of_a_file_are_bounded_by_the_vocabulary(spark, skewed):
+def test_lists_collected_for_a_file_are_bounded_by_the_vocabulary(spark, skewed):
     from forgelens.sources import tables
 
     files = tables.order_files(spark, skewed[0])
-    longest = files.selectExpr("max(size(steps)) AS n").first().n
+    longest = files.selectExpr("max(size(_steps)) AS n").first().n
     assert longest <= tables.JOBS_PER_FILE * len(tables.ACTIONS) * len(tables.COMMANDS)
+
+
+def test_no_step_is_dropped(spark, skewed):
+    folder, connection = skewed
+    used = build("actions_normalized", spark, folder).selectExpr("sum(usage_count) AS n").first().n
+    lines = "SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"
+    assert used == connection.execute(lines).fetchall()[0][0]

@@ -17,7 +17,7 @@ def test_quality(make_workflows):
     assert (row.status, row.row_count, row.repo_count, row.duplicate_count) == ("warn", 3, 2, 1)
     row = quality.quality_summary(table.drop("has_security_scan")).first()
     assert (row.status, row.missing_columns) == ("fail", "has_security_scan")
-    assert row.issues == "Missing columns: has_security_scan; Duplicate workflow rows: 1"
+    assert row.issues == "missing_columns: has_security_scan; duplicate_rows: 1"
     row = quality.quality_summary(table.limit(0)).first()
     assert (row.status, row.row_count, row.repo_count, row.issues) == ("pass", 0, 0, "")
     rates = {row.column_name: row.null_rate for row in quality.null_rates(table).collect()}
@@ -27,12 +27,12 @@ def test_quality(make_workflows):
 def test_validation_gate(make_workflows):
     good = make_workflows({}, {"repo": "b/y"})
     assert quality.validate(good).count() == 2
-    with pytest.raises(quality.ContractViolation, match="Duplicate workflow rows: 1"):
+    with pytest.raises(quality.ContractViolation, match="duplicate_rows: 1"):
         quality.validate(good.unionByName(make_workflows({})))
     broken = good.drop("triggers").withColumn("job_names", F.lit(None).cast("array<string>"))
     with pytest.raises(quality.ContractViolation) as caught:
         quality.validate(broken.withColumn("workflow_path", F.lit(None).cast("string")))
-    assert caught.value.issues == ["Missing required columns: triggers", "Column is entirely null: job_names"]
+    assert caught.value.issues == ["missing_columns: triggers", "no_values: job_names"]
 
 
 def test_snapshots_by_date(spark, make_workflows, tmp_path):
@@ -135,7 +135,7 @@ def test_serving(spark, make_workflows):
     with pytest.raises(ValueError):
         serving.repo_list(facts, scores, sort="x")
     advice = serving.repo_advice(detail, scores).where("repo = 'acme/app'").orderBy("position").collect()
-    assert len(advice) == 8 and advice[0].advice == "Add Matrix testing." and advice[6].advice.startswith("Set explicit")
+    assert len(advice) == 8 and advice[0].advice == "Add Matrix testing." and advice[6].advice == "permissions"
 
 
 def test_health_counts_all_files(spark):
@@ -146,31 +146,67 @@ def test_health_counts_all_files(spark):
     assert (got["r"].advice, got["s"].advice) == ("permissions,matrix", "scanner")
 
 
-def test_incremental_stream(spark, tmp_path):
-    root, tables, checkpoint = (str(tmp_path / name) for name in ("raw", "tables", "checkpoint"))
+def put(folder, path, body):
+    target = folder / path
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(body)
 
-    def put(path, body):
-        target = tmp_path / "raw" / path
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(body)
 
-    def run():
-        incremental.start(spark, root, tables, checkpoint).awaitTermination()
-        return {(row.repo, row.workflow_name): row.triggers for row in incremental.workflows(spark, tables).collect()}
+def current(spark, tables):
+    return {(row.repo, row.workflow_name): row.triggers for row in incremental.workflows(spark, tables).collect()}
 
-    put("a/x/ci.yml", "on: push\n")
-    put("a/x/bad.yml", "- list\n")
-    put("b/y/ci.yml", "on: push\n")
-    assert run() == {("a/x", "ci"): ["push"], ("b/y", "ci"): ["push"]}
+
+def test_incremental_runs(spark, tmp_path):
+    raw, tables = tmp_path / "raw", str(tmp_path / "tables")
+    put(raw, "a/x/ci.yml", "on: push\n")
+    put(raw, "a/x/bad.yml", "- list\n")
+    put(raw, "b/y/ci.yml", "on: push\n")
+    assert incremental.run(spark, str(raw), tables) == 0
+    assert current(spark, tables) == {("a/x", "ci"): ["push"], ("b/y", "ci"): ["push"]}
     assert spark.read.parquet(f"{tables}/errors").count() == 1
-    put("c/z/ci.yaml", "on: [schedule]\n")
-    (tmp_path / "raw" / "b/y/ci.yml").unlink()
-    put("b/y/ci.yml", "on: pull_request\n")
-    got = run()
-    assert got[("c/z", "ci")] == ["schedule"] and got[("a/x", "ci")] == ["push"]
-    # a batch that is run again replaces its own output
-    batch = spark.createDataFrame([("a/x", "ci.yml", "f", "on: push\n"), ("d/w", "ci.yml", "f", "on: x\n")], "repo string, file_name string, source_file string, content string")
-    for _ in range(2):
-        incremental.process_batch(batch, 99, tables)
-    fresh = spark.read.parquet(f"{tables}/workflows").where("batch = 99").collect()
-    assert [row.repo for row in fresh] == ["d/w"]
+    put(raw, "c/z/ci.yaml", "on: [schedule]\n")
+    put(raw, "b/y/ci.yml", "on: pull_request\n")  # in place
+    assert incremental.run(spark, str(raw), tables) == 1
+    changed = {("a/x", "ci"): ["push"], ("b/y", "ci"): ["pull_request"], ("c/z", "ci"): ["schedule"]}
+    assert current(spark, tables) == changed
+    assert spark.read.parquet(f"{tables}/workflows").where("run = 1").count() == 2  # the others are not parsed again
+    put(raw, "a/x/ci.yml", "- no longer a workflow\n")
+    assert incremental.run(spark, str(raw), tables) == 2
+    del changed["a/x", "ci"]
+    assert current(spark, tables) == changed
+    assert incremental.run(spark, str(raw), tables, number=2) == 2  # a repeated run replaces its own output
+    assert current(spark, tables) == changed
+    assert spark.read.parquet(f"{tables}/state").where("run = 2").count() == 4
+
+
+def test_two_versions_in_one_run(spark, tmp_path):
+    tables = str(tmp_path / "tables")
+    columns = "repo string, file_name string, source_file string, content string"
+    rows = [("a/x", "ci.yml", "1", "on: push\n"), ("a/x", "ci.yml", "2", "on: later\n"), ("d/w", "ci.yml", "f", "on: x\n")]
+    for order in (rows, rows[::-1]):
+        incremental.process(spark.createDataFrame(order, columns), 0, tables)
+        assert current(spark, tables) == {("a/x", "ci"): ["later"], ("d/w", "ci"): ["x"]}
+
+
+def test_incremental_stream_of_added_files(spark, tmp_path):
+    raw, tables, checkpoint = tmp_path / "raw", str(tmp_path / "tables"), str(tmp_path / "checkpoint")
+    put(raw, "a/x/ci.yml", "on: push\n")
+    incremental.start(spark, str(raw), tables, checkpoint).awaitTermination()
+    put(raw, "c/z/ci.yaml", "on: [schedule]\n")
+    incremental.start(spark, str(raw), tables, checkpoint).awaitTermination()
+    assert current(spark, tables) == {("a/x", "ci"): ["push"], ("c/z", "ci"): ["schedule"]}
+
+
+def test_sinks(spark, tmp_path, make_workflows):
+    rows = make_workflows({"workflow_name": "ci"}, {"workflow_name": "release"})
+    for _ in range(2):  # the second write replaces the first
+        snapshots.write_latest(rows, str(tmp_path / "latest"))
+    assert spark.read.parquet(str(tmp_path / "latest")).count() == 2
+    signals = spark.createDataFrame([("a/x", "dockerfile", "Dockerfile")], "repo string, signal string, path string")
+    snapshots.write_observations({"signals": signals}, str(tmp_path / "observed"))
+    assert spark.read.json(str(tmp_path / "observed/signals")).first().path == "Dockerfile"
+    repos = spark.createDataFrame([("a/x", 2)], "repo string, workflow_count int")
+    patterns = spark.createDataFrame([("dogfooding", 1)], "slug string, repo_count int")
+    snapshots.write_export(repos, patterns, str(tmp_path / "export"))
+    assert spark.read.parquet(str(tmp_path / "export/repos")).first().workflow_count == 2
+    assert spark.read.parquet(str(tmp_path / "export/patterns")).first().slug == "dogfooding"
