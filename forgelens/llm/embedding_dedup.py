@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hnsw
 from .common import written
-from .components import components
+from .components import components, forest
 
 MIN_COSINE = 0.95
 LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 500_000, 4096
@@ -144,21 +144,6 @@ class Shard:
         return at[keep], node[keep]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) of the graph with the edges (a, b)."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, label = inverse[: len(a)], inverse[len(a) :], np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def search_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     """Link counts (a, null, n) and edges (a, b, null)."""
     empty = pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")

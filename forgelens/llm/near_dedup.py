@@ -9,10 +9,11 @@ class is posted only under that many of its rarest values, of which those no oth
 Skip: the long lists of its other values are never merged; the collisions there are counted by comparing the
 signatures of a candidate pair.  Retained pairs (MATCHES collisions or more) are confirmed on the full sets.
 
-A list is not expanded into all its pairs.  Its most central class (the one whose values are shared most) is compared with
-all others, and lists whose classes are by then one component are done.  Such rounds go on until the pairs between
-components that are still open are at most ``OPEN_PAIRS`` a class on average; then these are compared directly.  Every
-pair that shares a list is thus compared or already connected: no cap, and the components are those of all links.
+Lists of at most ``LONG_LIST`` classes give their pairs.  Longer ones are not expanded: every class is compared with the
+most central class of its list (the one whose values are shared most), which connects most of a group of near copies.
+Those that are not connected with the centre are compared with all others of the lists of that centre, in blocks
+of ``BLOCK_SETS`` full sets; a task holds two blocks and returns a spanning forest of the links it finds.  So every pair
+that shares a list is compared or already connected: no cap, and the components are those of all links.
 
 With similarity 0.8 a pair agrees in 51 of 64 coordinates on average; fewer than 36 have a probability of about
 3 in a million.
@@ -23,18 +24,19 @@ an empty table gives an empty table.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, forest
 
 COORDINATES, MATCHES = 64, 36
 PREFIX = COORDINATES - MATCHES + 1
 PERCENT = 80
-OPEN_PAIRS = 2
+LONG_LIST, BLOCK_SETS, COLUMNS = 32, 256, 8192
 CACHE_WORDS = 300_000
 GROUP_SHINGLES = 1 << 16
 U64 = np.uint64
@@ -174,48 +176,119 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _with_component(postings: DataFrame, found: DataFrame) -> DataFrame:
-    labels = found.withColumnRenamed("component", "c")
-    return postings.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list that lie in different components and have sizes that allow a link."""
+    one, two = (lists.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("id", "n", "c")]) for i in (1, 2))
+    pairs = one.join(two, "key").where("id1 < id2 AND c1 <> c2").where(_could_link("n1", "n2", percent))
+    return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of the classes that are linked with others."""
-    open_lists = written(prefix_postings(classes), "postings")
-    n_classes, spanning, found = classes.count(), None, None
-    while True:
-        centre = open_lists.groupBy("key").agg(F.max(F.struct("mass", "id", "n")).alias("top"))
-        centre = centre.select("key", F.col("top.id").alias("centre"), F.col("top.n").alias("centre_n"))
-        stars = open_lists.join(centre, "key")
-        if found is not None:
-            other = found.select(F.col("id").alias("centre"), F.col("component").alias("centre_c"))
-            stars = stars.join(other, "centre", "left").where("c <> coalesce(centre_c, centre)")
-        pairs = stars.where("id <> centre").where(_could_link("n", "centre_n", percent))
-        pairs = written(pairs.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "candidates")
-        spanning, found = _joined(spanning, pairs, classes, texts, words, percent)
-        rest = open_lists.join(centre, "key").where("id <> centre").select("key", "id", "n", "mass")
-        rest = _with_component(rest, found)
-        parts = rest.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key")
-        mixed = parts.agg(F.count("*").alias("parts"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("cross"))
-        mixed = written(mixed.where("parts > 1").select("key", "cross"), "open-lists")
-        to_check = mixed.agg(F.sum("cross")).first()[0] or 0
-        if not to_check:
-            return found
-        open_lists = written(rest.join(mixed.select("key"), "key"), "postings")
-        if to_check <= OPEN_PAIRS * n_classes:
-            break
-    one, two = (open_lists.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("id", "n", "c")]) for i in (1, 2))
-    pairs = one.join(two, "key").where("id1 < id2 AND c1 <> c2").where(_could_link("n1", "n2", percent))
-    pairs = written(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), "candidates")
-    return _joined(spanning, pairs, classes, texts, words, percent)[1]
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    labels = found.withColumnRenamed("component", "_c")
+    return rows.join(labels, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+
+
+def set_table(ids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): full sets of some classes as sorted little-endian 64-bit hashes."""
+    known = ids.join(classes.select("id", "print"), "id")
+    held = texts.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), "text")
+    rows = known.join(held, ["id", "print"]).dropDuplicates(["id"]).select("id", "text")
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(text, words, hashes).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
+    return rows.mapInArrow(run, "id long, shingles binary")
 
-def _joined(spanning, pairs, classes, texts, words, percent):
-    """(edges, components) after the links among ``pairs`` are added to the spanning edges so far."""
-    kept = written(confirmed(written(retained(pairs, classes), "retained"), texts, words, percent), "links")
-    edges = kept if spanning is None else spanning.unionByName(kept)
-    found = written(components(edges), "components")
-    return written(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")), "spanning"), found
+
+def block_cells(groups: DataFrame) -> DataFrame:
+    """(centre, kind, i, j, id, side) of the pairs of blocks that are to be compared.
+
+    ``groups`` holds (centre, id, inner): members of a list group, and whether they are already connected with the centre.
+    Outer members meet all others (kind o: outer with outer, x: inner with outer); inner ones need not meet.
+    """
+    counts = groups.groupBy("centre").agg(F.count_if("inner").alias("n_in"), F.count_if(~F.col("inner")).alias("n_out"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SETS)
+    rows = groups.join(counts.where("n_out > 0"), "centre").select(
+        "centre", "id", "inner", blocks("n_in").alias("in_blocks"), blocks("n_out").alias("out_blocks")
+    )
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("in_blocks")).otherwise(F.col("out_blocks")))
+    rows = rows.withColumn("mine", mine.cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    inner = rows.where("inner").select("centre", F.lit("x").alias("kind"), F.col("mine").alias("i"), upto("out_blocks").alias("j"), "id", F.lit(0).alias("side"))
+    across = rows.where("NOT inner AND in_blocks > 0").select("centre", F.lit("x").alias("kind"), upto("in_blocks").alias("i"), F.col("mine").alias("j"), "id", F.lit(1).alias("side"))
+    outer = rows.where("NOT inner").select("centre", "mine", "id", upto("out_blocks").alias("other")).select(
+        "centre", F.lit("o").alias("kind"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id",
+        (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    )
+    return inner.unionByName(across).unionByName(outer)
+
+
+def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Boolean matrix of the pairs that are similar enough; intersections are counted exactly."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    shared = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(common), COLUMNS):
+        part = common[start : start + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            matrix = np.zeros((len(sets), len(part)), np.float32)
+            for row, found in enumerate(sets):
+                own = found[np.searchsorted(found, part[0]) : np.searchsorted(found, part[-1], "right")]
+                at = np.searchsorted(part, own)
+                matrix[row, at[part[np.minimum(at, len(part) - 1)] == own]] = 1
+            sides.append(matrix)
+        shared += sides[0] @ sides[1].T
+    sizes = np.add.outer([len(x) for x in left], [len(x) for x in right])
+    return 100 * shared >= percent * (sizes - shared)
+
+
+def block_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between the two sides of every cell."""
+
+    def compare(frame):
+        frame = frame.sort_values("id")
+        sides = [frame[frame["side"] == side] for side in (0, 1)]
+        if not len(sides[1]):  # a block with itself
+            sides[1] = sides[0]
+        if not len(sides[0]):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        held = [[np.frombuffer(x, U64) for x in side["shingles"]] for side in sides]
+        at, to = np.nonzero(compare_blocks(*held, percent))
+        a, b = sides[0]["id"].to_numpy()[at], sides[1]["id"].to_numpy()[to]
+        left, right = forest(a[a != b], b[a != b])
+        return pd.DataFrame({"a": left, "b": right}).astype("int64")
+
+    return cells.join(sets, "id").groupBy("centre", "kind", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect the classes as all links do."""
+    postings = written(prefix_postings(classes), "postings")
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("mass", "id", "n")).alias("top"))
+    lists = postings.join(sizes, "key").select(
+        "key", "id", "n", "size", F.col("top.id").alias("centre"), F.col("top.n").alias("centre_n")
+    )
+    lists = written(lists.where("size > 1"), "lists")
+    is_long = F.col("size") > LONG_LIST
+    # long lists: every class with the centre of its list
+    stars = lists.where(is_long).where("id <> centre").where(_could_link("n", "centre_n", percent))
+    stars = stars.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = written(confirmed(retained(stars, classes), texts, words, percent), "stars")
+    lists = _with_component(lists, components(stars))
+    lists = written(lists, "lists")
+    # short lists: the pairs that are not connected yet
+    pairs = _pairs(lists.where(~is_long), percent)
+    pairs = written(confirmed(written(retained(pairs, classes), "retained"), texts, words, percent), "links")
+    # long lists, joined by their centre: whoever is not connected with it, with all others, in blocks
+    centres = lists.where("id = centre").select("centre", F.col("c").alias("centre_c")).distinct()
+    groups = lists.where(is_long).select("centre", "id", "c").distinct().join(centres, "centre")
+    cells = written(block_cells(groups.select("centre", "id", (F.col("c") == F.col("centre_c")).alias("inner"))), "cells")
+    sets = written(set_table(cells.select("id").distinct(), classes, texts, words), "sets")
+    blocks = written(block_links(cells, sets, percent), "block-links")
+    return stars.unionByName(pairs).unionByName(blocks)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -232,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
         known.select(F.col("doc_id").alias("id"), "print", F.col("n_shingles").alias("n"), "signature"), ["id", "print"]
     ).dropDuplicates(["id"])
     classes = written(classes, "classes")
-    found = links(classes, docs, words, percent)
+    found = components(links(classes, docs, words, percent))
     labels = members.select("doc_id", "id").join(found, "id", "left")
     labels = labels.select(F.col("doc_id").alias("_doc"), F.coalesce("component", "id").alias("_component"))
     rows = measured.select("doc_id", "n_shingles")
