@@ -28,3 +28,10 @@ def numbered_within(
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*last))
     numbered = df.withColumn(name, (offset + place).cast("bigint"))
     return numbered.drop(*[f"_before_{i}" for i in range(len(levels))])
+
+
+def numbered_by_name(df: DataFrame, levels: list[tuple[str, bool]], name_column: str, name: str, group: tuple = ()) -> DataFrame:
+    """Row number by ``levels``, then by a name; prefixes of the name, which sort like it, split what ties."""
+    split = df.withColumns({"_p6": F.substring(name_column, 1, 6), "_p12": F.substring(name_column, 1, 12)})
+    every = [*levels, ("_p6", False), ("_p12", False)]
+    return numbered_within(split, list(group), every, [F.col(name_column)], name).drop("_p6", "_p12")

@@ -118,7 +118,7 @@ def ai_adoption(workflows: DataFrame) -> DataFrame:
 
 
 def ai_repos(workflows: DataFrame) -> DataFrame:
-    return workflows.where("has_ai_review").select("repo").distinct().orderBy("repo")
+    return workflows.where("has_ai_review").select("repo").distinct()
 
 
 def ai_tool_breakdown(workflows: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def fingerprint_examples(workflows: DataFrame, limit: int = TOP_FINGERPRINTS) ->
 
 
 def security_scan_repos(workflows: DataFrame) -> DataFrame:
-    return workflows.where("has_security_scan").select("repo").distinct().orderBy("repo")
+    return workflows.where("has_security_scan").select("repo").distinct()
 
 
 def distinct_actions(workflows: DataFrame) -> DataFrame:

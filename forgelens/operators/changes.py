@@ -48,9 +48,12 @@ def workflows_removed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return workflow_changes(previous, current).where(F.col("change") == "removed").drop("change")
 
 
-def pattern_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Patterns that a repo gained or lost, from two (repo, slug) tables."""
-    sides = membership(previous, current, "repo", "slug")
+def pattern_changes(patterns: DataFrame, previous: str = "previous", current: str = "current") -> DataFrame:
+    """Patterns that a repo gained or lost, from one (snapshot, repo, slug) table."""
+    sides = patterns.groupBy("repo", "slug").agg(
+        F.bool_or(F.col("snapshot") == previous).alias("in_previous"),
+        F.bool_or(F.col("snapshot") == current).alias("in_current"),
+    )
     changed = sides.where(F.col("in_previous") != F.col("in_current"))
     return changed.select("repo", "slug", _change().alias("change"))
 

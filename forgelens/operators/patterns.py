@@ -72,7 +72,7 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
         *rules.DISPATCH_TEXT
     )
     columns["is_sample"] = says(*rules.SAMPLE)
-    columns["_builds"] = F.regexp_extract_all("_items", F.lit(words), F.lit(0))
+    columns["_builds"] = F.array_distinct(F.regexp_extract_all("_items", F.lit(words), F.lit(0)))
     texts = detail.withColumns({"_raw": repos.workflow_text(), "_raw_items": repos.workflow_items()}).withColumns(
         {
             "_text": text.folded(F.col("_raw")),
@@ -97,8 +97,19 @@ def pattern_hits(flags: DataFrame) -> DataFrame:
     return flags.select(F.explode(cells).alias("slug"), *_KEYS)
 
 
-def repo_facts(flags: DataFrame) -> DataFrame:
-    """One row per repo: practices, maturity, hits per pattern, and which patterns it has."""
+def of_snapshots(flags: DataFrame, versions: DataFrame) -> DataFrame:
+    """Flags of the file versions of several snapshots, each version flagged once.
+
+    ``versions`` holds (snapshot, repo, workflow_name); only flags and keys are shuffled.
+    """
+    practice = ("uses_matrix", "has_permissions", "has_security_scan", "has_ai_review", "uses_cache", "has_concurrency")
+    own = [flag(slug) for slug in WORKFLOW_SLUGS] + ["is_release", "is_dispatch", "is_sample", "_builds"]
+    narrow = flags.select("repo", "workflow_name", *practice, "uses_reusable_workflows", *own)
+    return narrow.join(versions, ["repo", "workflow_name"])
+
+
+def repo_facts(flags: DataFrame, *by: str) -> DataFrame:
+    """One row per repo (and snapshot): practices, maturity, hits per pattern, and which patterns it has."""
     aggregates = repos.practice_aggregates()
     aggregates.update({hits(slug): F.count_if(flag(slug)) for slug in WORKFLOW_SLUGS})
     aggregates["release_workflows"] = F.count_if("is_release")
@@ -106,7 +117,7 @@ def repo_facts(flags: DataFrame) -> DataFrame:
     aggregates["sample_workflows"] = F.count_if("is_sample")
     for term in rules.BUILD_SYSTEMS:
         aggregates[_build_system(term)] = F.expr(f"bool_or(array_contains(_builds, {text.quoted(term)}))")
-    grouped = flags.groupBy("repo").agg(
+    grouped = flags.groupBy(*by, "repo").agg(
         F.count("*").alias("workflow_count"), *[column.alias(name) for name, column in aggregates.items()]
     )
     systems = _compact([(_build_system(term), text.quoted(term)) for term in sorted(rules.BUILD_SYSTEMS)])
@@ -135,7 +146,7 @@ def slugs_of() -> Column:
     return _compact([(flag(slug), text.quoted(slug)) for slug in sorted(ALL_SLUGS)])
 
 
-def pattern_repos(facts: DataFrame) -> DataFrame:
+def pattern_repos(facts: DataFrame, *by: str) -> DataFrame:
     """Long form: (repo, slug) of the patterns each repo has, with what the repo-level ones rest on."""
     details = {
         "multiple-build-systems": "array_join(build_systems, ',')",
@@ -147,7 +158,7 @@ def pattern_repos(facts: DataFrame) -> DataFrame:
             for slug in ALL_SLUGS
         ]
     )
-    return facts.select("repo", "maturity_score", F.inline(cells))
+    return facts.select(*by, "repo", "maturity_score", F.inline(cells))
 
 
 def repo_patterns(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from forgelens import rules
 from forgelens.functions import text
 from forgelens.functions.numeric import percentage
+from forgelens.functions.ranking import numbered_by_name
 
 PRACTICE_FLAGS = tuple(flag for flag, _, _ in rules.PRACTICES)
 _FLAGS = (
@@ -47,7 +48,7 @@ def workflow_detail(workflows: DataFrame) -> DataFrame:
             "job_count": F.size("jobs").cast("bigint"),
             "action_text": text.folded_items("actions"),
         }
-    )
+    ).withColumn("uses_cache", F.contains("action_text", F.lit(rules.CACHE)))
 
 
 def practice_aggregates() -> dict[str, Column]:
@@ -57,7 +58,7 @@ def practice_aggregates() -> dict[str, Column]:
         "has_permissions": F.bool_or("has_permissions"),
         "has_security_scan": F.bool_or("has_security_scan"),
         "has_ai_review": F.bool_or("has_ai_review"),
-        "has_cache": F.bool_or(F.contains("action_text", F.lit(rules.CACHE))),
+        "has_cache": F.bool_or("uses_cache"),
         "has_concurrency": F.bool_or("has_concurrency"),
         "has_reusable_workflows": F.bool_or("uses_reusable_workflows"),
     }
@@ -76,7 +77,8 @@ def repo_rollup(detail: DataFrame) -> DataFrame:
     do not mind repetition.  The distinct count is by (repo, action) first, so a large repo is spread.
     """
     aggregates = [column.alias(name) for name, column in practice_aggregates().items()]
-    rows = detail.select("*", F.posexplode_outer("actions").alias("_pos", "action"))
+    flags = ("uses_matrix", "has_permissions", "has_security_scan", "has_ai_review", "uses_cache", "has_concurrency", "uses_reusable_workflows")
+    rows = detail.select("repo", *flags, F.posexplode_outer("actions").alias("_pos", "action"))
     return rows.groupBy("repo").agg(
         F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).alias("workflow_count"),
         F.count_distinct("action").alias("action_count"),
@@ -109,11 +111,9 @@ def missing_practices(detail: DataFrame) -> DataFrame:
 
 
 def repo_ranking(detail: DataFrame) -> DataFrame:
-    return (
-        with_maturity(practices(detail))
-        .select("repo", "workflow_count", "maturity_score", "maturity_pct")
-        .orderBy(F.desc("maturity_score"), "repo")
-    )
+    """Repos with their place by maturity, then name."""
+    scored = with_maturity(practices(detail)).select("repo", "workflow_count", "maturity_score", "maturity_pct")
+    return numbered_by_name(scored, [("maturity_score", True)], "repo", "position")
 
 
 def notable_actions(detail: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from forgelens import rules, schemas
 from forgelens.functions import text
 from forgelens.functions.numeric import count_true
-from forgelens.functions.ranking import numbered_within
+from forgelens.functions.ranking import numbered_by_name
 from forgelens.operators.changes import membership
 
 FINGERPRINT_LENGTH = 16
@@ -243,10 +243,7 @@ def seed_verdicts(metadata: DataFrame) -> DataFrame:
         F.slice(F.coalesce("topics", text.strings(())), 1, SHOWN_TOPICS).alias("topics"),
         verdict().alias("verdict"),
     )
-    # name prefixes sort like the names, and split categories that have many repos with equally many stars
-    split = listed.withColumns({"_p6": F.substring("full_name", 1, 6), "_p12": F.substring("full_name", 1, 12)})
-    levels = [("stars", True), ("_p6", False), ("_p12", False)]
-    return numbered_within(split, ["category"], levels, [F.col("full_name")], "position").drop("_p6", "_p12")
+    return numbered_by_name(listed, [("stars", True)], "full_name", "position", ("category",))
 
 
 def seed_summary(metadata: DataFrame) -> DataFrame:

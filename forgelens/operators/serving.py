@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from forgelens.functions import text
 from forgelens.functions.numeric import share
+from forgelens.functions.ranking import numbered_by_name
 from forgelens.operators import adoption, patterns, repos, security
 
 DASHBOARD_PATTERNS = 8
@@ -30,7 +31,7 @@ def pattern_table(facts: DataFrame) -> DataFrame:
 def repo_list(
     facts: DataFrame, scores: DataFrame, query: str = "", sort: str = "security_score", descending: bool = True
 ) -> DataFrame:
-    """Repo page list: name filter, chosen order, absent values last as -1."""
+    """Repo page list: name filter, place in the chosen order, absent values last as -1."""
     if sort not in SORT_KEYS:
         raise ValueError(f"unknown sort key: {sort}")
     listed = facts.select(
@@ -40,8 +41,10 @@ def repo_list(
     wanted = query.strip().lower()
     if wanted:
         listed = listed.where(F.contains(F.lower("repo"), F.lit(wanted)))
-    key = F.col(sort) if sort == "repo" else F.coalesce(sort, F.lit(-1))
-    return listed.orderBy(key.desc() if descending else key.asc(), "repo")
+    if sort == "repo":
+        return numbered_by_name(listed, [("repo", True)] if descending else [], "repo", "position")
+    keyed = listed.withColumn("_key", F.coalesce(sort, F.lit(-1)))
+    return numbered_by_name(keyed, [("_key", descending)], "repo", "position").drop("_key")
 
 
 def dashboard_patterns(facts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens import rules, schemas
-from forgelens.functions import text
+from forgelens.functions import configs, text
 from forgelens.functions.literals import rule_table
 from forgelens.functions.numeric import percentage
 from forgelens.functions.parsers import parse_config_batches
@@ -76,9 +76,32 @@ def config_candidates(files: DataFrame) -> DataFrame:
     return known.select("repo", "path", "content", config_kind(F.col("path")).alias("kind"))
 
 
+def _reader(kind: Column, path: Column) -> Column:
+    """What a configuration file is read as: json, other (TOML or YAML), or none for what has no reader."""
+    lowered = F.lower(path)
+    ends = lambda *suffixes: lowered.rlike(r"\.(" + "|".join(suffixes) + r")$")
+    # an eslint name is read as JSON whatever its ending
+    linter = (
+        F.when(ends("json", "jsonc") | F.contains(lowered, F.lit("biome.json")) | F.contains(lowered, F.lit("eslint")), "json")
+        .when(ends("yaml", "yml", "toml"), "other")
+        .otherwise("none")
+    )
+    return F.when(kind == "linter", linter).when(kind.isin(list(rules.JSON_CONFIG_KINDS)), "json").otherwise("other")
+
+
 def config_files(files: DataFrame) -> DataFrame:
-    """Parsed configuration files, one wide row each; unreadable ones have kind ``parse_error``."""
-    return config_candidates(files).mapInPandas(parse_config_batches, schemas.CONFIG)
+    """Configuration files of a listing, one wide row each; unreadable ones have kind ``parse_error``."""
+    return read_configs(config_candidates(files))
+
+
+def read_configs(known: DataFrame) -> DataFrame:
+    """Rows (repo, path, content, kind) read by kind: JSON by expressions, only TOML and YAML in Python."""
+    known = known.withColumn("_reader", _reader(F.col("kind"), F.col("path")))
+    python = known.where("_reader = 'other'").select("repo", "path", "content", "kind")
+    doc = F.when(F.col("_reader") == "json", configs.parsed(F.col("content")))
+    json = known.where("_reader <> 'other'").select("repo", "path", "kind", doc.alias("_doc"))
+    rows = json.select("repo", "path", *configs.row(F.col("kind"), F.col("_doc")))
+    return rows.unionByName(python.mapInPandas(parse_config_batches, schemas.CONFIG))
 
 
 def config_trends(configs: DataFrame, repos: DataFrame) -> DataFrame:
@@ -104,14 +127,7 @@ def build_backends(configs: DataFrame) -> DataFrame:
 
 # --- structure ------------------------------------------------------------------------
 def _tool(path: Column) -> Column:
-    return (
-        F.when(F.contains(path, F.lit("release-please")), "release-please")
-        .when(F.contains(path, F.lit("goreleaser")), "goreleaser")
-        .when(path == "cliff.toml", "git-cliff")
-        .when(F.contains(path, F.lit("devcontainer")), "devcontainer")
-        .when(path == "flake.nix", "nix")
-        .when(F.contains(path, F.lit("compose")), "docker-compose")
-    )
+    return F.coalesce(*[F.when(F.contains(path, F.lit(part)), tool) for part, tool in rules.STRUCTURE_TOOLS])
 
 
 def structure_signals(files: DataFrame) -> DataFrame:

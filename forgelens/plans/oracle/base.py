@@ -112,7 +112,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
                 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
             WHERE {keep}""",
         f"wf0{s}": f"""
-            SELECT o_orderkey, o_orderstatus, repo, workflow_name, crawl_date, triggers, runs_on, matrix_values,
+            SELECT o_orderkey, o_orderstatus, o_orderpriority, repo, workflow_name, crawl_date, triggers, runs_on, matrix_values,
                    concat('.github/workflows/', workflow_name, '.yml') AS workflow_path,
                    concat('data/raw/', repo, '/', workflow_name, '.yml') AS source_file,
                    len(matrix_values) > 0 AS uses_matrix,
@@ -138,7 +138,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
                    len([a for a in actions_normalized if {has('a', rules.AI_ACTIONS_FALLBACK)}]) > 0 AS has_ai_review
             FROM wf1{s}""",
         f"detail{s}": f"""
-            SELECT repo, workflow_name, workflow_path, source_file, crawl_date, triggers, runs_on, matrix_keys,
+            SELECT repo, workflow_name, workflow_path, source_file, crawl_date, triggers, runs_on, matrix_keys, o_orderpriority,
                    matrix_values, step_names, run_commands, reusable_workflows, uses_matrix, uses_reusable_workflows,
                    job_names AS jobs, len(job_names) AS job_count, actions_normalized AS actions,
                    [a for a in actions_normalized if NOT list_contains({words(rules.COMMON_ACTIONS)}, a)
@@ -159,7 +159,13 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
         f"flags{s}": "SELECT *, "
         + ", ".join(f"({condition}) AS {col(slug)}" for slug, condition in FLAGS.items())
         + f", ({_RELEASE}) AS is_release, ({_DISPATCH}) AS is_dispatch, ({_SAMPLE}) AS is_sample FROM texts{s}",
-        f"facts0{s}": "SELECT repo, count(*) AS workflow_count, bool_or(uses_matrix) AS has_matrix,"
+    }
+
+
+def fact_ctes(flags: str = "flags", s: str = "", by: str = "repo") -> dict[str, str]:
+    """Repo tables over flagged workflows."""
+    return {
+        f"facts0{s}": f"SELECT {by}, count(*) AS workflow_count, bool_or(uses_matrix) AS has_matrix,"
         " bool_or(has_permissions) AS has_permissions, bool_or(has_security_scan) AS has_security_scan,"
         " bool_or(has_ai_review) AS has_ai_review,"
         " bool_or(len([a for a in actions if contains(lower(a), 'cache')]) > 0) AS has_cache,"
@@ -172,7 +178,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
             f"CASE WHEN bool_or(regexp_matches(txt, '\\b{term}\\b', 'i')) THEN '{term}' END"
             for term in sorted(rules.BUILD_SYSTEMS)
         )
-        + f"], lambda b: b IS NOT NULL) AS build_systems FROM flags{s} GROUP BY repo",
+        + f"], lambda b: b IS NOT NULL) AS build_systems FROM {flags} GROUP BY {by}",
         f"facts{s}": f"SELECT *, {_PRACTICE_SUM} AS maturity_score,"
         f" round_even(({_PRACTICE_SUM})::DOUBLE / 6 * 100, 0)::BIGINT AS maturity_pct, "
         + ", ".join(f"n{col(slug)} > 0 AS {col(slug)}" for slug in FLAGS)
@@ -182,7 +188,7 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
         + ", ".join(f"0 AS n{col(slug)}" for slug in REPO_SLUGS)
         + f" FROM facts0{s}",
         f"pr{s}": " UNION ALL ".join(
-            f"SELECT repo, maturity_score, '{slug}' AS slug, n{col(slug)} AS hits FROM facts{s} WHERE {col(slug)}"
+            f"SELECT {by}, maturity_score, '{slug}' AS slug, n{col(slug)} AS hits FROM facts{s} WHERE {col(slug)}"
             for slug, *_ in rules.PATTERNS
         ),
     }
@@ -190,8 +196,14 @@ def workflow_ctes(suffix: str = "", keep: str = "TRUE") -> dict[str, str]:
 
 CTES: dict[str, str] = {
     **workflow_ctes(),
+    **fact_ctes(),
     **workflow_ctes("_prev", "o_orderpriority <> '1-URGENT'"),
     **workflow_ctes("_curr", "o_orderpriority <> '5-LOW'"),
+    # both snapshots over one chain: every file is flagged once
+    "flags_snap": """
+        SELECT f.*, snapshot FROM flags f
+        JOIN (VALUES ('previous', '1-URGENT'), ('current', '5-LOW')) v(snapshot, absent) ON o_orderpriority <> absent""",
+    **fact_ctes("flags_snap", "_snap", "snapshot, repo"),
     "pdef": f"SELECT * FROM (VALUES {_rows(rules.PATTERNS)}) AS v(slug, name, category, tier)",
     "adoption": f"""
         SELECT pdef.slug, name, category, tier::BIGINT AS tier, coalesce(repos, 0) AS repo_count,

@@ -222,9 +222,8 @@ def _two_diffs(previous: str, current: str) -> str:
 
 _SHARED = "(SELECT repo FROM wf_prev INTERSECT SELECT repo FROM wf_curr)"
 _PATTERN_CHANGES = """
-    SELECT repo, slug, 'added' AS change FROM pr_curr WHERE (repo, slug) NOT IN (SELECT (repo, slug) FROM pr_prev)
-    UNION ALL
-    SELECT repo, slug, 'removed' FROM pr_prev WHERE (repo, slug) NOT IN (SELECT (repo, slug) FROM pr_curr)"""
+    SELECT repo, slug, CASE min(snapshot) WHEN 'current' THEN 'added' ELSE 'removed' END AS change
+    FROM pr_snap GROUP BY repo, slug HAVING count(*) = 1"""
 
 
 _CHANGED_REPOS = f"""
@@ -281,11 +280,15 @@ _RAW_TEXT = f"""
 _DESCRIPTIONS = """
     SELECT action, CASE WHEN b5 = 3 OR k13 THEN CASE WHEN p_partkey % 2 = 0 THEN concat('fallback for ', p_brand) ELSE '' END
                         ELSE concat(phrase, ' of ', p_brand) END AS description
-    FROM (SELECT p_partkey, p_brand, concat(p_type, '/', replace(p_name, ' ', '-'), '-', p_partkey) AS action,
+    FROM (SELECT p_partkey, p_brand, CASE WHEN p_partkey <= {ACTIONS}
+                      THEN split_part([{NAMES}][p_partkey], '@', 1)
+                      ELSE concat(p_type, '/', replace(p_name, ' ', '-'), '-', p_partkey) END AS action,
                  p_partkey % 5 AS b5, p_partkey % 13 = 0 AS k13,
                  ['GPT powered pull request helper', 'Automated code review', 'Cache things', '',
                   'Review with care, no robots'][p_partkey % 5 + 1] AS phrase
-          FROM part WHERE p_partkey % 11 <> 0)"""
+          FROM part WHERE p_partkey % 11 <> 0) WHERE NOT starts_with(action, '.')""".replace(
+    "{ACTIONS}", str(len(t.ACTIONS))
+).replace("[{NAMES}]", words(t.ACTIONS))
 _DISCOVERED = f"""
     SELECT full_name AS action FROM meta WHERE stars >= 3
     UNION SELECT unnest({words(rules.WELL_KNOWN_AI_ACTIONS)})
@@ -358,6 +361,14 @@ _REPO_LIST = f"""
     SELECT f.repo, f.workflow_count, maturity_pct, len({_SLUG_LIST}) AS pattern_count, has_matrix, has_permissions,
            has_ai_review, has_security_scan, has_cache, score AS security_score
     FROM facts f LEFT JOIN (SELECT repo, score FROM scores) USING (repo)"""
+
+
+def _listed(key: str, condition: str) -> str:
+    return f"""
+        SELECT *, row_number() OVER (ORDER BY coalesce({key}, -1) DESC, repo) AS position
+        FROM ({_REPO_LIST}) WHERE {condition}"""
+
+
 _PAIRS = f"""
     SELECT {REPO.format('c_custkey')} AS left_repo, {REPO.format('(c_custkey + 20)')} AS right_repo FROM customer"""
 _GROUPED_SEEDS = f"""SELECT split_part(name, '/', 1) AS list_name, name
@@ -401,8 +412,8 @@ _STATEMENTS: dict[str, str] = {
                {pct('count(*) FILTER (WHERE has_permissions_block)', 'count(*)')} AS percentage FROM wf""",
     "popular_actions": _POPULAR.format(50),
     "actions_categorized": f"""
-        SELECT action, usage_count, {CATEGORY} AS category, {ACTION_URL} AS url, '' AS description
-        FROM ({_POPULAR.format(50)})""",
+        SELECT action, usage_count, {CATEGORY} AS category, {ACTION_URL} AS url, coalesce(description, '') AS description
+        FROM ({_POPULAR.format(50)}) LEFT JOIN ({_DESCRIPTIONS}) USING (action)""",
     "category_usage": f"""
         SELECT {CATEGORY} AS category, sum(n)::BIGINT AS usage_count, count(*) AS action_count
         FROM (SELECT action, count(*) AS n FROM counts GROUP BY action) GROUP BY 1""",
@@ -457,7 +468,9 @@ _STATEMENTS: dict[str, str] = {
         SELECT repo, maturity_score, maturity_pct, array_to_string({_missing(1)}, '|') AS missing_en,
                array_to_string({_missing(2)}, '|') AS missing_zh FROM facts""",
     "missing_practices": _positions("facts", _missing(1), "practice"),
-    "repo_ranking": "SELECT repo, workflow_count, maturity_score, maturity_pct FROM facts",
+    "repo_ranking": """
+        SELECT repo, workflow_count, maturity_score, maturity_pct,
+               row_number() OVER (ORDER BY maturity_score DESC, repo) AS position FROM facts""",
     "maturity_histogram": "SELECT maturity_score, count(*) AS repo_count FROM facts GROUP BY maturity_score",
     "practice_adoption": _long(
         "facts",
@@ -666,8 +679,8 @@ _STATEMENTS: dict[str, str] = {
     "incremental_state": """
         SELECT repo, path, coalesce(c.sha, p.sha) AS sha FROM hash_curr c FULL JOIN hash_prev p USING (repo, path)""",
     # serving
-    "repo_list": _REPO_LIST,
-    "repo_list_search": f"SELECT * FROM ({_REPO_LIST}) WHERE contains(lower(repo), 'org7/')",
+    "repo_list": _listed("security_score", "TRUE"),
+    "repo_list_search": _listed("maturity_pct", "contains(lower(repo), 'org7/')"),
     "dashboard_patterns": """
         SELECT slug, category, repo_count, adoption_pct FROM adoption ORDER BY repo_count DESC, category, name LIMIT 8""",
     "dashboard_actions": f"SELECT action, {CATEGORY} AS category, usage_count FROM ({_POPULAR.format(15)})",

@@ -100,9 +100,16 @@ class Inputs:
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         return self.snapshot("previous"), self.snapshot("current")
 
-    def snapshot_patterns(self, which: str) -> DataFrame:
-        flags = patterns.workflow_flags(repos.workflow_detail(self.snapshot(which)))
-        return patterns.pattern_repos(patterns.repo_facts(flags)).select("repo", "slug")
+    @cached_property
+    def pattern_changes(self) -> DataFrame:
+        """Every file version is flagged once, then counted by snapshot and repo."""
+        versions = [
+            self.snapshot(which).select(F.lit(which).alias("snapshot"), "repo", "workflow_name")
+            for which in ("previous", "current")
+        ]
+        flags = patterns.of_snapshots(self.flags, versions[0].unionByName(versions[1]))
+        rows = patterns.pattern_repos(patterns.repo_facts(flags, "snapshot"), "snapshot")
+        return changes.pattern_changes(rows.select("snapshot", "repo", "slug"))
 
     def seeds(self, which: str) -> DataFrame:
         """Repositories of a snapshot as a seed list."""
@@ -197,7 +204,7 @@ def _diffs_on_shared(x: Inputs) -> DataFrame:
 def _trend_counters(x: Inputs) -> DataFrame:
     return serving.trend_counters(
         changes.workflow_changes(*x.snapshots()),
-        changes.pattern_changes(x.snapshot_patterns("previous"), x.snapshot_patterns("current")),
+        x.pattern_changes,
         x.configs,
         signals.structure_adoption(x.files, x.observed),
     )
@@ -252,7 +259,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "matrix_usage": lambda x: adoption.matrix_usage(x.workflows),
     "permissions_usage": lambda x: adoption.permissions_usage(x.workflows),
     "popular_actions": lambda x: adoption.popular_actions(x.workflows),
-    "actions_categorized": lambda x: adoption.actions_categorized(adoption.popular_actions(x.workflows)),
+    "actions_categorized": lambda x: adoption.actions_categorized(
+        adoption.popular_actions(x.workflows), x.descriptions
+    ),
     "category_usage": lambda x: adoption.category_usage(x.workflows),
     "ai_adoption": lambda x: adoption.ai_adoption(x.workflows),
     "ai_tool_breakdown": lambda x: adoption.ai_tool_breakdown(x.workflows),
@@ -323,14 +332,12 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "metric_diffs_two": lambda x: changes.two_snapshot_diffs(*x.snapshots()),
     "workflows_added": lambda x: changes.workflows_added(*x.snapshots()),
     "workflows_removed": lambda x: changes.workflows_removed(*x.snapshots()),
-    "pattern_changes": lambda x: changes.pattern_changes(
-        x.snapshot_patterns("previous"), x.snapshot_patterns("current")
-    ),
+    "pattern_changes": lambda x: x.pattern_changes,
     "pattern_changed_repos": lambda x: changes.changed_repos(
-        changes.pattern_changes(x.snapshot_patterns("previous"), x.snapshot_patterns("current"))
+        x.pattern_changes
     ),
     "pattern_changed_listed": lambda x: changes.changed_repos_listed(
-        changes.pattern_changes(x.snapshot_patterns("previous"), x.snapshot_patterns("current"))
+        x.pattern_changes
     ),
     "trend_on_intersection": _diffs_on_shared,
     "previous_snapshot": lambda x: changes.previous_snapshot(

@@ -460,11 +460,13 @@ def repo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definition files of actions: one action per part, one or two candidate files each."""
+    """Definition files of actions: one action per part, the first parts those of the workflows; one or two candidate files
+    each."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     action = F.concat(F.col("p_type"), F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"), key.cast("string"))
-    name = F.when(key % 11 == 0, F.concat(F.lit("./"), "p_type")).otherwise(action)
+    used = _pick(tuple(name.split("@")[0] for name in ACTIONS), key - 1)
+    name = F.when(key % 11 == 0, F.concat(F.lit("./"), "p_type")).when(key <= len(ACTIONS), used).otherwise(action)
     phrase = (
         F.when(key % 5 == 0, "GPT powered pull request helper")
         .when(key % 5 == 1, "Automated code review")

@@ -5,39 +5,48 @@ import pytest
 from pyspark.sql import functions as F
 
 from forgelens import rules, schemas
-from forgelens.functions.parsers import parse_config
 from forgelens.operators import signals
 
 
-def test_json_with_comments():
-    row = parse_config(
+@pytest.fixture(scope="module")
+def read(spark):
+    def one(kind, path, body):
+        known = spark.createDataFrame([("r", path, body, kind)], "repo string, path string, content string, kind string")
+        return signals.read_configs(known).first()
+
+    return one
+
+
+def test_json_with_comments(read):
+    row = read(
         "tsconfig", "tsconfig.json",
         '{\n// c\n"extends": "./b", /* x\n y */ "compilerOptions": {"strict": true, "paths": {"a": ["b"]}, "jsx": "react",},\n}',
     )
     assert (row["kind"], row["extends"], row["strict"], row["jsx"], row["paths_configured"]) == ("tsconfig", "./b", True, "react", True)
     # comment marks inside strings are cut as well, which breaks the file
-    assert parse_config("tsconfig", "t", '{"extends": "http://x"}')["kind"] == "parse_error"
+    assert read("tsconfig", "t", '{"extends": "http://x"}')["kind"] == "parse_error"
+    assert read("tsconfig", "t", '{"compilerOptions": {"strict": "true", "paths": {}}}')["strict"] is None
 
 
-def test_python_and_rust_projects():
-    row = parse_config(
+def test_python_and_rust_projects(read):
+    row = read(
         "pyproject", "pyproject.toml",
         '[project]\nname = "p"\nrequires-python = ">=3.12"\n[build-system]\nbuild-backend = "b"\n[tool.ruff]\nx = 1\n[tool.uv]\n',
     )
     assert (row["project_name"], row["requires_python"], row["build_backend"]) == ("p", ">=3.12", "b")
     assert (row["uses_ruff"], row["uses_pytest"], row["uses_uv"]) == (True, False, True)
-    row = parse_config("cargo", "Cargo.toml", '[workspace]\nmembers = ["a", "b"]\n[package]\nname = "c"\nedition = "2021"\n')
+    row = read("cargo", "Cargo.toml", '[workspace]\nmembers = ["a", "b"]\n[package]\nname = "c"\nedition = "2021"\n')
     assert (row["workspace"], row["package_name"], row["edition"], row["workspace_members"]) == (True, "c", "2021", 2)
-    assert parse_config("cargo", "Cargo.toml", "x = [")["kind"] == "parse_error"
+    assert read("cargo", "Cargo.toml", "x = [")["kind"] == "parse_error"
 
 
-def test_monorepo_files():
-    row = parse_config("pnpm_workspace", "p", "packages:\n  - a/*\n  - b\n")
+def test_monorepo_files(read):
+    row = read("pnpm_workspace", "pnpm-workspace.yaml", "packages:\n  - a/*\n  - b\n")
     assert (row["package_patterns"], row["package_pattern_count"]) == (["a/*", "b"], 2)
-    assert parse_config("pnpm_workspace", "p", "")["package_pattern_count"] == 0
-    row = parse_config("turbo", "turbo.json", '{"tasks": {}, "pipeline": {"a": {}, "b": {}}, "remoteCache": {"x": 1}}')
+    assert read("pnpm_workspace", "pnpm-workspace.yaml", "")["package_pattern_count"] == 0
+    row = read("turbo", "turbo.json", '{"tasks": {}, "pipeline": {"a": {}, "b": {}}, "remoteCache": {"x": 1}}')
     assert (row["task_count"], row["uses_remote_cache"]) == (2, True)
-    row = parse_config("nx", "nx.json", '{"plugins": ["p"], "namedInputs": {"z": 1, "a": 2}}')
+    row = read("nx", "nx.json", '{"plugins": ["p"], "namedInputs": {"z": 1, "a": 2}}')
     assert (row["plugins"], row["plugin_count"], row["named_inputs"]) == (["p"], 1, ["a", "z"])
 
 
@@ -54,8 +63,8 @@ def test_monorepo_files():
         ("biome.jsonc", "[1]", [], 0),
     ],
 )
-def test_linter_files(path, body, keys, count):
-    row = parse_config("linter", path, body)
+def test_linter_files(read, path, body, keys, count):
+    row = read("linter", path, body)
     assert (row["kind"], row["top_level_keys"], row["rule_count"]) == ("linter", keys, count)
 
 

@@ -79,10 +79,8 @@ def test_changes(make_workflows, spark):
     assert first["total_workflows"] == 0.0
     shared = changes.on_shared_repos(previous, current)
     assert [df.select("repo").distinct().count() for df in shared] == [1, 1]
-    slugs = "repo string, slug string"
-    moved = changes.pattern_changes(
-        spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], slugs), spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "x")], slugs)
-    )
+    rows = [("previous", "a", "x"), ("previous", "a", "y"), ("previous", "b", "x"), ("current", "a", "y"), ("current", "a", "z"), ("current", "b", "x")]
+    moved = changes.pattern_changes(spark.createDataFrame(rows, "snapshot string, repo string, slug string"))
     assert [tuple(row) for row in changes.changed_repos(moved).collect()] == [("a", ["z"], ["x"])]
 
 
@@ -130,7 +128,7 @@ def test_serving(spark, make_workflows):
     facts = patterns.repo_facts(patterns.workflow_flags(detail))
     scores = security.security_scores(detail)
     listed = serving.repo_list(facts, scores.where("repo = 'b/y'"), sort="security_score")
-    assert [(row.repo, row.security_score) for row in listed.collect()] == [("b/y", 0.0), ("acme/app", None)]
+    assert [(row.repo, row.security_score) for row in listed.orderBy("position").collect()] == [("b/y", 0.0), ("acme/app", None)]
     assert [row.repo for row in serving.repo_list(facts, scores, "ACME").collect()] == ["acme/app"]
     with pytest.raises(ValueError):
         serving.repo_list(facts, scores, sort="x")
