@@ -84,15 +84,6 @@ def only_matching(array: str, terms, guard: Column) -> Column:
     return F.when(guard, F.filter(array, lambda item: item.rlike(pattern))).otherwise(strings(()))
 
 
-def joined(array: Column) -> Column:
-    """Space-joined array; absent arrays become the empty string so the field keeps its place."""
-    return F.coalesce(F.array_join(array, " "), F.lit(""))
-
-
-def lines_of(*fields: Column) -> Column:
-    return F.concat_ws("\n", *[F.coalesce(field, F.lit("")) for field in fields])
-
-
 def normalized_action(action: Column) -> Column:
     """Action name without its pinned version."""
     return F.substring_index(action, "@", 1)

@@ -274,7 +274,3 @@ def pattern_examples(detail: DataFrame, limit: int = EXAMPLES) -> DataFrame:
         *[F.when(by_repo, F.lit("")).otherwise(F.col(name)).alias(name) for name in _KEYS[1:]],
         detail.alias("detail"),
     )
-
-
-def definitions(spark) -> DataFrame:
-    return rule_table(spark, ("slug", "name", "category", "tier"), rules.PATTERNS)

@@ -89,9 +89,10 @@ def pair_workflows(pairs: DataFrame, workflows: DataFrame) -> DataFrame:
     usable = sides.join(complete.where("_sides = 2"), ["left_repo", "right_repo"], "left_semi")
     named = usable.join(workflows.select("repo", "workflow_name"), "repo")
     met = named.groupBy("left_repo", "right_repo", "workflow_name").agg(
-        F.min("side").alias("side"), F.max("side").alias("_other")
+        F.bool_or(F.col("side") == "left").alias("_left"), F.bool_or(F.col("side") == "right").alias("_right")
     )
-    return met.where(F.col("side") == F.col("_other")).drop("_other")
+    side = F.when(F.col("_left"), "left").otherwise("right")
+    return met.where(F.col("_left") != F.col("_right")).withColumn("side", side).drop("_left", "_right")
 
 
 def repo_advice(detail: DataFrame, scores: DataFrame) -> DataFrame:
