@@ -27,7 +27,6 @@ QUERIES = {
 }
 STATEMENTS = {
     "op1_embedding_dedup": embedding_dedup.SQL,
-    "op3_brown_lm": brown_lm.query,
     "op5_license_scan": license_scan.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
