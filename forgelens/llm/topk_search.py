@@ -25,8 +25,9 @@ K = 5
 SCALE = 256
 QUERY_EVERY = 50
 SHARD_VECTORS, BLOCK_QUERIES = 8192, 512
-READS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # shares of a list after which the bounds are compared
-SET_BITS = 11  # lists whose open sums are tabled together
+READS = (0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # shares of a list after which the bounds are compared
+TOGETHER = 128  # queries of a matrix product
+EXACT = 2.0**52
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -44,67 +45,67 @@ def usual_length(rows: DataFrame) -> int:
 
 
 class Lists:
-    """The sorted lists of a shard: for each dimension positions and values, ascending and descending."""
+    """The sorted lists of a shard, one a dimension: the place of every candidate and the values in descending order.
+
+    A list is read from its upper end for positive weights and from its lower end for negative ones.  What all lists
+    have given down to a depth is a matrix with zeros for what they have not, so a step of reading is done for many
+    queries by matrix products.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        up = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        values = np.take_along_axis(self.vectors.T, up, axis=1)
-        self.order, self.values = (up, up[:, ::-1].copy()), (values, values[:, ::-1].copy())
+        down = np.argsort(-self.vectors, axis=0, kind="stable")
+        self.place = np.empty(down.shape, np.int32)
+        np.put_along_axis(self.place, down, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.values = np.take_along_axis(self.vectors, down, axis=0).astype(np.float64)
 
-    def top(self, query: np.ndarray, own: int, k: int):
-        """(vec_ids, scores) of a superset of the best k, scores exact."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the positions of a superset of its best k."""
         n = len(self.ids)
-        dims = np.flatnonzero(query)  # a zero weight adds nothing anywhere
-        weights, down = query[dims], (query[dims] >= 0)[:, None]
-        last = np.where(down[:, 0], self.values[0][dims, 0], self.values[0][dims, -1])
-        worst = _open_sums(weights * last)
-        seen_sum, seen = np.zeros(n), np.zeros((len(worst), n), np.int64)
-        alive, start = np.flatnonzero(self.ids != own), 0
+        whole, weights = self.vectors.astype(np.float64), queries.astype(np.float64)
+        alive = self.ids[:, None] != own[None, :]
+        most = np.abs(self.values[[0, -1]]).max(axis=0)
+        todo = np.flatnonzero(np.abs(weights) @ most < EXACT)  # others: every candidate is resolved
         for share in READS:
             stop = round(share * n)
-            if stop == start or len(alive) <= k:
+            if not stop or not len(todo):
                 continue
-            at = np.where(down, self.order[1][dims, start:stop], self.order[0][dims, start:stop])
-            values = np.where(down, self.values[1][dims, start:stop], self.values[0][dims, start:stop]) * weights[:, None]
-            # a list gives a candidate once: sums of distinct bits are sets of lists (sums below 2**53 are exact)
-            seen_sum += np.bincount(at.ravel(), values.ravel(), n)
-            for part in range(len(worst)):
-                rows = slice(part * SET_BITS, (part + 1) * SET_BITS)
-                bits = np.repeat(2.0 ** np.arange(len(at[rows])), stop - start)
-                seen[part] += np.bincount(at[rows].ravel(), bits, n).astype(np.int64)
-            start, best = stop, _open_sums(values[:, -1])
-            upper, lower = seen_sum[alive], seen_sum[alive]
-            for part, met in enumerate(seen[:, alive]):
-                upper, lower = upper + best[part][met], lower + worst[part][met]
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= bar]
-            if len(alive) <= 4 * k:
-                break
-        return self.ids[alive], self.vectors[alive] @ query  # resolves what the lists have not given yet
-
-
-def _open_sums(parts: np.ndarray) -> list[np.ndarray]:
-    """Of each run of SET_BITS lists: for every set of them (as bits) the sum of ``parts`` over those outside it."""
-    out = []
-    for first in range(0, max(1, len(parts)), SET_BITS):
-        sums = np.zeros(1)
-        for part in parts[first : first + SET_BITS]:
-            sums = np.concatenate([sums + part, sums])
-        out.append(sums)
-    return out
+            high, low = np.maximum(weights[todo], 0).T, np.minimum(weights[todo], 0).T
+            upper_end, lower_end = self.place < stop, self.place >= n - stop
+            given = (whole * upper_end) @ high + (whole * lower_end) @ low
+            rest = (~upper_end).astype(np.float64), (~lower_end).astype(np.float64)
+            # a list not met gives at most the value just read and at least its last one
+            best = rest[0] @ (high * self.values[stop - 1][:, None]) + rest[1] @ (low * self.values[n - stop][:, None])
+            least = rest[0] @ (high * self.values[-1][:, None]) + rest[1] @ (low * self.values[0][:, None])
+            mine = alive[:, todo]
+            lower = np.where(mine, given + least, -np.inf)
+            bar = np.partition(lower, n - min(k, n), axis=0)[n - min(k, n)]
+            mine &= given + best >= bar
+            alive[:, todo] = mine
+            todo = todo[mine.sum(axis=0) > 4 * k]
+        return [np.flatnonzero(column) for column in alive.T]
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(vec_ids, scores) of the best k; scores that the lists have not given in full are resolved."""
+        out = []
+        for query, at in zip(queries, self.top(queries, own, k)):
+            scores = self.vectors[at] @ query
+            first = np.lexsort((self.ids[at], -scores))[:k]
+            out.append((self.ids[at][first], scores[first]))
+        return out
 
 
 def search_block(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(shard):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
     lists = Lists(shard["vec_id"].to_numpy(np.int64), np.stack(shard["v"].to_list()).astype(np.int64))
+    asked, vectors = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_list()).astype(np.int64)
     out = []
-    for query_id, vector in zip(queries["vec_id"], queries["v"]):
-        ids, scores = lists.top(np.asarray(vector, np.int64), query_id, k)
-        best = np.lexsort((ids, -scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best]}))
+    for at in range(0, len(asked), TOGETHER):
+        own = asked[at : at + TOGETHER]
+        for query_id, (ids, scores) in zip(own, lists.best(vectors[at : at + TOGETHER], own, k)):
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
     return pd.concat(out, ignore_index=True).astype("int64")
 
 
