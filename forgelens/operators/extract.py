@@ -73,6 +73,25 @@ def with_known_ai_actions(workflows: DataFrame, known: DataFrame) -> DataFrame:
     return used.join(known.select("action").distinct(), "action", "left_semi")
 
 
+def with_known_ai_flags(workflows: DataFrame, known: DataFrame) -> DataFrame:
+    """Workflows whose AI-review actions and flag come from a table of known names (column ``action``), in step order.
+
+    The list collected for a file holds some of its own steps.
+    """
+    keys = ["repo", "workflow_path", "crawl_date"]
+    used = workflows.select(*keys, F.posexplode("actions_normalized").alias("_pos", "action"))
+    hits = used.join(known.select("action").distinct(), "action", "left_semi")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "action"))), lambda hit: hit["action"])
+    found = hits.groupBy(*keys).agg(listed.alias("_found"))
+    flagged = workflows.join(found, keys, "left").withColumns(
+        {
+            "ai_review_actions": F.coalesce("_found", text.strings(())),
+            "has_ai_review": F.col("_found").isNotNull(),
+        }
+    )
+    return flagged.select(*workflows.columns)
+
+
 def action_descriptions(definitions: DataFrame) -> DataFrame:
     """Description per action from its definition files (action, candidate, content).
 

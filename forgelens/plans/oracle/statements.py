@@ -396,6 +396,15 @@ _STATEMENTS: dict[str, str] = {
         SELECT action, repo, workflow_name
         FROM (SELECT repo, workflow_name, unnest(actions_normalized) AS action FROM wf)
         WHERE action IN ({_DISCOVERED})""",
+    "ai_tools_known": f"""
+        SELECT action, count(DISTINCT repo) AS repo_count
+        FROM (SELECT repo, unnest(actions_normalized) AS action FROM wf)
+        WHERE action IN ({_DISCOVERED}) GROUP BY action""",
+    "adoption_counts_known": f"""
+        SELECT count(DISTINCT repo) AS total_repos,
+               (SELECT count(DISTINCT repo) FROM (SELECT repo, unnest(actions_normalized) AS action FROM wf)
+                WHERE action IN ({_DISCOVERED})) AS ai_review_repos,
+               count(DISTINCT repo) FILTER (WHERE has_security_scan) AS security_scan_repos FROM wf""",
     "security_scan_flag": "SELECT repo, workflow_name FROM wf WHERE has_security_scan",
     "action_descriptions": _DESCRIPTIONS,
     # adoption

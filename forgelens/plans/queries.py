@@ -94,6 +94,13 @@ class Inputs:
     def descriptions(self) -> DataFrame:
         return extract.action_descriptions(self._of(tables.action_definitions))
 
+    @cached_property
+    def known_ai(self) -> DataFrame:
+        """Workflows flagged by the table of discovered AI-review actions instead of by name."""
+        return extract.with_known_ai_flags(
+            self.workflows, adoption.ai_action_discovery(self.metadata, self.descriptions)
+        )
+
     def snapshot(self, which: str) -> DataFrame:
         return self._of(tables.workflows, tables.snapshot_orders(which))
 
@@ -251,6 +258,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "ai_actions_known": lambda x: extract.with_known_ai_actions(
         x.workflows, adoption.ai_action_discovery(x.metadata, x.descriptions)
     ),
+    "ai_tools_known": lambda x: adoption.ai_tool_breakdown(x.known_ai).select("action", "repo_count"),
+    "adoption_counts_known": lambda x: adoption.adoption_counts(x.known_ai),
     "security_scan_flag": lambda x: x.workflows.where("has_security_scan").select("repo", "workflow_name"),
     "action_descriptions": lambda x: x.descriptions,
     # adoption

@@ -19,7 +19,7 @@ TABLES = (
     " conversations"
 ).split()
 PYTHON_STAGES = {
-    "extracted_workflows", "parse_errors", "actions_categorized", "ai_actions_known", "action_descriptions", "ai_action_discovery", "config_files",
+    "extracted_workflows", "parse_errors", "ai_tools_known", "adoption_counts_known", "actions_categorized", "ai_actions_known", "action_descriptions", "ai_action_discovery", "config_files",
     "config_trends", "config_counters", "build_backends", "trend_counters",
 }
 
