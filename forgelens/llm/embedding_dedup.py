@@ -1,10 +1,12 @@
 """Near-duplicate embeddings: HNSW graphs per shard, cosine checked in double precision, linked ones united.
 
 Equal vectors are one class from the start.  Classes are dealt over shards by a hash; each shard gets a graph (hnsw.py),
-and every class queries every shard.  A beam of which a quarter could be links is widened for that query; an
-audit of each (query block, shard) compares sampled queries with a full scan of the shard, for links and for the
-``AUDIT_NEIGHBOURS`` nearest, and doubles the beam for the whole block until it passes; a beam as wide as the shard is a
-full scan.  A task returns link counts and a spanning forest of the links that it found, never the pairs.
+and every class queries every shard.  A beam of which a quarter could be links is widened for that query; an audit of
+each (query block, shard) compares every ``AUDIT_EVERY``-th query with a full scan of the shard, and doubles the beam for
+the whole block while a link of theirs is missing; a beam as wide as the shard is a full scan.
+
+A class with few links in a shard returns them, and a link that one side found counts for both.  One with more returns
+their number, and the task a spanning forest of such links; a dense group is never written out as pairs.
 
 ``SHARD_VECTORS`` bounds a shard and ``BLOCK_QUERIES`` a block of queries, hence the memory of a task.
 
@@ -23,12 +25,12 @@ from .common import written
 from .components import components, forest
 
 MIN_COSINE = 0.95
-LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 500_000, 4096
-BEAM, WIDEN = 64, 4
-AUDIT_EVERY, AUDIT_NEIGHBOURS, AUDIT_RECALL = 64, 10, 0.95
+LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 65_536, 4096
+BEAM, WIDEN, FEW = 32, 4, 8
+AUDIT_EVERY = 16
 ROUNDING = 1e-4  # of single precision, in which the graph is searched
 NODES = "dim int, shard int, node int, id long, copies long, embedding array<float>, links array<int>"
-FOUND = "a long, b long, n long"
+FOUND = "kind string, a long, b long, n long"  # a link, an edge of a forest, or the number of links in a shard
 
 
 def valid() -> Column:
@@ -88,9 +90,8 @@ class Shard:
         return at, node
 
     def _beams(self, queries: np.ndarray, width: int):
-        """(query, node) pairs that may be links, and the ids of each query's nearest nodes found."""
+        """(query, node) pairs that may be links."""
         entry = hnsw.descend(self.x, self.levels, queries, 0)
-        near = np.full((len(queries), AUDIT_NEIGHBOURS), -1, np.int32)
         pairs, rows = [], np.arange(len(queries))
         while len(rows):
             if width >= len(self.x):
@@ -98,31 +99,22 @@ class Shard:
                 pairs.append((rows[at], node))
                 break
             ids, sims = hnsw.beam(self.x, self.levels[0], queries[rows], entry[rows], width)
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :AUDIT_NEIGHBOURS]
-            near[rows, : top.shape[1]] = np.take_along_axis(ids, top, 1)
             close = sims >= MIN_COSINE - ROUNDING
             full = WIDEN * close.sum(1) >= width  # so large a part of the beam may be links that there may be more
             at, column = np.nonzero(close & ~full[:, None])
             pairs.append((rows[at], ids[at, column]))
             rows, width = rows[full], width * WIDEN
         at, node = (np.concatenate(side) for side in zip(*pairs))
-        return at, node.astype(np.int64), near
+        return at, node.astype(np.int64)
 
-    def _passes(self, queries, at, node, near) -> bool:
+    def _passes(self, queries, at, node) -> bool:
         some = np.arange(0, len(queries), AUDIT_EVERY)
+        known = set(zip(at.tolist(), node.tolist()))
         for start in range(0, len(some), AUDIT_EVERY):
             rows = some[start : start + AUDIT_EVERY]
-            sims = queries[rows] @ self.x.T
-            asked, true = np.nonzero(sims >= MIN_COSINE + ROUNDING)
-            known = set(zip(at.tolist(), node.tolist())) if len(asked) else set()
+            asked, true = np.nonzero(queries[rows] @ self.x.T >= MIN_COSINE + ROUNDING)
             if not known.issuperset(zip(rows[asked].tolist(), true.tolist())):
                 return False
-            k = min(AUDIT_NEIGHBOURS, sims.shape[1])
-            nearest = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            hits = sum(len(np.intersect1d(a, b)) for a, b in zip(nearest, near[rows]))
-            searched = (near[rows, 0] >= 0).any()
-            if searched and hits < AUDIT_RECALL * nearest.size:
-                return False
         return True
 
     def links(self, queries: np.ndarray, exact: np.ndarray):
@@ -132,8 +124,8 @@ class Shard:
             if width >= len(self.x):
                 at, node = self._full(queries)
                 break
-            at, node, near = self._beams(queries, width)
-            if self._passes(queries, at, node, near):
+            at, node = self._beams(queries, width)
+            if self._passes(queries, at, node):
                 break
             width *= 2
         keep = []
@@ -145,27 +137,31 @@ class Shard:
 
 
 def search_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-    """Link counts (a, null, n) and edges (a, b, null)."""
-    empty = pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
+    """Rows of FOUND: links of the classes that have few, numbers and forest edges of the others."""
+    columns = {"kind": "object", "a": "Int64", "b": "Int64", "n": "Int64"}
+    none = pd.DataFrame({name: [] for name in columns}).astype(columns)
     if not len(queries) or not len(nodes):
-        return empty
+        return none
     shard, (exact, x) = Shard(nodes), _units(queries)
     ids = queries["id"].to_numpy(np.int64)
     at, node = shard.links(x, exact)
     other = ids[at] != shard.ids[node]
     at, node = at[other], node[other]
-    if not len(at):
-        return empty
-    asked, place = np.unique(at, return_inverse=True)
-    counts = np.bincount(place, shard.copies[node]).astype(np.int64)
-    left, right = forest(ids[at], shard.ids[node])
-    counted = pd.DataFrame({"a": ids[asked], "b": pd.NA, "n": counts})
-    edges = pd.DataFrame({"a": left, "b": right, "n": pd.NA})
-    return pd.concat([counted.astype("Int64"), edges.astype("Int64")], ignore_index=True)
+    few = (np.bincount(at, minlength=len(ids)) <= FEW)[at]
+    asked, place = np.unique(at[~few], return_inverse=True)
+    counts = np.bincount(place, shard.copies[node[~few]]).astype(np.int64)
+    left, right = forest(ids[at[~few]], shard.ids[node[~few]])
+    parts = [
+        {"kind": "link", "a": ids[at[few]], "b": shard.ids[node[few]], "n": pd.NA},
+        {"kind": "number", "a": ids[asked], "b": nodes["shard"].iloc[0], "n": counts},
+        {"kind": "edge", "a": left, "b": right, "n": pd.NA},
+    ]
+    frames = [pd.DataFrame(part, index=range(len(part["a"]))).astype(columns) for part in parts]
+    return pd.concat([none, *frames], ignore_index=True)
 
 
-def _cell(count: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+def _cell(column: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -173,7 +169,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     members, classes = classes_of(vectors)
     n = classes.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_VECTORS)), max(2, -(-n // BLOCK_QUERIES))
-    dealt = classes.withColumn("shard", _cell(shards)).select("dim", "shard", "id", "copies", "embedding")
+    dealt = classes.withColumn("shard", _cell("id", shards)).select("dim", "shard", "id", "copies", "embedding")
     graphs = written(dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build_shard, NODES), "graphs")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     cell, tasks = ["dim", "shard", "block"], 2 * shards * blocks
@@ -185,8 +181,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         .applyInPandas(search_block, FOUND),
         "found",
     )
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    united = components(found.where("b IS NOT NULL").select("a", "b"))
+    links = found.where("kind = 'link'").select("a", "b")
+    links = links.union(links.select("b", "a")).distinct()  # found from either side
+    numbers = found.where("kind = 'number'").select("a", F.col("b").cast("int").alias("shard"), "n")
+    own = links.withColumn("shard", _cell("b", shards)).join(numbers, ["a", "shard"], "left_anti")
+    copies = classes.select(F.col("id").alias("b"), F.col("copies").alias("n"))
+    counts = own.join(copies, "b").select("a", "n").union(numbers.select("a", "n"))
+    counts = counts.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    united = components(links.union(found.where("kind = 'edge'").select("a", "b")))
     rows = vectors.where("vec_id IS NOT NULL").select("vec_id").distinct()
     joined = rows.join(members, "vec_id", "left").join(counts, "id", "left").join(united, "id", "left")
     component = F.coalesce("component", "id", "vec_id")

@@ -7,10 +7,10 @@ there, chosen so that they do not all lie in one direction, and linked back.
 
 import numpy as np
 
-DEGREE, UPPER_DEGREE, FANOUT = 32, 16, 16
-BUILD_BEAM, FIRST, BATCH = 48, 128, 1024
+DEGREE, UPPER_DEGREE, FANOUT = 24, 16, 16
+BUILD_BEAM, FIRST, BATCH = 40, 128, 1024
 EXPAND = 4  # nodes of a beam that one step expands
-VISITED_BYTES = 1 << 26
+VISITED_BYTES = 1 << 23
 NONE = np.float32(-2)
 
 
