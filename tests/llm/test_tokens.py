@@ -78,7 +78,7 @@ def test_word_table_forgets_but_stays_right():
     for _ in range(50):
         texts = [[f"w{rng.randrange(60)}," for _ in range(rng.randrange(9))] for _ in range(3)]
         assert table.join(texts) == ["".join(text).encode() for text in texts]
-    assert len(table.recent) <= 40 and len(table.older) <= 40
+    assert len(table.recent) <= 50 and len(table.older) <= 50
 
 
 @pytest.fixture(scope="module")
