@@ -146,7 +146,7 @@ def slugs_of() -> Column:
     return _compact([(flag(slug), text.quoted(slug)) for slug in sorted(ALL_SLUGS)])
 
 
-def pattern_repos(facts: DataFrame, *by: str) -> DataFrame:
+def pattern_repos(facts: DataFrame, *by: str, slugs: tuple[str, ...] = ALL_SLUGS) -> DataFrame:
     """Long form: (repo, slug) of the patterns each repo has, with what the repo-level ones rest on."""
     details = {
         "multiple-build-systems": "array_join(build_systems, ',')",
@@ -155,7 +155,7 @@ def pattern_repos(facts: DataFrame, *by: str) -> DataFrame:
     cells = _compact(
         [
             (flag(slug), f"struct({text.quoted(slug)} AS slug, {details.get(slug, text.quoted(''))} AS detail)")
-            for slug in ALL_SLUGS
+            for slug in slugs
         ]
     )
     return facts.select(*by, "repo", "maturity_score", F.inline(cells))
@@ -225,10 +225,10 @@ def pattern_by_tier(facts: DataFrame) -> DataFrame:
     )
 
 
-def top_repos(facts: DataFrame, limit: int, *order: Column) -> DataFrame:
+def top_repos(facts: DataFrame, limit: int, *order: Column, slugs: tuple[str, ...] = ALL_SLUGS) -> DataFrame:
     """First repos of each pattern; the row limit is applied before and after the shuffle."""
     window = Window.partitionBy("slug").orderBy(*order)
-    ranked = pattern_repos(facts).withColumn("position", F.row_number().over(window).cast("bigint"))
+    ranked = pattern_repos(facts, slugs=slugs).withColumn("position", F.row_number().over(window).cast("bigint"))
     return ranked.where(F.col("position") <= limit)
 
 
@@ -236,19 +236,21 @@ def pattern_top_repos(facts: DataFrame, limit: int = 3) -> DataFrame:
     return top_repos(facts, limit, F.col("repo")).select("slug", "position", "repo")
 
 
-def pattern_examples(detail: DataFrame, limit: int = EXAMPLES) -> DataFrame:
-    """First examples of each pattern by (maturity desc, repo, workflow).
+def pattern_examples(detail: DataFrame, limit: int = EXAMPLES, slugs: tuple[str, ...] = ALL_SLUGS) -> DataFrame:
+    """First examples of each pattern by (maturity desc, repo, workflow); rules of other patterns are not evaluated.
 
     They lie in the first ``limit`` repos that have the pattern, so those few repos are picked from the per-repo
     table first and the rules run again on their workflows only, of which at most ``limit`` of each are kept.  A
     release train is one example that lists the names of its first release workflows.
     """
     train = "multi-stage-release"
-    picked = top_repos(repo_facts(workflow_flags(detail)), limit, F.desc("maturity_score"), F.col("repo")).select(
+    picked = top_repos(repo_facts(workflow_flags(detail)), limit, F.desc("maturity_score"), F.col("repo"), slugs=slugs).select(
         "slug", "repo", F.col("position").alias("repo_rank"), "detail"
     )
     cells = _compact(
-        [(flag(slug), text.quoted(slug)) for slug in WORKFLOW_SLUGS] + [("is_release", text.quoted(train))]
+        [(flag(slug), text.quoted(slug)) for slug in slugs if slug in WORKFLOW_SLUGS]
+        + [("is_release", text.quoted(train))] * (train in slugs)
+        or [("false", text.quoted(train))]  # repo-level patterns have no workflow rows
     )
     # the picked side has at most ``limit`` rows per pattern
     few = detail.join(F.broadcast(picked.select("repo").distinct()), "repo", "left_semi")

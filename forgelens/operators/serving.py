@@ -115,8 +115,9 @@ def patterns_in_category(facts: DataFrame, category: str) -> DataFrame:
     )
 
 
-def examples_of(examples: DataFrame, slug: str) -> DataFrame:
-    return examples.where(F.col("slug") == slug)
+def examples_of(detail: DataFrame, slug: str) -> DataFrame:
+    """Examples of one pattern; only its rule is evaluated."""
+    return patterns.pattern_examples(detail, slugs=(slug,))
 
 
 def health_check(scan: DataFrame) -> DataFrame:

@@ -419,7 +419,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "repo_advice": lambda x: serving.repo_advice(x.detail, x.scores),
     "flaky_signal": lambda x: serving.flaky_signal(x.facts),
     "patterns_in_category": lambda x: serving.patterns_in_category(x.facts, "Testing Strategy"),
-    "flaky_examples": lambda x: serving.examples_of(_examples(x), "flaky-test-retry"),
+    "flaky_examples": lambda x: serving.examples_of(x.detail, "flaky-test-retry"),
     "health_check": lambda x: serving.health_check(x.scan),
     "trend_counters": _trend_counters,
     "workflow_raw_sources": lambda x: serving.raw_sources(x.detail, x.raw_files).select(

@@ -82,9 +82,10 @@ def test_unused_columns_are_not_read(spark, sf_dir):
     assert any("l_orderkey" in schema and "l_partkey" not in schema for schema in schemas), plan
 
 
-def test_a_pattern_query_evaluates_only_its_own_rule(spark, sf_dir):
-    plan = plan_of(spark, sf_dir, "pattern_chaos_engineering")
-    assert "toxiproxy" in plan and "callgrind" not in plan
+@pytest.mark.parametrize("name, own", [("pattern_chaos_engineering", "toxiproxy"), ("flaky_examples", "flaky")])
+def test_a_pattern_query_evaluates_only_its_own_rule(spark, sf_dir, name, own):
+    plan = plan_of(spark, sf_dir, name)
+    assert own in plan and "callgrind" not in plan
 
 
 @pytest.mark.parametrize("name", ["pattern_adoption", "repo_patterns", "security_scores", "repo_maturity"])
