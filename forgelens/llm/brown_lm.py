@@ -40,7 +40,7 @@ TRANSITION_WEIGHT, EMISSION_WEIGHT = 20.0, 0.5
 FOLDS, HELD_FOLD = 7, 2
 END = UNITS + ENDINGS  # the unit of a document's end
 COUNT_BLOCKS = 16
-FLUSH_WORDS, FLUSH_TOKENS = 200_000, 1 << 22
+FLUSH_WORDS, FLUSH_TOKENS, GROUP_TEXTS = 200_000, 1 << 19, 512
 # sums over frequent words; with a word set, a row of the tail instead
 PARTS = (
     T.StructType().add("_key", "long").add("_tokens", "long").add("_known", "long").add("_base", "double")
@@ -105,24 +105,27 @@ def unit_bigrams(texts: DataFrame, head) -> np.ndarray:
     size = END + 1
     bounds = np.linspace(0, size * size, COUNT_BLOCKS + 1).astype(np.int64)
 
+    def add(cells, held):
+        met, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        cells[met] += times.astype(np.int32)
+
     def count(batches):
-        known, held, tokens, cells = Vocabulary(head.value), [], 0, np.zeros(size * size, np.int64)
+        known, held, tokens, cells = Vocabulary(head.value), [], 0, np.zeros(size * size, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 units = known.units(words_of(text)).astype(np.int64)
                 held.append(units[:-1] * size + units[1:])
                 tokens += len(units)
                 if tokens >= FLUSH_TOKENS:
-                    cells += np.bincount(np.concatenate(held), minlength=size * size)
+                    add(cells, held)
                     held, tokens = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(held), minlength=size * size)
+        add(cells, held)
         at = np.flatnonzero(cells)
         cuts = np.searchsorted(at, bounds)
         for block, (start, stop) in enumerate(zip(cuts, cuts[1:])):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int32()), pa.array([(at[start:stop] - bounds[block]).astype(np.uint32).tobytes()]),
-                 pa.array([cells[at[start:stop]].tobytes()])],
+                 pa.array([cells[at[start:stop]].astype(np.int64).tobytes()])],
                 ["block", "cells", "counts"],
             )
 
@@ -291,7 +294,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     def run(batches):
         known, part, row = Model(*shared.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(at, GROUP_TEXTS) for whole in batches for at in range(0, whole.num_rows, GROUP_TEXTS)):
             rows, tails = [], []
             for text in batch.column("text").to_pylist():
                 *sums, tail = known.score(text)
