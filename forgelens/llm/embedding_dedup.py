@@ -1,12 +1,14 @@
 """Near-duplicate embeddings: HNSW graphs per shard, cosine checked in double precision, linked ones united.
 
 Equal vectors are one class from the start.  Classes are dealt over shards by a hash; each shard gets a graph (hnsw.py),
-and every class queries every shard.  A beam of which a quarter could be links is widened for that query; an audit of
-each (query block, shard) compares every ``AUDIT_EVERY``-th query with a full scan of the shard, and doubles the beam for
-the whole block while a link of theirs is missing; a beam as wide as the shard is a full scan.
+and every class queries every shard.  Before, an audit compares one query in ``AUDIT_EVERY`` with a full scan, adds up
+the hits of each shard over all query blocks, and takes the narrowest beam that found every link of theirs and
+``AUDIT_RECALL`` of the ``AUDIT_NEIGHBOURS`` nearest nodes of one query in ``NEAR_EVERY`` of them: that part has power
+where links are rare.  A beam of more than one node in ``SCAN_SHARE`` would read most of the shard by its links; it is a scan.
 
-A class with few links in a shard returns them, and a link that one side found counts for both.  One with more returns
-their number, and the task a spanning forest of such links; a dense group is never written out as pairs.
+A class with few links in a shard returns them, and a link that one side found counts for both.  A class whose beam holds
+``FEW`` or more possible links scans the shard, so that it lacks none that the other side could find; it returns their
+number, and the task a spanning forest of such links; a dense group is never written out as pairs.
 
 ``SHARD_VECTORS`` bounds a shard and ``BLOCK_QUERIES`` a block of queries, hence the memory of a task.
 
@@ -26,10 +28,13 @@ from .components import components, forest
 
 MIN_COSINE = 0.95
 LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 65_536, 4096
-BEAM, WIDEN, FEW = 32, 4, 8
-AUDIT_EVERY = 16
+BEAM, FEW, SCAN_SHARE = 32, 8, 64
+AUDIT_EVERY, NEAR_EVERY = 16, 4
+AUDIT_NEIGHBOURS, AUDIT_RECALL = 10, 0.95
+SCAN_CELLS = 1 << 22
 ROUNDING = 1e-4  # of single precision, in which the graph is searched
 NODES = "dim int, shard int, node int, id long, copies long, embedding array<float>, links array<int>"
+AUDIT = "dim int, shard int, width int, links long, links_found long, near long, near_found long"
 FOUND = "kind string, a long, b long, n long"  # a link, an edge of a forest, or the number of links in a shard
 
 
@@ -84,50 +89,66 @@ class Shard:
         self.exact, self.x = _units(frame)
         self.levels = _levels(frame)
 
-    def _full(self, queries: np.ndarray):
-        """All nodes that may be links, by a scan."""
-        at, node = np.nonzero(queries @ self.x.T >= MIN_COSINE - ROUNDING)
+    def _scans(self, queries: np.ndarray):
+        """(first row, similarities to all nodes) of a few queries at a time."""
+        step = max(1, SCAN_CELLS // len(self.x))
+        for start in range(0, len(queries), step):
+            yield start, queries[start : start + step] @ self.x.T
+
+    def _full(self, queries: np.ndarray, least: float = MIN_COSINE - ROUNDING):
+        """All (query, node) pairs of at least this similarity, by a scan."""
+        none = np.zeros(0, np.int64)
+        pairs = [(none, none)]
+        for start, sims in self._scans(queries):
+            at, node = np.nonzero(sims >= least)
+            pairs.append((at + start, node))
+        at, node = (np.concatenate(side) for side in zip(*pairs))
         return at, node
 
     def _beams(self, queries: np.ndarray, width: int):
-        """(query, node) pairs that may be links."""
+        """(query, node) pairs that may be links, and the nodes of the beams."""
         entry = hnsw.descend(self.x, self.levels, queries, 0)
-        pairs, rows = [], np.arange(len(queries))
-        while len(rows):
-            if width >= len(self.x):
-                at, node = self._full(queries[rows])
-                pairs.append((rows[at], node))
-                break
-            ids, sims = hnsw.beam(self.x, self.levels[0], queries[rows], entry[rows], width)
-            close = sims >= MIN_COSINE - ROUNDING
-            full = WIDEN * close.sum(1) >= width  # so large a part of the beam may be links that there may be more
-            at, column = np.nonzero(close & ~full[:, None])
-            pairs.append((rows[at], ids[at, column]))
-            rows, width = rows[full], width * WIDEN
-        at, node = (np.concatenate(side) for side in zip(*pairs))
-        return at, node.astype(np.int64)
-
-    def _passes(self, queries, at, node) -> bool:
-        some = np.arange(0, len(queries), AUDIT_EVERY)
-        known = set(zip(at.tolist(), node.tolist()))
-        for start in range(0, len(some), AUDIT_EVERY):
-            rows = some[start : start + AUDIT_EVERY]
-            asked, true = np.nonzero(queries[rows] @ self.x.T >= MIN_COSINE + ROUNDING)
-            if not known.issuperset(zip(rows[asked].tolist(), true.tolist())):
-                return False
-        return True
-
-    def links(self, queries: np.ndarray, exact: np.ndarray):
-        """(query, node) pairs whose cosine is at least MIN_COSINE."""
-        width = BEAM
-        while True:
-            if width >= len(self.x):
-                at, node = self._full(queries)
+        ids, sims = hnsw.beam(self.x, self.levels[0], queries, entry, width)
+        close = sims >= MIN_COSINE - ROUNDING
+        full = close.sum(1) >= FEW  # there may be more
+        at, column = np.nonzero(close & ~full[:, None])
+        rows = np.flatnonzero(full)
+        asked, node = self._full(queries[rows])
+        return np.concatenate([at, rows[asked]]), np.concatenate([ids[at, column], node]).astype(np.int64), ids
+
+    def widths(self) -> list[int]:
+        """Beams that are narrow enough not to be scans."""
+        out = [BEAM]
+        while out[-1] * SCAN_SHARE < len(self.x):
+            out.append(2 * out[-1])
+        return out[:-1]
+
+    def audit(self, queries: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(width, links, links found, near nodes, near nodes found) for every width."""
+        widths = self.widths()
+        if not widths or not len(queries):
+            return []
+        at, node = self._full(queries, MIN_COSINE + ROUNDING)
+        near = np.arange(0, len(queries), NEAR_EVERY)
+        k = min(AUDIT_NEIGHBOURS, len(self.x))
+        nearest = np.concatenate([np.argpartition(-sims, k - 1, axis=1)[:, :k] for _, sims in self._scans(queries[near])])
+        rows = np.union1d(at, near)
+        true = set(zip(at.tolist(), node.tolist()))
+        out = []
+        for width in widths:
+            asked, found, ids = self._beams(queries[rows], width)
+            links = len(true.intersection(zip(rows[asked].tolist(), found.tolist())))
+            held = ids[np.searchsorted(rows, near)]
+            hits = sum(len(np.intersect1d(a, b)) for a, b in zip(nearest, held))
+            out.append((width, len(true), links, nearest.size, hits))
+            if links == len(true) and hits == nearest.size:  # so are the wider ones
+                out += [(wider, *out[-1][1:]) for wider in widths if wider > width]
                 break
-            at, node = self._beams(queries, width)
-            if self._passes(queries, at, node):
-                break
-            width *= 2
+        return out
+
+    def links(self, queries: np.ndarray, exact: np.ndarray, width: int | None):
+        """(query, node) pairs whose cosine is at least MIN_COSINE; without a width by a scan."""
+        at, node = self._beams(queries, width)[:2] if width else self._full(queries)
         keep = []
         for start in range(0, len(at), 1 << 16):
             a, b = at[start : start + (1 << 16)], node[start : start + (1 << 16)]
@@ -136,6 +157,16 @@ class Shard:
         return at[keep], node[keep]
 
 
+def audit_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """Rows of AUDIT: what the beams of each width find for the audited queries of a block."""
+    columns = [column.split()[0] for column in AUDIT.split(", ")]
+    if not len(queries) or not len(nodes):
+        return pd.DataFrame(columns=columns).astype("int64")
+    found = Shard(nodes).audit(_units(queries)[1])
+    cell = (int(nodes["dim"].iloc[0]), int(nodes["shard"].iloc[0]))
+    return pd.DataFrame([(*cell, *row) for row in found], columns=columns).astype("int64")
+
+
 def search_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     """Rows of FOUND: links of the classes that have few, numbers and forest edges of the others."""
     columns = {"kind": "object", "a": "Int64", "b": "Int64", "n": "Int64"}
@@ -144,7 +175,8 @@ def search_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         return none
     shard, (exact, x) = Shard(nodes), _units(queries)
     ids = queries["id"].to_numpy(np.int64)
-    at, node = shard.links(x, exact)
+    width = nodes["width"].iloc[0]
+    at, node = shard.links(x, exact, None if pd.isna(width) else int(width))
     other = ids[at] != shard.ids[node]
     at, node = at[other], node[other]
     few = (np.bincount(at, minlength=len(ids)) <= FEW)[at]
@@ -175,7 +207,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     cell, tasks = ["dim", "shard", "block"], 2 * shards * blocks
     block = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")
     asked = classes.select("dim", "id", "embedding", block.alias("block"), every(shards).alias("shard"))
-    held = graphs.withColumn("block", every(blocks))
+    # the audit: its queries in blocks of their own
+    rounds = max(1, -(-n // (AUDIT_EVERY * BLOCK_QUERIES)))
+    audited = classes.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(AUDIT_EVERY)) == 0)
+    audited = audited.select("dim", "id", "embedding", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(rounds)).cast("int").alias("block"), every(shards).alias("shard"))
+    probed, probes = graphs.withColumn("block", every(rounds)), 4 * shards * rounds
+    audits = (
+        audited.repartition(probes, *cell).groupBy(*cell).cogroup(probed.repartition(probes, *cell).groupBy(*cell))
+        .applyInPandas(audit_block, AUDIT)
+    )
+    sums = audits.groupBy("dim", "shard", "width").agg(*[F.sum(c).alias(c) for c in ("links", "links_found", "near", "near_found")])
+    passed = sums.where((F.col("links_found") == F.col("links")) & (F.col("near_found") >= AUDIT_RECALL * F.col("near")))
+    widths = written(passed.groupBy("dim", "shard").agg(F.min("width").alias("width")), "widths")
+    held = graphs.join(widths, ["dim", "shard"], "left").withColumn("block", every(blocks))
     found = written(
         asked.repartition(tasks, *cell).groupBy(*cell).cogroup(held.repartition(tasks, *cell).groupBy(*cell))
         .applyInPandas(search_block, FOUND),

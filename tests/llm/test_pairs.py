@@ -114,6 +114,38 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_rare_links_are_not_lost_by_narrow_beams(spark, monkeypatch):
+    """A poor graph, one shard, few links: hardly any audited query has one."""
+    from forgelens.llm import hnsw
+
+    monkeypatch.setattr(hnsw, "DEGREE", 4)
+    monkeypatch.setattr(hnsw, "BUILD_BEAM", 4)
+    monkeypatch.setattr(embedding_dedup, "LEAST_SHARDS", 1)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4200, 32))
+    near = base[:24] + 0.2 * rng.normal(size=(24, 32))
+    group = base[50] + 0.12 * rng.normal(size=(30, 32))
+    x = np.concatenate([base, near, group]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.95).sum(1) - 1
+    rows = [(i, v.tolist(), 0, 1) for i, v in enumerate(x)]
+    got = {row.vec_id: row.n_links for row in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert expected[:24].sum() > 10 and got == dict(enumerate(expected.tolist()))
+
+
+def test_audit_has_power_without_links():
+    from forgelens.llm import hnsw
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = embedding_dedup.Shard.__new__(embedding_dedup.Shard)
+    shard.x, shard.levels = x[:4500], hnsw.build(x[:4500])
+    audit = shard.audit(x[4500:])
+    assert [row[0] for row in audit] == [32, 64]
+    assert all(row[1] == 0 for row in audit) and audit[0][4] < 0.95 * audit[0][3]
+
+
 def test_graph_finds_what_a_scan_finds():
     from forgelens.llm import hnsw
 
