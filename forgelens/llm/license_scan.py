@@ -1,6 +1,6 @@
 """Licence scan: Dice coefficient of word bigrams against licence templates (built-in functions only).
 
-Texts are compared line by line and as a whole.  A unit is normalised (lower case, runs of other characters than
+Texts are compared line by line, as a whole and in windows (below).  A unit is normalised (lower case, runs of other characters than
 letters and digits become one blank) and stands for its set of distinct word bigrams A; a template for its set B:
 
     dice = 2 |A & B| / (|A| + |B|)
@@ -9,6 +9,13 @@ Size bounds: dice >= t needs t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|; unit
 dropped by their size alone, and the others meet only the templates whose bounds hold.  Templates are literals of
 the plan, a fixed small list; nothing is shuffled.
 
+Windows find notices that are wrapped or share their line: runs of words of the whole text that begin and end with a
+bigram of the template, of every such length up to the upper bound (trimming other bigrams off the ends only raises
+dice).  They are tried for the templates of which the text holds at least the lower bound of distinct bigrams.  A line
+or whole text that matched some template and is long enough for this one was compared already and is left out.  A
+window match counts once a template and text, with the line of its first word; one inside the window of a larger
+template is that one's part and does not count.
+
 ``TEMPLATES`` are notices and short forms of common licences; ``scan`` takes others.  The best template of a text has the
 largest dice; ties go to the first name, then to the whole text (line -1) before the first line.
 
@@ -100,6 +107,7 @@ def matches(units: Column, templates: Column, threshold: float) -> Column:
                 (2.0 * F.size(F.array_intersect(unit["bigrams"], t["bigrams"])) / (n + t["n"])).alias("dice"),
                 t["name"].alias("name"),
                 unit["line"].alias("line"),
+                n.alias("size"),
             ),
         )
         return F.filter(scored, lambda hit: hit["dice"] >= threshold)
@@ -107,6 +115,65 @@ def matches(units: Column, templates: Column, threshold: float) -> Column:
     return F.flatten(F.transform(units, of_unit))
 
 
+def window_matches(lines: Column, hits: Column, whole: Column, rest: Column, templates: Column, threshold: float) -> Column:
+    """(dice, name, line) of the best window of each template, from lines (line, words), the hits of units and the bigrams
+    of all templates that the text holds, at all and outside the lines that match."""
+
+    def best_of(t):
+        done = F.transform(F.filter(hits, lambda hit: hit["size"] >= t["least"]), lambda hit: hit["line"])
+        words = F.flatten(
+            F.transform(
+                lines,
+                lambda unit: F.transform(
+                    F.when(F.array_contains(done, unit["line"]), F.array(F.lit("\n"))).otherwise(unit["words"]),
+                    lambda word: F.struct(unit["line"].alias("line"), word.alias("word")),
+                ),
+            )
+        )
+        pairs = lambda seq: F.zip_with(
+            seq, F.slice(seq, F.lit(2), F.greatest(F.size(seq) - 1, F.lit(0))),
+            lambda a, b: F.struct(a["line"].alias("line"), F.concat(a["word"], F.lit(" "), b["word"]).alias("gram")),
+        )
+
+        def of_pairs(grams):
+            places = F.filter(
+                F.transform(grams, lambda pair, at: F.struct(at.alias("at"), pair["line"].alias("line"), pair["gram"].alias("gram"))),
+                lambda place: F.array_contains(t["bigrams"], place["gram"]),
+            )
+            texts = F.transform(grams, lambda pair: pair["gram"])
+
+            def from_start(place, i):
+                # as many places as fit in the upper bound, so the work is linear in the text
+                ends = F.filter(F.slice(places, i + 1, F.ceil(t["most"]).cast("int") + 1), lambda end: end["at"] - place["at"] < t["most"])
+                long = F.filter(ends, lambda end: end["at"] - place["at"] + 1 >= t["least"])
+
+                def dice(end):
+                    own = F.array_distinct(F.slice(texts, place["at"] + 1, end["at"] - place["at"] + 1))
+                    return 2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["n"])
+
+                return F.array_max(
+                    F.transform(
+                        long,
+                        lambda end: F.struct(
+                            dice(end).alias("dice"), (-place["at"]).alias("start"), (-end["at"]).alias("stop"),
+                            place["line"].alias("line"), t["name"].alias("name"), t["n"].alias("n"),
+                        ),
+                    )
+                )
+
+            return F.array_max(F.transform(places, from_start))
+
+        return F.get(F.transform(F.array(pairs(words)), of_pairs), 0)
+
+    possible = F.filter(
+        templates,
+        lambda t: (F.size(F.array_intersect(whole, t["bigrams"])) >= t["least"])
+        & (F.exists(hits, lambda hit: hit["size"] < t["least"]) | (F.size(F.array_intersect(rest, t["bigrams"])) >= t["least"]))
+        & ~F.exists(hits, lambda hit: (hit["line"] == -1) & (hit["size"] >= t["least"])),
+    )
+    return F.filter(F.transform(possible, best_of), lambda found: found.isNotNull() & (found["dice"] >= threshold))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without text, with license, dice, line (of the best match; -1: the whole text) and n_matches."""
     known, least, most = _literal(templates or TEMPLATES, threshold)
@@ -118,12 +185,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     sized = F.filter("_lines", lambda unit: F.size(unit["words"]) > least)
     whole = F.flatten(F.transform("_lines", lambda unit: unit["words"]))
     units = F.transform(sized, lambda unit: F.struct(unit["line"].alias("line"), bigrams(unit["words"]).alias("bigrams")))
-    several = F.when(F.size("_lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), bigrams(whole).alias("bigrams"))))
+    several = F.when(F.size("_lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("_whole").alias("bigrams"))))
+    met = lambda unit: F.exists("_of_units", lambda hit: hit["line"] == unit["line"])
+    rest = F.flatten(F.transform("_lines", lambda unit: F.when(met(unit), F.array(F.lit("\n"))).otherwise(unit["words"])))
+    every = sorted({gram for text in (templates or TEMPLATES).values() for gram in template_bigrams(text)})
+    largest = lambda w, v: (v["n"] > w["n"]) & (v["start"] >= w["start"]) & (v["stop"] <= w["stop"])
+    plain = lambda hit: F.struct(hit["dice"].alias("dice"), hit["name"].alias("name"), hit["line"].alias("line"))
     bounded = lambda unit: F.size(unit["bigrams"]).between(least, most)
     found = (
         docs.withColumn("_lines", lines)
+        .withColumn("_whole", bigrams(whole))
         .withColumn("_units", F.filter(F.concat(F.coalesce(several, F.array()), units), bounded))
-        .withColumn("_hits", matches(F.col("_units"), known, threshold))
+        .withColumn("_of_units", matches(F.col("_units"), known, threshold))
+        .withColumn("_present", F.array_intersect("_whole", F.array(*map(F.lit, every))))
+        .withColumn("_rest", F.when(F.size("_of_units") > 0, F.array_intersect(bigrams(rest), F.array(*map(F.lit, every)))).otherwise(F.col("_present")))
+        .withColumn("_windows", window_matches(F.col("_lines"), F.col("_of_units"), F.col("_present"), F.col("_rest"), known, threshold))
+        .withColumn("_outer", F.filter("_windows", lambda w: ~F.exists("_windows", lambda v: largest(w, v))))
+        .withColumn("_hits", F.concat(F.transform("_of_units", plain), F.transform("_outer", plain)))
     )
     best = F.get(
         F.array_sort(

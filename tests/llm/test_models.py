@@ -214,3 +214,20 @@ def test_licenses(spark):
     assert {i: expected_license(text) for i, text in enumerate(texts)} == got
     assert sum(name is not None for name, *_ in got.values()) >= len(known) + 3
     assert license_scan.scan(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_wrapped_and_inline_notices(spark):
+    def wrapped(name, width):
+        words = license_scan.TEMPLATES[name].split()
+        return "\n".join("# " + " ".join(words[at : at + width]) for at in range(0, len(words), width))
+
+    around = "\n".join(f"filler{i} text of line {i} that says other things" for i in range(40))
+    names = ["MIT-grant", "GPL-3.0-header", "Apache-2.0-header"]
+    texts = [f"{around}\n{wrapped(name, 9)}\n{around}" for name in names]
+    texts.append("Copyright 2020 Foo Authors. All rights reserved. Licensed under the Apache License, Version 2.0.")
+    texts.append(f"{around}\nReleased under the MIT License.\n{wrapped('GPL-3.0-header', 8)}\n{around}")
+    texts.append(around)
+    rows = {row.doc_id: row for row in license_scan.scan(documents(spark, texts)).collect()}
+    assert [rows[i].license for i in range(4)] == [*names, "Apache-2.0"]
+    assert [(rows[i].dice, rows[i].line) for i in range(4)] == [(1.0, 40)] * 3 + [(1.0, 0)]
+    assert rows[4].n_matches == 2 and rows[5].license is None
