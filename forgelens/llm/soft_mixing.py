@@ -12,14 +12,17 @@
    a narrow table; the driver sees one number a domain.
 4. A document is kept if a hash of it, as a number in [0, 1), is below its rate.
 
-Targets are weights of the domains; their sum of tokens is the largest for which no domain needs more than it has.
-With ``most`` = 1 no text is repeated.
+Targets are weights of the domains.  Their sum of tokens is the largest for which no wanted domain (by default the one
+with the largest weight) needs more than it has; the other domains stay below their targets where they are scarce.
+With ``most`` = 1 no text is repeated.  Steps go on until the rates of a share of ``TOLERANCE`` of the tokens move;
+what is left between totals and targets is logged, as a warning if ``STEPS`` did not suffice.
 
 Defined results: null and empty texts have no words, no tokens and the posterior of an empty feature set; without any
 labelled document all belong to the first domain; domains without tokens have no target; rows with one doc_id and
 text share their fate; null ids are rows like others; an empty table gives an empty table.
 """
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +32,7 @@ from .common import written
 
 SAMPLE_DOCS, FEATURES = 20_000, 64
 LEAST_LIFT = 2.5
-STEPS, TOLERANCE = 16, 1e-4
+STEPS, TOLERANCE = 256, 1e-4
 SPACE = 1 << 30
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 MOST = 1.0
@@ -143,35 +146,46 @@ def rate(steps: list[list[float]], most: float = MOST) -> Column:
     return F.aggregate(moves, now, move)
 
 
-def fit_rates(rows: DataFrame, weights: list[float], most: float = MOST) -> list[list[float]]:
-    """Steps of the projected gradient over (tokens, p)."""
+def fit_rates(rows: DataFrame, weights: list[float], most: float = MOST, wanted: list[int] | None = None) -> list[list[float]]:
+    """Steps of the projected gradient over (tokens, p); ``wanted`` domains bound the budget, by default all."""
 
     def totals(steps):
-        amount = F.col("tokens") * rate(steps, most)
-        sums = rows.agg(*[F.sum(amount * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(len(weights))]).first()
-        return [x or 0.0 for x in sums]
-
-    available, steps = totals([]), []
-    most_tokens = min((a / w for a, w in zip(available, weights) if a > 0 and w > 0), default=0.0)
+        now = rate(steps, most)
+        amount, moved = F.col("tokens") * now, F.col("tokens") * F.abs(now - rate(steps[:-1], most))
+        sums = rows.agg(*[F.sum(amount * F.get("p", F.lit(i))) for i in range(len(weights))], F.sum(moved)).first()
+        return [x or 0.0 for x in sums[:-1]], sums[-1] or 0.0
+
+    (available, _), steps = totals([]), []
+    holds = lambda among: [available[i] / weights[i] for i in among if available[i] > 0 and weights[i] > 0]
+    every = range(len(weights))
+    most_tokens = min(holds(every if wanted is None else wanted) or holds(every), default=0.0)
     targets = [w * most_tokens for w in weights]
-    now = available
-    for _ in range(STEPS):
+    now, moved = available, math.inf
+    while moved > TOLERANCE * sum(available) and len(steps) < STEPS:
         step = [(x - t) / a if a > 0 else 0.0 for x, t, a in zip(now, targets, available)]
         if max(map(abs, step), default=0.0) < TOLERANCE:
+            moved = 0.0
             break
         steps.append(step)
-        now = totals(steps)
+        now, moved = totals(steps)
+    level = logging.INFO if moved <= TOLERANCE * sum(available) else logging.WARNING
+    left = [x - t for x, t in zip(now, targets)]
+    logging.getLogger(__name__).log(level, "%d steps; tokens above targets %s: %s", len(steps), targets, left)
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = MOST,
+    wanted: list[str] | None = None,
+) -> DataFrame:
     """(doc_id, print, n_tokens, p_<domain>..., rate, kept) of every row of ``docs``; ``labels`` is (doc_id, domain)."""
     targets = targets or TARGETS
     domains, weights = list(targets), [float(w) for w in targets.values()]
     docs = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
     model = fit(docs, labels, domains)
     rows = written(posteriors(with_features(docs), model, domains), "posteriors")
-    steps = fit_rates(rows, weights, most)
+    wanted = wanted or [max(domains, key=targets.get)]
+    steps = fit_rates(rows, weights, most, [domains.index(domain) for domain in wanted])
     return rows.withColumn("rate", rate(steps, most)).select(
         "doc_id",
         "print",

@@ -231,3 +231,26 @@ def test_wrapped_and_inline_notices(spark):
     assert [rows[i].license for i in range(4)] == [*names, "Apache-2.0"]
     assert [(rows[i].dice, rows[i].line) for i in range(4)] == [(1.0, 40)] * 3 + [(1.0, 0)]
     assert rows[4].n_matches == 2 and rows[5].license is None
+
+
+def test_scarce_unwanted_domains_cost_no_clean_text(spark):
+    rng = random.Random(12)
+    plain = [f"word{i}" for i in range(60)]
+    domains = ["toxic"] * 3 + ["low"] * 6 + ["good"] * 391
+    change = {"good": str, "low": lambda text: text.replace(" ", "!! ").upper(), "toxic": lambda text: text + " idiot scum"}
+    texts = [change[domain](words(rng, 40, plain)) for domain in domains]
+    labels = spark.createDataFrame(list(enumerate(domains)), "doc_id long, domain string")
+    rows = soft_mixing.mix(documents(spark, texts), labels).collect()
+    clean = [row for row in rows if domains[row.doc_id] == "good"]
+    assert sum(row.kept for row in clean) >= 0.97 * len(clean)
+    assert all(row.rate > 0.9 for row in rows if domains[row.doc_id] == "toxic")
+
+
+def test_rates_are_fitted_to_tolerance(spark):
+    rows = spark.createDataFrame([(100, [0.55, 0.45]), (100, [0.45, 0.55]), (300, [0.6, 0.4])], "tokens long, p array<double>")
+    steps = soft_mixing.fit_rates(rows, [0.5, 0.5])
+    r = np.array([x for (x,) in rows.select(soft_mixing.rate(steps)).collect()])
+    t, p = np.array([100, 100, 300.0]), np.array([[0.55, 0.45], [0.45, 0.55], [0.6, 0.4]])
+    held = t @ p
+    move = p @ (((t * r) @ p - 0.5 * (held / 0.5).min()) / held)
+    assert t @ abs(np.clip(r - move, 0, 1) - r) <= 1e-4 * held.sum() and len(steps) > 16
