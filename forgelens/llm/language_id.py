@@ -4,8 +4,8 @@ For each language a zstandard raw-content dictionary is filled with text of that
 blocks, every block is compressed with every dictionary, and the language with the smallest total wins: its text
 repeats the dictionary most.  The score is the relative margin to the second best, 1 - best / second.
 
-Fit: at most about ``docs_per_language`` labelled documents a language (an unbiased hash sample of the training
-rows) fill dictionaries of at most ``dictionary_bytes``; the two parameters bound what reaches the driver.  Every
+Fit: at most ``docs_per_language`` different labelled texts a language (those of the smallest hashes; copies count
+once) fill dictionaries of at most ``dictionary_bytes``; the two parameters bound what reaches the driver.  Every
 text is scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with one learned language the score
@@ -17,7 +17,7 @@ import zlib
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,21 +36,21 @@ CODER = dict(
 )
 BETWEEN_WORDS = re.compile(r"[\W\d_]+")
 FOLDS, HELD_FOLD = 4, 2
-SAMPLE_SPACE = 1 << 30
 MAX_LANGUAGES = 1000
 FOUND = T.StructType().add("_lang", "string").add("_margin", "double")
 
 
 def sample(labelled: DataFrame, docs_per_language: int) -> DataFrame:
-    """(lang, text) of about ``docs_per_language`` rows a language, chosen by a hash of the text."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
+    """(lang, text) of at most ``docs_per_language`` different texts a language, those of the smallest hashes."""
+    langs = labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if langs > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} different languages")
-    if not sizes:
-        return labelled.limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, docs_per_language / n))])
-    point = F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SPACE)) / SAMPLE_SPACE
-    return labelled.where(point < F.try_element_at(share, "lang"))
+    hashed = labelled.withColumn("_hash", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    chosen = hashed.select("lang", "_hash").distinct().withColumn("_place", first).where(F.col("_place") <= docs_per_language)
+    # the two parameters bound its rows
+    held = hashed.join(F.broadcast(chosen.drop("_place")), ["lang", "_hash"])
+    return held.groupBy("lang", "_hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def dictionaries(labelled: DataFrame, docs_per_language: int, dictionary_bytes: int) -> dict[str, bytes]:

@@ -254,3 +254,13 @@ def test_rates_are_fitted_to_tolerance(spark):
     held = t @ p
     move = p @ (((t * r) @ p - 0.5 * (held / 0.5).min()) / held)
     assert t @ abs(np.clip(r - move, 0, 1) - r) <= 1e-4 * held.sum() and len(steps) > 16
+
+
+def test_every_language_with_text_is_learned(spark):
+    rng = random.Random(13)
+    few = [(f"l{i}", words(rng, 30, [f"{i}a{j}b" for j in range(40)])) for i in range(8)]
+    rows = [pair for pair in few for _ in range(200)] + [("many", words(rng, 30, ["x", "yy", "zzz"])) for _ in range(50)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    found = [tuple(row) for row in language_id.sample(labelled, 10).collect()]
+    assert set(few) < set(found) and len(found) == len(set(found)) == 18
+    assert set(language_id.dictionaries(labelled, 10, 1 << 16)) == {lang for lang, _ in rows}
