@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from forgelens import rules
 from forgelens.functions import text
 from forgelens.functions.numeric import percentage
-from forgelens.functions.ranking import numbered_by_name
+from forgelens.functions.ranking import numbered
 
 PRACTICE_FLAGS = tuple(flag for flag, _, _ in rules.PRACTICES)
 _FLAGS = (
@@ -113,7 +113,7 @@ def missing_practices(detail: DataFrame) -> DataFrame:
 def repo_ranking(detail: DataFrame) -> DataFrame:
     """Repos with their place by maturity, then name."""
     scored = with_maturity(practices(detail)).select("repo", "workflow_count", "maturity_score", "maturity_pct")
-    return numbered_by_name(scored, [("maturity_score", True)], "repo", "position")
+    return numbered(scored, [("maturity_score", True), ("repo", False)], "position")
 
 
 def notable_actions(detail: DataFrame) -> DataFrame:

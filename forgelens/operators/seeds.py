@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from forgelens import rules, schemas
 from forgelens.functions import text
 from forgelens.functions.numeric import count_true
-from forgelens.functions.ranking import numbered_by_name
+from forgelens.functions.ranking import numbered
 from forgelens.operators.changes import membership
 
 FINGERPRINT_LENGTH = 16
@@ -243,7 +243,7 @@ def seed_verdicts(metadata: DataFrame) -> DataFrame:
         F.slice(F.coalesce("topics", text.strings(())), 1, SHOWN_TOPICS).alias("topics"),
         verdict().alias("verdict"),
     )
-    return numbered_by_name(listed, [("stars", True)], "full_name", "position", ("category",))
+    return numbered(listed, [("stars", True), ("full_name", False)], "position", ("category",))
 
 
 def seed_summary(metadata: DataFrame) -> DataFrame:

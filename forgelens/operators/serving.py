@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from forgelens.functions import text
 from forgelens.functions.numeric import share
-from forgelens.functions.ranking import numbered_by_name
+from forgelens.functions.ranking import numbered
 from forgelens.operators import adoption, patterns, repos, security
 
 DASHBOARD_PATTERNS = 8
@@ -42,9 +42,9 @@ def repo_list(
     if wanted:
         listed = listed.where(F.contains(F.lower("repo"), F.lit(wanted)))
     if sort == "repo":
-        return numbered_by_name(listed, [("repo", True)] if descending else [], "repo", "position")
+        return numbered(listed, [("repo", descending)], "position")
     keyed = listed.withColumn("_key", F.coalesce(sort, F.lit(-1)))
-    return numbered_by_name(keyed, [("_key", descending)], "repo", "position").drop("_key")
+    return numbered(keyed, [("_key", descending), ("repo", False)], "position").drop("_key")
 
 
 def dashboard_patterns(facts: DataFrame) -> DataFrame:
