@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from forgelens.functions.ranking import numbered_within
+from forgelens.functions.ranking import numbered
 from forgelens.operators import seeds
 from forgelens.sources import seeds as seed_files
 
@@ -144,7 +144,7 @@ def test_row_numbers_over_levels(spark):
     rows = [(rng.choice("gh"), rng.randrange(3), "".join(rng.choice("ab") for _ in range(rng.randrange(1, 7)))) for _ in range(300)]
     rows = list(dict.fromkeys(rows))
     df = spark.createDataFrame(rows, "g string, s int, n string").withColumn("p", F.substring("n", 1, 2))
-    got = numbered_within(df, ["g"], [("s", True), ("p", False)], [F.col("n")], "k").collect()
+    got = numbered(df, [("s", True), ("p", False), ("n", False)], "k", ("g",), ranges=16).collect()
     for group in "gh":
         ordered = sorted((row for row in rows if row[0] == group), key=lambda row: (-row[1], row[2]))
         assert {(row.s, row.n): row.k for row in got if row.g == group} == {row[1:]: i + 1 for i, row in enumerate(ordered)}
