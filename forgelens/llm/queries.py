@@ -11,6 +11,7 @@ from . import (
     soft_mixing,
     token_output,
     topk_search,
+    whitening,
 )
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_token_output": token_output.query,
     "op10_language_id": language_id.query,
+    "op11_embedding_whitening": whitening.query,
 }
 STATEMENTS = {
     "op1_embedding_dedup": embedding_dedup.SQL,
