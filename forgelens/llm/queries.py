@@ -3,6 +3,7 @@
 from . import (
     brown_lm,
     embedding_dedup,
+    importance_resampling,
     language_id,
     license_scan,
     line_dedup,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_token_output": token_output.query,
     "op10_language_id": language_id.query,
     "op11_embedding_whitening": whitening.query,
+    "op13_importance_resampling": importance_resampling.query,
 }
 STATEMENTS = {
     "op1_embedding_dedup": embedding_dedup.SQL,
     "op5_license_scan": license_scan.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op13_importance_resampling": importance_resampling.SQL,
 }

@@ -15,7 +15,7 @@ NATIVE = ("op5_license_scan", "op8_line_dedup")
 @pytest.fixture(scope="module")
 def oracle(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     yield connection
     connection.close()
