@@ -8,6 +8,7 @@ from . import (
     license_scan,
     line_dedup,
     near_dedup,
+    posting_search,
     sentence_pieces,
     soft_mixing,
     token_output,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_output": token_output.query,
     "op10_language_id": language_id.query,
     "op11_embedding_whitening": whitening.query,
+    "op12_posting_search": posting_search.query,
     "op13_importance_resampling": importance_resampling.query,
 }
 STATEMENTS = {
@@ -34,5 +36,6 @@ STATEMENTS = {
     "op5_license_scan": license_scan.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_posting_search": posting_search.query,
     "op13_importance_resampling": importance_resampling.SQL,
 }
