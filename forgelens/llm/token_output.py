@@ -39,7 +39,8 @@ END_ID = 2
 N_IDS = 50_257
 MAX_RULES = 65_536 - N_IDS  # a symbol has 16 bits
 BLOCK_TOKENS = 1 << 18
-MIN_USES = 64
+MIN_USES = 16  # a rule takes the room of six symbols
+SEEDS = 3  # tried in a row before the remaining pairs count as rare
 LEVEL_RATIO = 32
 HASH_BITS = 18
 GROUP_CHARS = 1 << 20
@@ -59,8 +60,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.table = WordTable(self._words)
+        literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(map(re.escape, literals)) or r"(?!)")  # such a text is encoded as one
+        self.table = WordTable(self._words, every=True)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -70,7 +72,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for group in grouped(texts, GROUP_CHARS):
-            split = [words_of(text) for text in group]
+            split = [[] if self.whole.search(text) else words_of(text) for text in group]
             for text, words, ids in zip(group, split, self.table.join(split)):
                 yield ids if words or not text else self.ids([text])[0]
 
@@ -108,13 +110,15 @@ def _level(seq: np.ndarray, seed: int, min_uses: int, room: int):
 
 def repair(symbols: np.ndarray, min_uses: int = MIN_USES, max_rules: int = MAX_RULES):
     """(symbols, rules): the shortened sequence and the pairs that the new symbols stand for."""
-    seq, rules = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32)
+    seq, rules, idle = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), 0
     for seed in itertools.count():
-        if len(rules) >= max_rules or len(seq) < 2:
+        if len(rules) >= max_rules or len(seq) < 2 or idle == SEEDS:
             break
         at, ranks, pairs = _level(seq, seed, min_uses, max_rules - len(rules))
         if not len(at):
-            break
+            idle += 1
+            continue
+        idle = 0
         touches = np.append(at[1:] == at[:-1] + 1, False)  # the next pair overlaps this one
         repeats = np.append(False, touches[:-1] & (ranks[1:] == ranks[:-1]))  # aaaa: every other pair is taken
         starts = np.flatnonzero(~repeats)

@@ -8,14 +8,15 @@ MARKS = 1 << 23
 
 
 class WordTable:
-    """Keeps words that were met in two groups of texts: most words of a corpus occur once and would fill it.
+    """Keeps words that were met in two groups of texts (most words of a corpus occur once and would fill it), or,
+    with ``every``, all words, where encoding one again costs more than the room.
 
     Holds between ``capacity`` and twice as many words: those met since the last but one time it was full.  A byte
     per hash value tells whether a word (or another one with that value) was met before.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], capacity: int = CAPACITY):
-        self.encode, self.capacity = encode, capacity
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], capacity: int = CAPACITY, every: bool = False):
+        self.encode, self.capacity, self.every = encode, capacity, every
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks, self.marked = bytearray(MARKS), 0
@@ -41,7 +42,7 @@ class WordTable:
         missing = sorted(unknown - known)
         self.recent.update(zip(missing, self.encode(missing) if missing else ()))
         out = [b"".join(map(self.recent.__getitem__, words)) for words in texts]
-        for word in filter(self._first_time, missing):
+        for word in () if self.every else filter(self._first_time, missing):
             del self.recent[word]
         if self.marked > MARKS // 2:
             self.marks, self.marked = bytearray(MARKS), 0

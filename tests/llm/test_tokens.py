@@ -47,7 +47,6 @@ def test_files_hold_every_id(spark, monkeypatch, block):
     docs = documents(spark, texts, ids=[3 * i % 41 for i in range(len(texts))])
     files = written(token_output.blocks(docs), "test-blocks")
     tokenizer = Tokenizer.from_file(tokenizer_file(token_output.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     expected, start = {}, 0
     for doc_id, text in sorted(zip([3 * i % 41 for i in range(len(texts))], texts), key=lambda x: x[0]):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
