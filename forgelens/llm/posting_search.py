@@ -43,7 +43,8 @@ AUDITED, RECALL = 128, 0.97
 FURTHEST = 64.0  # a ratio beyond it reads every list
 NEAR, DEGREE, LINKS = 48, 16, 32
 WALK = 1.15  # a walk also steps on centroids so much farther than it selects
-CELLS = 1 << 22  # (query, centroid) pairs that a step of a search holds
+CELLS = 1 << 19  # (query, centroid) pairs that a step of a search holds
+PAIR_BYTES = 1 << 23  # of the vectors that are subtracted at once
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -139,12 +140,20 @@ class Centroids:
             for column in self.links.T:
                 fresh[row, column[centre]] = True  # -1 marks the last centroid: harmless
             row, centre = np.nonzero(fresh & np.isinf(far))
-            found = self._root(own[row] + self.squares[centre] - 2 * np.einsum("pd,pd->p", queries[row], self.centres[centre]))
+            found = self._root(own[row] + self.squares[centre] - 2 * self._products(queries, row, centre))
             far[row, centre] = found
             np.minimum.at(best, row, found)
         row, centre = np.nonzero((far <= self._reach(best, ratio)[:, None]) & np.isfinite(far))
         return row + first, centre, far[row, centre]
 
+    def _products(self, queries, row, centre):
+        step = max(1, PAIR_BYTES // (8 * max(1, queries.shape[1])))
+        parts = [
+            np.einsum("pd,pd->p", queries[row[at : at + step]], self.centres[centre[at : at + step]])
+            for at in range(0, len(row), step)
+        ]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     def _reach(self, best, ratio):
         return np.full(len(best), np.inf) if ratio > FURTHEST else ratio * np.maximum(best, self.spread)
 
