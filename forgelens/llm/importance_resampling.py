@@ -5,7 +5,7 @@ blank, each in the bucket crc32 modulo ``BUCKETS``.  Exact bucket totals of the
 bucket, the gains of its features the weight of a document, and a Gumbel term from a hash of its id makes the highest
 scores a draw without replacement in proportion to the exponential of the weight.
 
-Head and tail: words are counted over the whole corpus.  The ``HEAD`` most frequent words of at most ``WORD_BYTES`` bytes are
+Head and tail: words are counted over the whole corpus.  At most ``HEAD`` most frequent words of at most ``WORD_BYTES`` bytes are
 broadcast with their exact CRC states (of the word, and of the word after a blank), and all pairs of the ``PAIRED`` most
 frequent of these with their states and buckets.  A pair that occurs more often than the last of these has uses consists of
 two of them, so the pair table holds every pair as frequent as that.  The tail takes its CRC directly: words that are not in
@@ -39,6 +39,7 @@ SIZES = 3  # words of the longest feature
 HEAD, PAIRED, WORD_BYTES = 65_536, 1024, 64
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
 GROUP_BYTES = 1 << 20
+STEPS_PER_OCTAVE = 8
 COUNTED_WORDS = 1 << 19  # words that a task counts before it sends them on
 # A-Z become a-z; other bytes below 0x80 but digits and small letters become blanks
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -87,9 +88,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_words(texts: DataFrame, head: int = HEAD) -> list[bytes]:
-    """The most frequent words, by falling count and then by bytes: at most ``head`` of at most ``WORD_BYTES`` bytes."""
-    counted = word_counts(texts).where(F.octet_length("word") <= WORD_BYTES)
-    return [bytes(row.word) for row in counted.orderBy(F.desc("uses"), "word").limit(head).select("word").collect()]
+    """The most frequent words of at most ``WORD_BYTES`` bytes, by falling count and then by bytes.
+
+    These are all words with at least so many uses that no more than ``head`` words have them, in steps of an eighth of
+    an octave: the driver receives one row a step and then at most ``head`` words.
+    """
+    counted = written(word_counts(texts).where(F.octet_length("word") <= WORD_BYTES), "word-counts")
+    step = F.floor(F.log2("uses") * STEPS_PER_OCTAVE).cast("int")
+    steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, None
+    for row in sorted(steps, reverse=True):
+        total += row.words
+        if total > head:
+            break
+        least = row.step
+    if least is None:
+        return []
+    rows = counted.where(step >= least).collect()
+    return [bytes(row.word) for row in sorted(rows, key=lambda row: (-row.uses, bytes(row.word)))]
 
 
 def carry_tables() -> np.ndarray:
