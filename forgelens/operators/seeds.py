@@ -161,18 +161,24 @@ def seed_names(seeds: DataFrame) -> DataFrame:
 
 
 def seed_fingerprints(names: DataFrame, group: str) -> DataFrame:
-    """Order-independent fingerprint of each named list: (group, full_name) in, one row per group out.
+    """Fingerprints of each named list: (group, full_name) in, one row per group out; order and repeats do not matter.
 
-    The sha256 of every distinct name is cut into eight 32-bit numbers; the fingerprint is the hash of the number
-    of names and the eight sums.  Sums combine map-side, so a list of any length is one small row per task.
+    ``fingerprint`` is the sha256 of the sorted names, one a line, as stored lists carry it: a list is one text in one
+    task, which suits curated lists.  ``additive`` identifies lists of any length: the sha256 of every name is cut
+    into eight 32-bit numbers, and the number of names and the eight sums, which combine map-side, are hashed.
     """
     distinct = names.select(group, "full_name").distinct().withColumn("_hash", F.sha2("full_name", 256))
     parts = [F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     summed = distinct.groupBy(group).agg(
-        F.count("*").alias("names"), *[F.sum(part).cast("string").alias(f"_p{i}") for i, part in enumerate(parts)]
+        F.count("*").alias("names"),
+        F.expr("listagg(full_name, '\\n') WITHIN GROUP (ORDER BY full_name)").alias("_names"),
+        *[F.sum(part).cast("string").alias(f"_p{i}") for i, part in enumerate(parts)]
     )
     joined = F.concat_ws(",", F.col("names").cast("string"), *[f"_p{i}" for i in range(8)])
-    return summed.select(group, "names", F.substring(F.sha2(joined, 256), 1, FINGERPRINT_LENGTH).alias("fingerprint"))
+    digest = {"fingerprint": F.col("_names"), "additive": joined}
+    return summed.select(
+        group, "names", *[F.substring(F.sha2(value, 256), 1, FINGERPRINT_LENGTH).alias(name) for name, value in digest.items()]
+    )
 
 
 def seed_compare(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -204,6 +204,16 @@ CTES: dict[str, str] = {
         SELECT f.*, snapshot FROM flags f
         JOIN (VALUES ('previous', '1-URGENT'), ('current', '5-LOW')) v(snapshot, absent) ON o_orderpriority <> absent""",
     **fact_ctes("flags_snap", "_snap", "snapshot, repo"),
+    # six monthly snapshots
+    "member_months": f"""
+        SELECT DISTINCT l_orderkey AS month_key, make_date(2026, 1 + l_suppkey % {t.MONTHS}, 1) AS snapshot FROM lineitem""",
+    "flags_month": """
+        SELECT f.*, snapshot FROM flags f
+        JOIN member_months ON month_key = split_part(workflow_name, '-', -1)::BIGINT""",
+    **fact_ctes("flags_month", "_month", "snapshot, repo"),
+    "wf_month": """
+        SELECT repo, workflow_name, snapshot FROM wf
+        JOIN member_months ON month_key = split_part(workflow_name, '-', -1)::BIGINT""",
     "pdef": f"SELECT * FROM (VALUES {_rows(rules.PATTERNS)}) AS v(slug, name, category, tier)",
     "adoption": f"""
         SELECT pdef.slug, name, category, tier::BIGINT AS tier, coalesce(repos, 0) AS repo_count,

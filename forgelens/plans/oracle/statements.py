@@ -376,6 +376,19 @@ _GROUPED_SEEDS = f"""SELECT split_part(name, '/', 1) AS list_name, name
 _PARTS = ", ".join(f"sum(('0x' || substring(h, {8 * i + 1}, 8))::BIGINT)" for i in range(8))
 
 
+def _lifetimes(members: str, *keys: str) -> str:
+    """Gaps and islands over all snapshots."""
+    names = ", ".join(keys)
+    return f"""
+        SELECT {names}, min(snapshot)::VARCHAR AS first_seen, max(snapshot)::VARCHAR AS last_seen,
+               CASE WHEN NOT bool_or(later IS NULL) THEN max(later)::VARCHAR END AS gone_at
+        FROM (SELECT m.*, later, n - row_number() OVER (PARTITION BY {names} ORDER BY n) AS run
+              FROM (SELECT DISTINCT snapshot, {names} FROM {members}) m
+              JOIN (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS n, lead(snapshot) OVER (ORDER BY snapshot) AS later
+                    FROM (SELECT DISTINCT snapshot FROM {members})) USING (snapshot))
+        GROUP BY {names}, run"""
+
+
 _STATEMENTS: dict[str, str] = {
     # sources and extraction
     "workflow_table": f"SELECT {_WORKFLOW_COLUMNS}, crawl_date::VARCHAR AS crawl_date FROM wf",
@@ -564,6 +577,13 @@ _STATEMENTS: dict[str, str] = {
     "metric_diffs_two": _two_diffs("wf_prev", "wf_curr"),
     "workflows_added": _changed("wf_curr", "wf_prev"),
     "workflows_removed": _changed("wf_prev", "wf_curr"),
+    "workflow_lifetimes": _lifetimes("wf_month", "repo", "workflow_name"),
+    "workflow_lifetimes_merged": _lifetimes("wf_month", "repo", "workflow_name"),
+    "workflow_changes_between": """
+        SELECT repo, workflow_name, CASE max(snapshot) WHEN DATE '2026-05-01' THEN 'added' ELSE 'removed' END AS change
+        FROM (SELECT DISTINCT * FROM wf_month WHERE snapshot IN (DATE '2026-02-01', DATE '2026-05-01'))
+        GROUP BY repo, workflow_name HAVING count(*) = 1""",
+    "pattern_lifetimes": _lifetimes("pr_month", "repo", "slug"),
     "pattern_changes": _PATTERN_CHANGES,
     "pattern_changed_repos": _CHANGED_REPOS,
     "pattern_changed_listed": f"SELECT * FROM ({_CHANGED_REPOS}) ORDER BY repo LIMIT 20",
@@ -628,7 +648,8 @@ _STATEMENTS: dict[str, str] = {
         LEFT JOIN reasons r USING (full_name)
         WHERE e.full_name NOT IN (SELECT full_name FROM research)""",
     "seed_fingerprint": f"""
-        SELECT list_name, count(*) AS names, substring(sha256(concat_ws(',', count(*), {_PARTS})), 1, 16) AS fingerprint
+        SELECT list_name, count(*) AS names, substring(sha256(string_agg(name, chr(10) ORDER BY name)), 1, 16) AS fingerprint,
+               substring(sha256(concat_ws(',', count(*), {_PARTS})), 1, 16) AS additive
         FROM (SELECT DISTINCT list_name, name, sha256(name) AS h FROM ({_GROUPED_SEEDS})) GROUP BY list_name""",
     "seed_compare": """
         SELECT coalesce(p.repo, c.repo) AS full_name,

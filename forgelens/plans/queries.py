@@ -17,6 +17,7 @@ from forgelens.operators import (
     changes,
     extract,
     insights,
+    lifetimes,
     lineage,
     patterns,
     profiles,
@@ -30,6 +31,7 @@ from forgelens.operators import (
 from forgelens.sources import tables
 
 CRAWLED = "2026-01-01"
+LAST_MONTH = f"2026-{tables.MONTHS:02d}-01"
 SEPARATOR = "|"
 
 
@@ -118,6 +120,22 @@ class Inputs:
         rows = patterns.pattern_repos(patterns.repo_facts(flags, "snapshot"), "snapshot")
         return changes.pattern_changes(rows.select("snapshot", "repo", "slug"))
 
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._of(tables.snapshot_members)
+
+    @cached_property
+    def pattern_members(self) -> DataFrame:
+        """(snapshot, repo, slug) of all snapshots; every file version is flagged once."""
+        facts = patterns.repo_facts(patterns.of_snapshots(self.flags, self.members), "snapshot")
+        return patterns.pattern_repos(facts, "snapshot").select("snapshot", "repo", "slug")
+
+    def merged_lifetimes(self) -> DataFrame:
+        """Intervals of all snapshots but the last, merged with the last."""
+        last = F.lit(LAST_MONTH).cast("date")
+        before = lifetimes.lifetimes(self.members.where(F.col("snapshot") < last), "repo", "workflow_name")
+        return lifetimes.merged(before, self.members.where(F.col("snapshot") == last), LAST_MONTH, "repo", "workflow_name")
+
     def seeds(self, which: str) -> DataFrame:
         """Repositories of a snapshot as a seed list."""
         return self.snapshot(which).select(F.col("repo").alias("full_name")).distinct()
@@ -341,6 +359,12 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "metric_diffs_two": lambda x: changes.two_snapshot_diffs(*x.snapshots()),
     "workflows_added": lambda x: changes.workflows_added(*x.snapshots()),
     "workflows_removed": lambda x: changes.workflows_removed(*x.snapshots()),
+    "workflow_lifetimes": lambda x: lifetimes.lifetimes(x.members, "repo", "workflow_name"),
+    "workflow_lifetimes_merged": lambda x: x.merged_lifetimes(),
+    "workflow_changes_between": lambda x: lifetimes.changes_between(
+        lifetimes.lifetimes(x.members, "repo", "workflow_name"), "2026-02-01", "2026-05-01", "repo", "workflow_name"
+    ),
+    "pattern_lifetimes": lambda x: lifetimes.lifetimes(x.pattern_members, "repo", "slug"),
     "pattern_changes": lambda x: x.pattern_changes,
     "pattern_changed_repos": lambda x: changes.changed_repos(
         x.pattern_changes

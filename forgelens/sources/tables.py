@@ -39,6 +39,7 @@ COMMON_COMMAND_COUNT = 4
 MATRIX_VALUES = ("3.11", "3.12", "3.13", "3.14", "ubuntu-latest", "arm64", "cuda-12", "20")
 TRIGGERS = ("push", "pull_request", "workflow_dispatch")
 RUNNERS = ("ubuntu-latest", "macos-latest")
+MONTHS = 6
 JOBS_PER_FILE = 8
 SHARED_WORKFLOW = "./.github/workflows/shared.yml"
 PERMISSIONS_JSON = '{"contents": "read"}'
@@ -264,6 +265,19 @@ def snapshot_orders(which: str) -> Column:
     return F.col("o_orderpriority") != absent
 
 
+def snapshot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshot, repo, workflow_name) of six monthly snapshots: a file is in those that the suppliers of its lines name."""
+    lines = table(spark, sf_dir, "lineitem")
+    bit = F.call_function("shiftleft", F.lit(1), (F.col("l_suppkey") % MONTHS).cast("int"))
+    months = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bit_or(bit).alias("_months"))
+    named = _file_columns()
+    files = table(spark, sf_dir, "orders").join(months, "o_orderkey").select(
+        named["repo"].alias("repo"), named["workflow_name"].alias("workflow_name"), "_months"
+    )
+    cases = [f"CASE WHEN _months & {1 << i} > 0 THEN DATE '2026-{i + 1:02d}-01' END" for i in range(MONTHS)]
+    return files.select(F.explode(F.expr(f"array_compact(array({', '.join(cases)}))")).alias("snapshot"), "repo", "workflow_name")
+
+
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same workflows rendered as YAML text, a few of them broken on purpose (repo, file_name, source_file,
     content)."""

@@ -95,8 +95,10 @@ def test_fingerprint_ignores_order_and_repeats(spark):
     random.Random(1).shuffle(shuffled)
     df = spark.createDataFrame([("all", name) for name in shuffled], "list string, full_name string")
     row = seeds.seed_fingerprints(df, "list").first()
-    assert (row.names, row.fingerprint) == (40, fingerprint(names))
+    listed = hashlib.sha256("\n".join(sorted(set(names))).encode()).hexdigest()[:16]
+    assert (row.names, row.fingerprint, row.additive) == (40, listed, fingerprint(names))
     other = df.where(F.col("full_name") != "o1/r7")
+    assert seeds.seed_fingerprints(other, "list").first().additive != row.additive
     assert seeds.seed_fingerprints(other, "list").first().fingerprint != row.fingerprint
 
 
