@@ -12,6 +12,7 @@ from forgelens.functions import text
 from forgelens.functions.literals import rule_table
 from forgelens.functions.numeric import percentage
 from forgelens.operators import repos
+from forgelens.sources.workspace import written
 
 WORKFLOW_SLUGS = tuple(slug for slug, *_ in rules.PATTERNS if slug not in rules.REPO_LEVEL_PATTERNS)
 ALL_SLUGS = tuple(slug for slug, *_ in rules.PATTERNS)
@@ -236,15 +237,33 @@ def pattern_top_repos(facts: DataFrame, limit: int = 3) -> DataFrame:
     return top_repos(facts, limit, F.col("repo")).select("slug", "position", "repo")
 
 
+def _written_flags(detail: DataFrame, slugs: tuple[str, ...]) -> DataFrame:
+    """Keys, practices and flags of all workflows as a table; rules that ``slugs`` do not rest on are not evaluated."""
+    practice = ("uses_matrix", "has_permissions", "has_security_scan", "has_ai_review", "uses_cache", "has_concurrency")
+    rests_on = {
+        "multi-stage-release": ("is_release", "is_dispatch"), "per-sample-ci": ("is_sample",), "multiple-build-systems": ("_builds",),
+    }
+    needed = {flag(slug) for slug in slugs} | {name for slug in slugs for name in rests_on.get(slug, ())}
+    blank = {"_builds": text.strings(())}
+    own = [flag(slug) for slug in WORKFLOW_SLUGS] + ["is_release", "is_dispatch", "is_sample", "_builds"]
+    flags = workflow_flags(detail).select(
+        *_KEYS, *practice, "uses_reusable_workflows", *[name for name in own if name in needed]
+    )
+    absent = {name: blank.get(name, F.lit(False)) for name in own if name not in needed}
+    return written(flags, "flags").withColumns(absent)
+
+
 def pattern_examples(detail: DataFrame, limit: int = EXAMPLES, slugs: tuple[str, ...] = ALL_SLUGS) -> DataFrame:
     """First examples of each pattern by (maturity desc, repo, workflow); rules of other patterns are not evaluated.
 
-    They lie in the first ``limit`` repos that have the pattern, so those few repos are picked from the per-repo
-    table first and the rules run again on their workflows only, of which at most ``limit`` of each are kept.  A
-    release train is one example that lists the names of its first release workflows.
+    They lie in the first ``limit`` repos that have the pattern.  The rules run once: their flags are written with the keys
+    (a narrow table, no text), the repos are picked from the per-repo counts of that table, and at most ``limit``
+    workflows of each picked repo are read from it again.  A release train is one example that lists the names of its
+    first release workflows.
     """
     train = "multi-stage-release"
-    picked = top_repos(repo_facts(workflow_flags(detail)), limit, F.desc("maturity_score"), F.col("repo"), slugs=slugs).select(
+    flags = _written_flags(detail, slugs)
+    picked = top_repos(repo_facts(flags), limit, F.desc("maturity_score"), F.col("repo"), slugs=slugs).select(
         "slug", "repo", F.col("position").alias("repo_rank"), "detail"
     )
     cells = _compact(
@@ -253,8 +272,7 @@ def pattern_examples(detail: DataFrame, limit: int = EXAMPLES, slugs: tuple[str,
         or [("false", text.quoted(train))]  # repo-level patterns have no workflow rows
     )
     # the picked side has at most ``limit`` rows per pattern
-    few = detail.join(F.broadcast(picked.select("repo").distinct()), "repo", "left_semi")
-    matches = workflow_flags(few).select(*_KEYS, F.explode(cells).alias("slug")).join(
+    matches = flags.select(*_KEYS, F.explode(cells).alias("slug")).join(
         F.broadcast(picked.select("slug", "repo")), ["slug", "repo"], "left_semi"
     )
     within_repo = Window.partitionBy("slug", "repo").orderBy("workflow_name", "workflow_path")
