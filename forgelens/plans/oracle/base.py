@@ -214,6 +214,13 @@ CTES: dict[str, str] = {
     "wf_month": """
         SELECT repo, workflow_name, snapshot FROM wf
         JOIN member_months ON month_key = split_part(workflow_name, '-', -1)::BIGINT""",
+    "practice_month": """
+        SELECT DISTINCT snapshot, repo, metric FROM (
+            SELECT snapshot, repo, unnest(['repos', CASE WHEN uses_matrix THEN 'uses_matrix' END,
+                                           CASE WHEN has_permissions_block THEN 'has_permissions_block' END,
+                                           CASE WHEN has_security_scan THEN 'has_security_scan' END,
+                                           CASE WHEN has_ai_review THEN 'has_ai_review' END]) AS metric
+            FROM wf JOIN member_months ON month_key = split_part(workflow_name, '-', -1)::BIGINT) WHERE metric IS NOT NULL""",
     "pdef": f"SELECT * FROM (VALUES {_rows(rules.PATTERNS)}) AS v(slug, name, category, tier)",
     "adoption": f"""
         SELECT pdef.slug, name, category, tier::BIGINT AS tier, coalesce(repos, 0) AS repo_count,

@@ -584,6 +584,16 @@ _STATEMENTS: dict[str, str] = {
         FROM (SELECT DISTINCT * FROM wf_month WHERE snapshot IN (DATE '2026-02-01', DATE '2026-05-01'))
         GROUP BY repo, workflow_name HAVING count(*) = 1""",
     "pattern_lifetimes": _lifetimes("pr_month", "repo", "slug"),
+    "distinct_unions": "SELECT metric, count(DISTINCT repo) AS repos FROM practice_month GROUP BY metric",
+    "distinct_cumulative": """
+        SELECT d.snapshot::VARCHAR AS snapshot, d.metric, count(DISTINCT p.repo) AS repos
+        FROM (SELECT DISTINCT snapshot, metric FROM practice_month) d
+        JOIN practice_month p ON p.metric = d.metric AND p.snapshot <= d.snapshot GROUP BY ALL""",
+    "distinct_shared": """
+        SELECT p.snapshot::VARCHAR AS snapshot, p.metric, count(*) AS repos
+        FROM practice_month p
+        JOIN (SELECT snapshot, repo FROM practice_month WHERE metric = 'repos') b
+          ON b.repo = p.repo AND b.snapshot = p.snapshot - INTERVAL 1 MONTH GROUP BY ALL""",
     "pattern_changes": _PATTERN_CHANGES,
     "pattern_changed_repos": _CHANGED_REPOS,
     "pattern_changed_listed": f"SELECT * FROM ({_CHANGED_REPOS}) ORDER BY repo LIMIT 20",

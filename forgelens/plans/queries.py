@@ -15,6 +15,7 @@ from forgelens.functions import text
 from forgelens.operators import (
     adoption,
     changes,
+    distinct_state,
     extract,
     insights,
     lifetimes,
@@ -29,6 +30,7 @@ from forgelens.operators import (
     signals,
 )
 from forgelens.sources import tables
+from forgelens.sources.workspace import written
 
 CRAWLED = "2026-01-01"
 LAST_MONTH = f"2026-{tables.MONTHS:02d}-01"
@@ -130,6 +132,17 @@ class Inputs:
         facts = patterns.repo_facts(patterns.of_snapshots(self.flags, self.members), "snapshot")
         return patterns.pattern_repos(facts, "snapshot").select("snapshot", "repo", "slug")
 
+    @cached_property
+    def distinct_state(self) -> DataFrame:
+        """Bitmaps of the repos of every monthly snapshot, by practice; written once, as snapshots would be."""
+        flags = ("uses_matrix", "has_permissions_block", "has_security_scan", "has_ai_review")
+        cells = ", ".join(f"CASE WHEN {name} THEN '{name}' END" for name in flags)
+        dated = self.members.join(self.workflows.select("repo", "workflow_name", *flags), ["repo", "workflow_name"])
+        metrics = F.explode(F.expr(f"array_compact(array('repos', {cells}))")).alias("metric")
+        rows = written(dated.select("snapshot", metrics, "repo").distinct(), "practices")
+        numbers = distinct_state.with_new_repos(self.spark.createDataFrame([], distinct_state.NUMBERS), rows)
+        return written(distinct_state.state_of(rows, numbers), "distinct-state")
+
     def merged_lifetimes(self) -> DataFrame:
         """Intervals of all snapshots but the last, merged with the last."""
         last = F.lit(LAST_MONTH).cast("date")
@@ -365,6 +378,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         lifetimes.lifetimes(x.members, "repo", "workflow_name"), "2026-02-01", "2026-05-01", "repo", "workflow_name"
     ),
     "pattern_lifetimes": lambda x: lifetimes.lifetimes(x.pattern_members, "repo", "slug"),
+    "distinct_unions": lambda x: distinct_state.union_counts(x.distinct_state),
+    "distinct_cumulative": lambda x: distinct_state.cumulative_counts(x.distinct_state),
+    "distinct_shared": lambda x: distinct_state.shared_counts(x.distinct_state),
     "pattern_changes": lambda x: x.pattern_changes,
     "pattern_changed_repos": lambda x: changes.changed_repos(
         x.pattern_changes
