@@ -36,6 +36,5 @@ STATEMENTS = {
     "op5_license_scan": license_scan.SQL,
     "op7_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
-    "op12_posting_search": posting_search.query,
     "op13_importance_resampling": importance_resampling.SQL,
 }

@@ -9,7 +9,7 @@ from forgelens.llm import line_dedup, near_dedup, sentence_pieces, soft_mixing
 from forgelens.llm.common import written
 from forgelens.llm.queries import QUERIES, STATEMENTS
 
-NATIVE = ("op5_license_scan", "op8_line_dedup")
+NATIVE = ("op4_soft_mixing", "op5_license_scan", "op8_line_dedup")
 
 
 @pytest.fixture(scope="module")
