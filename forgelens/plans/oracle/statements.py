@@ -389,6 +389,23 @@ def _lifetimes(members: str, *keys: str) -> str:
         GROUP BY {names}, run"""
 
 
+_MAIN = "'/.github/workflows/main.yml'"
+_CALLS = f"""
+    SELECT DISTINCT concat('orders/o', l_orderkey, {_MAIN}) AS caller, concat('shared/s', l_suppkey, {_MAIN}) AS callee
+    FROM lineitem WHERE l_linenumber <= 2
+    UNION SELECT concat('shared/s', s_suppkey, {_MAIN}), concat('shared/s', s_suppkey // 3, {_MAIN}) FROM supplier WHERE s_suppkey >= 3
+    UNION SELECT concat('shared/s', s_suppkey, {_MAIN}), concat('shared/s', s_suppkey, '/.github/workflows/local.yml')
+          FROM supplier WHERE s_suppkey % 4 = 0
+    UNION SELECT concat('shared/s', s_suppkey, {_MAIN}), concat('shared/s', s_suppkey + 1, {_MAIN}) FROM supplier WHERE s_suppkey % 5 = 0
+    UNION SELECT concat('shared/s', s_suppkey, {_MAIN}), concat('shared/s', s_suppkey * 3, {_MAIN}) FROM supplier WHERE s_suppkey % 7 = 1"""
+# chains of at most 40 calls: depth must be bounded for UNION to end in cycles; shortest ones are far below
+_CHAINS = f"""
+    WITH RECURSIVE calls AS ({_CALLS}), walk AS (
+      SELECT caller, callee, 1 AS depth FROM calls
+      UNION
+      SELECT w.caller, c.callee, w.depth + 1 FROM walk w JOIN calls c ON c.caller = w.callee WHERE w.depth < 40
+    ) SELECT caller, callee, min(depth)::BIGINT AS depth FROM walk GROUP BY ALL"""
+
 _STATEMENTS: dict[str, str] = {
     # sources and extraction
     "workflow_table": f"SELECT {_WORKFLOW_COLUMNS}, crawl_date::VARCHAR AS crawl_date FROM wf",
@@ -740,6 +757,19 @@ _STATEMENTS: dict[str, str] = {
             r AS (SELECT left_repo, right_repo, workflow_name FROM p JOIN wf ON repo = right_repo)
             SELECT *, 'left' AS side FROM (FROM l EXCEPT FROM r)
             UNION ALL SELECT *, 'right' FROM (FROM r EXCEPT FROM l))""",
+    "streamed_versions": """
+        SELECT repo, file_name, sha FROM (
+          SELECT repo, file_name, max(struct_pack(ts := ts, sha := sha)).sha AS sha
+          FROM (SELECT concat('org/user', user_id % 200) AS repo, concat(event_type, '.yml') AS file_name, ts,
+                       CASE WHEN event_id % 11 = 0 THEN ''
+                            ELSE sha256(concat('v', floor(coalesce(value, 0) / 4)::BIGINT)) END AS sha FROM events)
+          WHERE ts IS NOT NULL GROUP BY ALL) WHERE sha <> ''""",
+    "reusable_chains": f"FROM ({_CHAINS})",
+    "reusable_reach": f"""
+        SELECT callee AS workflow, count(*) FILTER (WHERE caller <> callee AND depth = 1) AS direct_callers,
+               count(*) FILTER (WHERE caller <> callee) AS callers,
+               coalesce(max(depth) FILTER (WHERE caller <> callee), 0) AS longest_chain, bool_or(caller = callee) AS in_cycle
+        FROM ({_CHAINS}) GROUP BY callee""",
     "repo_advice": f"""
         SELECT repo, position, advice FROM ({_positions(
             "facts JOIN (SELECT repo AS r, permitted, scanners, supply_tools, app_token, hardened FROM scores) ON r = repo",

@@ -4,6 +4,7 @@ Builders only declare plans.  ``Inputs`` derives the workflow-shaped tables from
 joined to text and positions widened so that results compare across engines.
 """
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -24,13 +25,15 @@ from forgelens.operators import (
     profiles,
     quality,
     repos,
+    reuse,
     security,
     seeds,
     serving,
     signals,
 )
 from forgelens.sources import tables
-from forgelens.sources.workspace import written
+from forgelens.sources.workspace import shared_folder, written
+from forgelens.streaming import versions
 
 CRAWLED = "2026-01-01"
 LAST_MONTH = f"2026-{tables.MONTHS:02d}-01"
@@ -143,6 +146,10 @@ class Inputs:
         numbers = distinct_state.with_new_repos(self.spark.createDataFrame([], distinct_state.NUMBERS), rows)
         return written(distinct_state.state_of(rows, numbers), "distinct-state")
 
+    @cached_property
+    def chains(self) -> DataFrame:
+        return reuse.closure(reuse.calls(self._of(tables.reuse_calls)))
+
     def merged_lifetimes(self) -> DataFrame:
         """Intervals of all snapshots but the last, merged with the last."""
         last = F.lit(LAST_MONTH).cast("date")
@@ -203,6 +210,17 @@ def _extras(x: Inputs) -> DataFrame:
     return tables.table(x.spark, x.sf_dir, "supplier").select(owner.alias("owner"), repo.alias("repo"))
 
 
+def _streamed_versions(x: Inputs) -> DataFrame:
+    """Files as the keyed state has them after three batches, which hold observations of all times."""
+    root = f"{shared_folder(x.spark)}/versions-{uuid.uuid4().hex}"
+    landing = f"{root}/landing"
+    x._of(tables.file_observations).write.partitionBy("part").parquet(landing)
+    files = len(x.spark.read.schema(versions.OBSERVATION).parquet(landing).inputFiles())
+    stream = x.spark.readStream.schema(versions.OBSERVATION).option("maxFilesPerTrigger", -(-files // 3)).parquet(landing)
+    versions.start(stream, f"{root}/tables", f"{root}/checkpoint", parse=False).awaitTermination()
+    return versions.current(x.spark, f"{root}/tables").select("repo", "file_name", "sha")
+
+
 def _config_text() -> Column:
     """Fields of a parsed configuration file as one line; absent ones are left out."""
     names = {
@@ -448,6 +466,9 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "incremental_state": lambda x: signals.updated_state(
         x._of(tables.hashed_listing, "current"), x._of(tables.hashed_listing, "previous")
     ),
+    "streamed_versions": _streamed_versions,
+    "reusable_chains": lambda x: x.chains,
+    "reusable_reach": lambda x: reuse.reach(x.chains),
     # serving
     "repo_list": lambda x: serving.repo_list(x.facts, x.scores),
     "repo_list_search": lambda x: serving.repo_list(x.facts, x.scores, " ORG7/ ", "maturity_pct"),

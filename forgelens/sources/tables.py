@@ -496,3 +496,37 @@ def action_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("candidate"), F.when(key % 2 == 0, second).alias("content")),
     )
     return part.select(name.alias("action"), F.inline(candidates)).where(F.col("content").isNotNull())
+
+
+def reuse_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of shared workflows: lines call the one of their supplier, those call others, some in cycles."""
+    shared = lambda key, ref="@v1": F.concat(F.lit("shared/s"), key.cast("string"), F.lit(f"/.github/workflows/main.yml{ref}"))
+    path = ".github/workflows/main.yml"
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(
+        F.concat(F.lit("orders/o"), F.col("l_orderkey").cast("string")).alias("repo"),
+        F.lit(path).alias("workflow_path"),
+        F.array(shared(F.col("l_suppkey"))).alias("reusable_workflows"),
+    )
+    key = F.col("s_suppkey")
+    others = F.array(
+        F.when(key >= 3, shared(F.floor(key / 3), "@v2")),
+        F.when(key % 4 == 0, F.lit("./.github/workflows/local.yml")),
+        F.when(key % 5 == 0, shared(key + 1)),
+        F.when(key % 7 == 1, shared(key * 3)),
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("shared/s"), key.cast("string")).alias("repo"), F.lit(path).alias("workflow_path"),
+        others.alias("reusable_workflows"),
+    )
+    return lines.unionByName(suppliers)
+
+
+def file_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of files that change in place: an event of a user is a look at one of that user's files."""
+    name = F.concat("event_type", F.lit(".yml"))
+    repo = F.concat(F.lit("org/user"), (F.col("user_id") % 200).cast("string"))
+    content = F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("v"), F.floor(F.coalesce("value", F.lit(0.0)) / 4).cast("string")))
+    return table(spark, sf_dir, "events").select(
+        repo.alias("repo"), name.alias("file_name"), F.concat(repo, F.lit("/"), name).alias("source_file"),
+        content.alias("content"), F.col("ts").cast("timestamp").alias("seen_at"), (F.col("event_id") % 3).alias("part"),
+    )
