@@ -1,14 +1,14 @@
 """Near-duplicate embeddings: HNSW graphs per shard, cosine checked in double precision, linked ones united.
 
 Equal vectors are one class from the start.  Classes are dealt over shards by a hash; each shard gets a graph (hnsw.py),
-and every class queries every shard.  Before, an audit compares one query in ``AUDIT_EVERY`` with a full scan, adds up
-the hits of each shard over all query blocks, and takes the narrowest beam that found every link of theirs and
-``AUDIT_RECALL`` of the ``AUDIT_NEIGHBOURS`` nearest nodes of one query in ``NEAR_EVERY`` of them: that part has power
-where links are rare.  A beam of more than one node in ``SCAN_SHARE`` would read most of the shard by its links; it is a scan.
+and every class queries every shard.  Before, an audit takes for each shard the narrowest of the ``WIDTHS`` of a beam that
+found ``LINK_RECALL`` of the links of one query in ``AUDIT_EVERY`` (a scan tells them) and ``PROBE_RECALL`` of the targets of
+``PROBES`` probes a block: nodes of the shard turned away until their cosine to the node is ``MIN_COSINE``, the farthest a
+link can be.  Probes have power where links are rare.  A shard in which no width passes is scanned; the widths are logged.
 
-A class with few links in a shard returns them, and a link that one side found counts for both.  A class whose beam holds
-``FEW`` or more possible links scans the shard, so that it lacks none that the other side could find; it returns their
-number, and the task a spanning forest of such links; a dense group is never written out as pairs.
+A class with few links in a shard returns them, and a link that one side found counts for both.  A class whose beam is
+filled by more than half with possible links scans the shard, since there may be more than a beam holds; beyond ``FEW`` links
+it returns their number, and the task a spanning forest of such links; a dense group is never written out as pairs.
 
 ``SHARD_VECTORS`` bounds a shard and ``BLOCK_QUERIES`` a block of queries, hence the memory of a task.
 
@@ -17,6 +17,8 @@ vectors of different lengths; rows that repeat a vec_id are one vector (the leas
 out; an empty table gives an empty table.
 """
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,14 +29,14 @@ from .common import written
 from .components import components, forest
 
 MIN_COSINE = 0.95
-LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 65_536, 4096
-BEAM, FEW, SCAN_SHARE = 32, 8, 64
-AUDIT_EVERY, NEAR_EVERY = 16, 4
-AUDIT_NEIGHBOURS, AUDIT_RECALL = 10, 0.95
+LEAST_SHARDS, SHARD_VECTORS, BLOCK_QUERIES = 6, 65_536, 16_384
+WIDTHS, FEW = (16, 32, 64, 128, 256, 512), 8
+AUDIT_EVERY, PROBES = 16, 512
+LINK_RECALL, PROBE_RECALL = 0.999, 0.995
 SCAN_CELLS = 1 << 22
 ROUNDING = 1e-4  # of single precision, in which the graph is searched
 NODES = "dim int, shard int, node int, id long, copies long, embedding array<float>, links array<int>"
-AUDIT = "dim int, shard int, width int, links long, links_found long, near long, near_found long"
+AUDIT = "dim int, shard int, width int, links long, links_found long, probes long, probes_found long"
 FOUND = "kind string, a long, b long, n long"  # a link, an edge of a forest, or the number of links in a shard
 
 
@@ -110,39 +112,39 @@ class Shard:
         entry = hnsw.descend(self.x, self.levels, queries, 0)
         ids, sims = hnsw.beam(self.x, self.levels[0], queries, entry, width)
         close = sims >= MIN_COSINE - ROUNDING
-        full = close.sum(1) >= FEW  # there may be more
+        full = close.sum(1) > width // 2  # there may be more
         at, column = np.nonzero(close & ~full[:, None])
         rows = np.flatnonzero(full)
         asked, node = self._full(queries[rows])
         return np.concatenate([at, rows[asked]]), np.concatenate([ids[at, column], node]).astype(np.int64), ids
 
-    def widths(self) -> list[int]:
-        """Beams that are narrow enough not to be scans."""
-        out = [BEAM]
-        while out[-1] * SCAN_SHARE < len(self.x):
-            out.append(2 * out[-1])
-        return out[:-1]
+    def probes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Some nodes, and for each a vector at a cosine of MIN_COSINE; the same ones at every attempt."""
+        rng = np.random.default_rng(len(self.x))
+        node = rng.choice(len(self.x), min(PROBES, len(self.x)), replace=False)
+        aim = self.x[node].astype(np.float64)
+        away = rng.normal(size=aim.shape)
+        away -= np.einsum("bd,bd->b", away, aim)[:, None] * aim
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        return node, (MIN_COSINE * aim + np.sqrt(1 - MIN_COSINE**2) * away).astype(np.float32)
 
     def audit(self, queries: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(width, links, links found, near nodes, near nodes found) for every width."""
-        widths = self.widths()
-        if not widths or not len(queries):
-            return []
+        """(width, links, links found, probes, probes found) for every width."""
         at, node = self._full(queries, MIN_COSINE + ROUNDING)
-        near = np.arange(0, len(queries), NEAR_EVERY)
-        k = min(AUDIT_NEIGHBOURS, len(self.x))
-        nearest = np.concatenate([np.argpartition(-sims, k - 1, axis=1)[:, :k] for _, sims in self._scans(queries[near])])
-        rows = np.union1d(at, near)
+        rows = np.unique(at)
         true = set(zip(at.tolist(), node.tolist()))
+        target, probes = self.probes()
         out = []
-        for width in widths:
-            asked, found, ids = self._beams(queries[rows], width)
+        for width in WIDTHS:
+            asked, found, _ = self._beams(queries[rows], width)
             links = len(true.intersection(zip(rows[asked].tolist(), found.tolist())))
-            held = ids[np.searchsorted(rows, near)]
-            hits = sum(len(np.intersect1d(a, b)) for a, b in zip(nearest, held))
-            out.append((width, len(true), links, nearest.size, hits))
-            if links == len(true) and hits == nearest.size:  # so are the wider ones
-                out += [(wider, *out[-1][1:]) for wider in widths if wider > width]
+            entry = hnsw.descend(self.x, self.levels, probes, 0)
+            ids, sims = hnsw.beam(self.x, self.levels[0], probes, entry, width)
+            crowded = (sims >= MIN_COSINE - ROUNDING).sum(1) > width // 2  # would be scanned
+            hits = int(((ids == target[:, None]).any(1) | crowded).sum())
+            out.append((width, len(true), links, len(target), hits))
+            if links == len(true) and hits == len(target):  # so are the wider ones
+                out += [(wider, *out[-1][1:]) for wider in WIDTHS if wider > width]
                 break
         return out
 
@@ -160,9 +162,10 @@ class Shard:
 def audit_block(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     """Rows of AUDIT: what the beams of each width find for the audited queries of a block."""
     columns = [column.split()[0] for column in AUDIT.split(", ")]
-    if not len(queries) or not len(nodes):
+    if not len(nodes):
         return pd.DataFrame(columns=columns).astype("int64")
-    found = Shard(nodes).audit(_units(queries)[1])
+    shard = Shard(nodes)
+    found = shard.audit(_units(queries)[1] if len(queries) else shard.x[:0])
     cell = (int(nodes["dim"].iloc[0]), int(nodes["shard"].iloc[0]))
     return pd.DataFrame([(*cell, *row) for row in found], columns=columns).astype("int64")
 
@@ -196,30 +199,49 @@ def _cell(column: str, count: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
 
+def _every(count: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+
+def graphs_of(classes: DataFrame, shards: int) -> DataFrame:
+    """NODES of all shards."""
+    dealt = classes.withColumn("shard", _cell("id", shards)).select("dim", "shard", "id", "copies", "embedding")
+    return written(dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build_shard, NODES), "graphs")
+
+
+def widths_of(classes: DataFrame, graphs: DataFrame, shards: int, n: int) -> DataFrame:
+    """(dim, shard, width) of every shard: the narrowest beam that passed the audit, null where none did."""
+    cell = ["dim", "shard", "block"]
+    rounds = max(1, -(-n // (AUDIT_EVERY * BLOCK_QUERIES)))  # the audited queries in blocks of their own
+    audited = classes.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(AUDIT_EVERY)) == 0)
+    block = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(rounds)).cast("int")
+    audited = audited.select("dim", "id", "embedding", block.alias("block"), _every(shards).alias("shard"))
+    probed, tasks = graphs.withColumn("block", _every(rounds)), 4 * shards * rounds
+    audits = (
+        audited.repartition(tasks, *cell).groupBy(*cell).cogroup(probed.repartition(tasks, *cell).groupBy(*cell))
+        .applyInPandas(audit_block, AUDIT)
+    )
+    sums = audits.groupBy("dim", "shard", "width").agg(
+        *[F.sum(c).alias(c) for c in ("links", "links_found", "probes", "probes_found")]
+    )
+    passed = (F.col("links_found") >= LINK_RECALL * F.col("links")) & (F.col("probes_found") >= PROBE_RECALL * F.col("probes"))
+    widths = written(sums.groupBy("dim", "shard").agg(F.min(F.when(passed, F.col("width"))).alias("width")), "widths")
+    used = {row["width"]: row["count"] for row in widths.groupBy("width").count().collect()}  # one row a width
+    logging.getLogger(__name__).info("shards by width of their beams (None: scanned): %s", used)
+    return widths
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     members, classes = classes_of(vectors)
     n = classes.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_VECTORS)), max(2, -(-n // BLOCK_QUERIES))
-    dealt = classes.withColumn("shard", _cell("id", shards)).select("dim", "shard", "id", "copies", "embedding")
-    graphs = written(dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build_shard, NODES), "graphs")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    graphs = graphs_of(classes, shards)
     cell, tasks = ["dim", "shard", "block"], 2 * shards * blocks
     block = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")
-    asked = classes.select("dim", "id", "embedding", block.alias("block"), every(shards).alias("shard"))
-    # the audit: its queries in blocks of their own
-    rounds = max(1, -(-n // (AUDIT_EVERY * BLOCK_QUERIES)))
-    audited = classes.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(AUDIT_EVERY)) == 0)
-    audited = audited.select("dim", "id", "embedding", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(rounds)).cast("int").alias("block"), every(shards).alias("shard"))
-    probed, probes = graphs.withColumn("block", every(rounds)), 4 * shards * rounds
-    audits = (
-        audited.repartition(probes, *cell).groupBy(*cell).cogroup(probed.repartition(probes, *cell).groupBy(*cell))
-        .applyInPandas(audit_block, AUDIT)
-    )
-    sums = audits.groupBy("dim", "shard", "width").agg(*[F.sum(c).alias(c) for c in ("links", "links_found", "near", "near_found")])
-    passed = sums.where((F.col("links_found") == F.col("links")) & (F.col("near_found") >= AUDIT_RECALL * F.col("near")))
-    widths = written(passed.groupBy("dim", "shard").agg(F.min("width").alias("width")), "widths")
-    held = graphs.join(widths, ["dim", "shard"], "left").withColumn("block", every(blocks))
+    asked = classes.select("dim", "id", "embedding", block.alias("block"), _every(shards).alias("shard"))
+    widths = widths_of(classes, graphs, shards, n)
+    held = graphs.join(widths, ["dim", "shard"], "left").withColumn("block", _every(blocks))
     found = written(
         asked.repartition(tasks, *cell).groupBy(*cell).cogroup(held.repartition(tasks, *cell).groupBy(*cell))
         .applyInPandas(search_block, FOUND),

@@ -53,6 +53,8 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> n
 
 def beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int):
     """(ids, similarities) of the ``width`` best nodes found for every query, unsorted, padded with -1."""
+    if not len(queries):
+        return np.zeros((0, width), np.int32), np.zeros((0, width), np.float32)
     step = max(8, min(512, VISITED_BYTES // max(1, len(links))))
     parts = [
         _beam(x, links, queries[at : at + step], entry[at : at + step], width) for at in range(0, len(queries), step)

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from forgelens.llm import embedding_dedup, near_dedup
@@ -133,17 +134,59 @@ def test_rare_links_are_not_lost_by_narrow_beams(spark, monkeypatch):
     assert expected[:24].sum() > 10 and got == dict(enumerate(expected.tolist()))
 
 
-def test_audit_has_power_without_links():
+def test_audit_has_power_without_links(monkeypatch):
+    """Probes tell a poor graph from a good one where no audited query has a link."""
     from forgelens.llm import hnsw
 
     rng = np.random.default_rng(7)
     x = rng.normal(size=(5000, 48)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def audit():
+        shard = embedding_dedup.Shard.__new__(embedding_dedup.Shard)
+        shard.x, shard.levels = x[:4500], hnsw.build(x[:4500])
+        return shard.audit(x[4500:])
+
+    good = audit()
+    assert [row[0] for row in good] == list(embedding_dedup.WIDTHS) and all(row[1:4] == (0, 0, 512) for row in good)
+    assert good[1][4] >= 0.995 * 512
+    monkeypatch.setattr(hnsw, "DEGREE", 3)
+    monkeypatch.setattr(hnsw, "BUILD_BEAM", 3)
+    assert audit()[0][4] < 0.9 * 512
+
+
+def test_probes_are_at_the_threshold():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     shard = embedding_dedup.Shard.__new__(embedding_dedup.Shard)
-    shard.x, shard.levels = x[:4500], hnsw.build(x[:4500])
-    audit = shard.audit(x[4500:])
-    assert [row[0] for row in audit] == [32, 64]
-    assert all(row[1] == 0 for row in audit) and audit[0][4] < 0.95 * audit[0][3]
+    shard.x = x
+    node, probes = shard.probes()
+    assert len(set(node.tolist())) == 300
+    assert np.allclose(np.einsum("bd,bd->b", probes, x[node]), 0.95, atol=1e-5)
+
+
+def test_rows_come_from_the_graphs(spark, monkeypatch):
+    """15,000 vectors: no shard is scanned, few queries are, and the links are those of brute force."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(14_000, 64))
+    near = base[:700] + 0.2 * rng.normal(size=(700, 64))
+    group = base[900] + 0.12 * rng.normal(size=(300, 64))
+    x = np.concatenate([base, near, group]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    expected = np.concatenate([(unit[at : at + 1000] @ unit.T >= 0.95).sum(1) - 1 for at in range(0, 15_000, 1000)])
+    seen = []
+    original = embedding_dedup.widths_of
+    monkeypatch.setattr(embedding_dedup, "widths_of", lambda *args: seen.append(original(*args)) or seen[-1])
+    df = spark.createDataFrame(
+        pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>"
+    )
+    got = {row.vec_id: row.n_links for row in embedding_dedup.near_duplicates(df).collect()}
+    widths = [row.width for row in seen[0].collect()]
+    assert len(widths) == embedding_dedup.LEAST_SHARDS and None not in widths and max(widths) <= 64
+    right = sum(got[i] == n for i, n in enumerate(expected.tolist()) if n)
+    assert all(got[i] <= n for i, n in enumerate(expected.tolist()))  # none below the threshold
+    assert (expected > 0).sum() > 1500 and right >= 0.995 * (expected > 0).sum()
 
 
 def test_graph_finds_what_a_scan_finds():
