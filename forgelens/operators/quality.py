@@ -1,6 +1,6 @@
 """Data-quality checks of the workflow table, each in one pass over it."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from forgelens import rules
@@ -52,6 +52,35 @@ def all_null_columns(df: DataFrame) -> DataFrame:
     return long.where("_rows > 0 AND present = 0").select("column_name")
 
 
+ROWS, NULLS = "rows", "nulls:"
+
+
+def watched(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The table, and row and null counts taken while it is written: no second scan.
+
+    Counts of different keys need a shuffle and are not among them.  A plan that is evaluated twice counts the first time.
+    """
+    observation = Observation()
+    counts = [F.count_if(F.col(name).isNull()).alias(NULLS + name) for name in df.columns]
+    return df.observe(observation, F.count(F.lit(1)).alias(ROWS), *counts), observation
+
+
+def watched_null_rates(spark: SparkSession, figures: dict) -> DataFrame:
+    """``null_rates`` from the figures of an observation."""
+    rows = [(name.removeprefix(NULLS), figures[ROWS], n) for name, n in figures.items() if name.startswith(NULLS)]
+    long = spark.createDataFrame(sorted(rows), "column_name string, _rows bigint, nulls bigint")
+    return long.select("column_name", percentage(F.col("nulls"), F.col("_rows")).alias("null_rate"))
+
+
+def watched_issues(figures: dict) -> list[str]:
+    """What ``validate`` finds without counting keys: absent columns, and columns without values in a non-empty table."""
+    names = {name.removeprefix(NULLS) for name in figures if name.startswith(NULLS)}
+    missing = sorted(set(rules.EXPECTED_COLUMNS) - names)
+    checked = sorted((set(rules.EXPECTED_COLUMNS) & names) - {"workflow_path"})
+    empty = [name for name in checked if figures[ROWS] and figures[NULLS + name] == figures[ROWS]]
+    return ([f"missing_columns: {', '.join(missing)}"] if missing else []) + [f"no_values: {name}" for name in empty]
+
+
 def _checked_for_values(df: DataFrame) -> list[str]:
     return sorted((set(rules.EXPECTED_COLUMNS) & set(df.columns)) - {"workflow_path"})
 

@@ -757,6 +757,9 @@ _STATEMENTS: dict[str, str] = {
             r AS (SELECT left_repo, right_repo, workflow_name FROM p JOIN wf ON repo = right_repo)
             SELECT *, 'left' AS side FROM (FROM l EXCEPT FROM r)
             UNION ALL SELECT *, 'right' FROM (FROM r EXCEPT FROM l))""",
+    "repo_search": "SELECT DISTINCT repo AS name FROM wf WHERE contains(lower(repo), 'org7/cust1')",
+    "action_search": """
+        SELECT DISTINCT name FROM (SELECT unnest(actions_used) AS name FROM wf) WHERE contains(lower(name), 'setup-')""",
     "streamed_versions": """
         SELECT repo, file_name, sha FROM (
           SELECT repo, file_name, max(struct_pack(ts := ts, sha := sha)).sha AS sha

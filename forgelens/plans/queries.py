@@ -21,6 +21,7 @@ from forgelens.operators import (
     insights,
     lifetimes,
     lineage,
+    name_search,
     patterns,
     profiles,
     quality,
@@ -210,6 +211,12 @@ def _extras(x: Inputs) -> DataFrame:
     return tables.table(x.spark, x.sf_dir, "supplier").select(owner.alias("owner"), repo.alias("repo"))
 
 
+def _search(x: Inputs, rows: DataFrame, column: str, term: str) -> DataFrame:
+    path = f"{shared_folder(x.spark)}/{column}-index-{uuid.uuid4().hex}"
+    name_search.write_index(rows, column, path)
+    return name_search.search(x.spark, path, term)
+
+
 def _streamed_versions(x: Inputs) -> DataFrame:
     """Files as the keyed state has them after three batches, which hold observations of all times."""
     root = f"{shared_folder(x.spark)}/versions-{uuid.uuid4().hex}"
@@ -472,6 +479,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # serving
     "repo_list": lambda x: serving.repo_list(x.facts, x.scores),
     "repo_list_search": lambda x: serving.repo_list(x.facts, x.scores, " ORG7/ ", "maturity_pct"),
+    "repo_search": lambda x: _search(x, x.workflows, "repo", " ORG7/cust1"),
+    "action_search": lambda x: _search(x, x.workflows.select(F.explode("actions_used").alias("action")), "action", "Setup-"),
     "dashboard_patterns": lambda x: serving.dashboard_patterns(x.facts),
     "dashboard_actions": lambda x: serving.dashboard_actions(x.workflows),
     "dashboard_security": lambda x: serving.dashboard_security(x.scores),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forgelens import schemas
+from forgelens.operators import quality
 
 PARTITION = "crawl_date"
 
@@ -47,6 +48,13 @@ def write_snapshot(workflows: DataFrame, path: str) -> None:
     )
 
 
+def write_watched(workflows: DataFrame, path: str) -> dict:
+    """``write_snapshot``, and the row and null counts of what was written (``quality.watched_issues`` reads them)."""
+    rows, observation = quality.watched(workflows.select(*schemas.WORKFLOW.names))
+    write_snapshot(rows, path)
+    return observation.get
+
+
 def write_latest(workflows: DataFrame, path: str) -> None:
     workflows.select(*schemas.WORKFLOW.names).write.mode("overwrite").parquet(path)
 
