@@ -11,7 +11,9 @@ character itself, which is encoded as bytes.
 
 No piece holds a marker after another character (checked on load), so the best segmentation is that of each run of
 blanks with the word after it.  Words that a task has not met before are segmented together: the search walks the
-trie for all of them at once, position by position.  The trie and a bounded table of words are all that a worker holds.
+trie for all of them at once, position by position.  A long word, as in scripts without blanks, is cut before between any
+two characters that are neighbours in no piece: every segmentation has a border there, so the best one is that of the
+parts, and different parts are segmented once, together.  The trie and a bounded table of words are all that a worker holds.
 
 Defined results: null and empty texts have no pieces; rows are independent.
 """
@@ -122,6 +124,10 @@ def _fitting(free: np.ndarray, at: int, codes: np.ndarray) -> int:
         at += FIT_WINDOW
 
 
+def _pair(a, b):
+    return a << 21 | b
+
+
 class Pieces:
     """A vocabulary for encoding and decoding."""
 
@@ -147,6 +153,8 @@ class Pieces:
             self.texts[i] = text
         self.is_byte = np.zeros(len(listed), bool)
         self.is_byte[self.bytes] = True
+        inner = {(text[at], text[at + 1]) for text in map(bytes.decode, texts.values()) for at in range(len(text) - 1)}
+        self.inner = np.array(sorted(_pair(ord(a), ord(b)) for a, b in inner), np.int64)
         self.table = WordTable(self._words)
 
     # --- encoding ---------------------------------------------------------------------------------------------------
@@ -209,17 +217,30 @@ class Pieces:
             out[i] = np.concatenate(parts)
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a blank before them; long ones are searched alone, as the search takes a step a byte."""
-        data = [b" " + word.encode() for word in words]
+    def _parts(self, word: str) -> list[str]:
+        """The word cut between characters that are neighbours in no piece."""
+        code = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        cuts = np.flatnonzero(~np.isin(_pair(code[:-1], code[1:]), self.inner)) + 1
+        return [word[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)])]
+
+    def _together(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words; those that stay long are searched alone, as the search takes a step a byte."""
+        data = [word.encode() for word in words]
         short = [i for i, word in enumerate(data) if len(word) <= LONG_WORD]
-        out = [b""] * len(data)
+        out = [np.zeros(0, np.int32)] * len(data)
         for group in [short, *([i] for i, word in enumerate(data) if len(word) > LONG_WORD)]:
             if group:
                 for i, ids in zip(group, self.segment([data[i] for i in group])):
-                    out[i] = ids.tobytes()
+                    out[i] = ids
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a blank before them."""
+        parts = [[" " + word] if len(word) * 4 <= LONG_WORD else self._parts(" " + word) for word in words]
+        different = list(dict.fromkeys(part for cut in parts for part in cut))
+        ids = dict(zip(different, (found.tobytes() for found in self._together(different))))
+        return [b"".join(map(ids.__getitem__, cut)) for cut in parts]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         return [np.frombuffer(ids, np.int32) for ids in self.table.join([words_of(text) for text in texts])]

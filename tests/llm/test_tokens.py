@@ -174,3 +174,16 @@ def test_encoded_table(spark):
     decoded = {row.doc_id: row.text for row in sentence_pieces.decode(rows.select("doc_id", "ids")).collect()}
     assert decoded == {i: text or "" for i, text in enumerate(ODD)}
     assert sentence_pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_texts_without_blanks_are_cut_where_no_piece_spans():
+    pieces = sentence_pieces.Pieces(tokenizer_file(sentence_pieces.MODEL))
+    rng = random.Random(12)
+    parts = ["the", "ing", "国", "日本", "ü", "-", "2024", "#", "\n", "\u2581", "😀", "\x00", "ab"]
+    for size in (1, 25, 97, 700):
+        text = "".join(rng.choice(parts) for _ in range(size))
+        ids = pieces.encode([text])[0]
+        assert "\x00" in text or ids.tolist() == pieces.segment([(" " + text).encode()])[0].tolist()
+        assert pieces.decode(ids.tolist()) == text
+    long = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(350_000))  # over 1 MB
+    assert pieces.decode(pieces.encode([long])[0].tolist()) == long
