@@ -1,25 +1,36 @@
 """Class-based n-gram language model (Brown clusters found by the exchange algorithm).
 
-    P(word | word before) = P(class | class before) * P(word | class)
-
-Units of the clustering are the ``UNITS`` most frequent training words, and ``ENDINGS`` groups of all other words by a
-checksum of their last two letters; the end of a document is a class of its own and the context of first words.
-The bigrams of units are counted over all training text.  Exchange: unit after unit moves to the class that raises the
-likelihood of the class bigrams most, until none moves.  Of the corpus only these counts reach the driver, a table
-of (UNITS + ENDINGS + 1) squared cells whatever the corpus, and the DIRECT most frequent words.
-
-Word counts cover all words.  The ``DIRECT`` most frequent go to the workers with their counts; the tail of the text
-meets its counts in a join, as rows (text, word, times) that are summed within a text first.  So frequent words never
-cross the network, and no table grows in a worker with the vocabulary.
+    P(word | word before) = P(class of the word | context class of the word before) * P(word | class of the word)
+
+Every training word gets its class by exchange.  The ``UNITS`` most frequent words come first, together with
+``ENDINGS`` groups of all other words by a checksum of their last two letters and with the end of a document, which is
+a class of its own and the context of first words: unit after unit moves to the class that raises the likelihood of the
+class bigrams most, until none moves.  The bigrams of units are counted over all training text; of the corpus only
+they reach the driver, a table of (UNITS + ENDINGS + 1) squared cells whatever the corpus, and the DIRECT most frequent
+words.
+
+Then all other words, however rare, move one by one out of their ending's class (predictive exchange, as Uszkoreit and
+Brants described it for distributed clustering, 2008).  A table keeps each word with the context classes it was met
+after, and every pass over it takes each word to the class of the largest gain, its own counts taken out first.  The
+class bigrams are summed anew after each pass.  A pass that does not raise the likelihood, because too many words moved
+together, is dropped and the words move in parts instead; the passes end when the likelihood rises by less than
+``TOLERANCE`` a token.  As the context of the next word, a word outside the most frequent acts by its ending, so that no
+text waits for the classes of its rare words; endings also class the words that training lacks.
+
+Word counts cover all words.  The ``DIRECT`` most frequent go to the workers with counts and classes; the tail of the
+text meets its own in a join, as rows (text, word, context, times) that are summed within a text first.  So frequent
+words never cross the network, and no table grows in a worker with the vocabulary.
 
 Smoothing: class transitions are interpolated with class frequencies (``TRANSITION_WEIGHT`` pseudo-counts), word
 emissions get ``EMISSION_WEIGHT`` more than counted, also one unknown word a class.
 
 Defined results: null and empty texts are one end token; words of a held-out text that training lacks count as the
-unknown word of their ending's class; rows that repeat a doc_id are scored one by one; without training text all
-classes and words are equally likely; an empty table gives an empty table.
+unknown word of their ending's class; texts are read whole, however long; rows that repeat a doc_id are scored one by
+one; an input column named like a result (or like an intermediate column, see ``PARTS``) gives way to it; without
+training text all classes and words are equally likely; an empty table gives an empty table.
 """
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -36,6 +47,11 @@ from .common import remainder, written
 
 UNITS, ENDINGS, CLASSES, ROUNDS = 2048, 256, 64, 10
 DIRECT = 100_000
+TOLERANCE = 1e-3  # rise of the log likelihood a token below which the passes over rare words end
+PARTS_AT_ONCE = 8  # words move in up to this many parts before a pass counts as the last
+MOVED_WORDS = 1024  # words whose gains are held together
+TIE = 1e-9  # far below any gain
+SMALL = 8  # counts up to this one share a table of gains
 TRANSITION_WEIGHT, EMISSION_WEIGHT = 20.0, 0.5
 FOLDS, HELD_FOLD = 7, 2
 END = UNITS + ENDINGS  # the unit of a document's end
@@ -44,8 +60,9 @@ FLUSH_WORDS, FLUSH_TOKENS, GROUP_TEXTS = 200_000, 1 << 19, 512
 # sums over frequent words; with a word set, a row of the tail instead
 PARTS = (
     T.StructType().add("_key", "long").add("_tokens", "long").add("_known", "long").add("_base", "double")
-    .add("_score", "double").add("_word", "binary").add("_times", "long")
+    .add("_score", "double").add("_word", "binary").add("_before", "integer").add("_times", "long")
 )
+RESULTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -134,12 +151,12 @@ def unit_bigrams(texts: DataFrame, head) -> np.ndarray:
         out = np.zeros(bounds[block + 1] - bounds[block], np.int64)
         for cells, counts in zip(frame["cells"], frame["counts"]):
             out[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.int64)
-        return pd.DataFrame({"block": [block], "counts": [out.tobytes()]})
+        return pd.DataFrame({"block": [block], "counts": [zlib.compress(out.tobytes(), 1)]})
 
     partial = texts.select("text").mapInArrow(count, "block int, cells binary, counts binary")
     out = np.zeros(size * size, np.int64)
     for block, counts in partial.groupBy("block").applyInPandas(total, "block int, counts binary").toLocalIterator():
-        out[bounds[block] : bounds[block + 1]] = np.frombuffer(counts, np.int64)
+        out[bounds[block] : bounds[block + 1]] = np.frombuffer(zlib.decompress(counts), np.int64)
     return out.reshape(size, size)
 
 
@@ -216,14 +233,146 @@ def first_classes(bigrams: np.ndarray) -> np.ndarray:
     return classes
 
 
+# --- classes of all other words ---------------------------------------------------------------------------------------
+
+
+def contexts(texts: DataFrame, shared) -> DataFrame:
+    """(word, n, cells) of all words outside the UNITS most frequent: how often each follows each context class."""
+
+    def rows(words, before, times):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(times, pa.int64())], ["word", "before", "n"]
+        )
+
+    def count(batches):
+        head, classes = shared.value
+        known, held = Vocabulary(head), {}
+        frequent, pending, tokens = np.zeros(len(head) * CLASSES, np.int32), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                if not words:
+                    continue
+                rank = np.array([known.rank.get(word, -1) for word in words])
+                before = classes[known.units(words)[:-2]]
+                direct = rank >= UNITS
+                pending.append(rank[direct] * CLASSES + before[direct])
+                tokens += len(words)
+                for at in np.flatnonzero(rank < 0).tolist():
+                    pair = words[at], int(before[at])
+                    held[pair] = held.get(pair, 0) + 1
+                if len(held) >= FLUSH_WORDS:
+                    yield rows(*zip(*held), held.values())
+                    held = {}
+                if tokens >= FLUSH_TOKENS:
+                    met, times = np.unique(np.concatenate(pending), return_counts=True)
+                    frequent[met] += times.astype(np.int32)
+                    pending, tokens = [], 0
+        if pending:
+            met, times = np.unique(np.concatenate(pending), return_counts=True)
+            frequent[met] += times.astype(np.int32)
+        if held:
+            yield rows(*zip(*held), held.values())
+        at, words = np.flatnonzero(frequent), list(known.rank)
+        yield rows([words[i] for i in (at // CLASSES).tolist()], at % CLASSES, frequent[at])
+
+    # by word alone, so that both sums find their rows in place; the tasks have summed theirs already
+    met = texts.select("text").mapInArrow(count, "word binary, before int, n long").repartition("word")
+    cells = met.groupBy("word", "before").agg(F.sum("n").alias("n"))
+    return cells.groupBy("word").agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("before", "n"))).alias("cells")  # CLASSES at most
+    )
+
+
+class Gains:
+    """Gains of the likelihood by moving words; ``own`` takes none."""
+
+    def __init__(self, matrix: np.ndarray, own: int):
+        self.matrix, self.own, self.totals, self.now = matrix, own, matrix.sum(0), _xlogx(matrix)
+        self.small = np.stack([_xlogx(matrix + k) - self.now for k in range(SMALL + 1)])
+
+    def best(self, n, starts, before, times, old) -> np.ndarray:
+        """The class of largest gain for each word, its old one where none is better.  The cells (before, times) of a
+        word begin at its start.  Of classes alike, such as empty ones, a word's main context decides, so that words of
+        one context move together and others elsewhere."""
+        matrix, totals, every = self.matrix, self.totals, np.arange(len(n))
+        gain = self.small[np.minimum(times, SMALL), before]
+        large = np.flatnonzero(times > SMALL)
+        gain[large] = _xlogx(matrix[before[large]] + times[large, None]) - self.now[before[large]]
+        gain = np.add.reduceat(gain, starts, 0)
+        gain -= _xlogx(totals + n[:, None]) - _xlogx(totals)
+        left = matrix[before, np.repeat(old, np.diff(np.append(starts, len(times))))]
+        stay = np.add.reduceat(_xlogx(left) - _xlogx(left - times), starts)  # of coming back to what the word leaves
+        stay -= _xlogx(totals[old]) - _xlogx(totals[old] - n)
+        main = np.maximum.reduceat(times * CLASSES + before, starts) % CLASSES
+        gain += TIE * ((np.arange(CLASSES) - main[:, None]) % CLASSES)
+        gain[:, self.own] = -np.inf
+        gain[every, old] = stay
+        new = gain.argmax(1)
+        return np.where(gain[every, new] > stay + 1e-6, new, old)
+
+
+def moved(words: DataFrame, matrix: np.ndarray, own: int, part: int, parts: int) -> DataFrame:
+    """``words`` (word, n, cells, class) after one pass, in which one part of the words may move."""
+    shared = words.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        gains = Gains(shared.value, own)
+        for batch in (whole.slice(at, MOVED_WORDS) for whole in batches for at in range(0, whole.num_rows, MOVED_WORDS)):
+            cells, old = batch.column("cells"), batch.column("class").to_numpy(zero_copy_only=False)
+            flat, offsets = cells.flatten(), cells.offsets.to_numpy()
+            before, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            new = gains.best(n, offsets[:-1] - offsets[0], before, times, old)
+            turn = np.array([zlib.crc32(word) % parts == part for word in batch.column("word").to_pylist()])
+            fresh = pa.array(np.where(turn, new, old).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fresh], ["word", "n", "cells", "class"])
+
+    return words.select("word", "n", "cells", "class").mapInArrow(run, words.schema)
+
+
+def following(words: DataFrame) -> np.ndarray:
+    """How often words of each class follow each context class."""
+    out = np.zeros((CLASSES, CLASSES))
+    cells = words.select("class", F.explode("cells").alias("cell"))
+    for before, into, n in cells.groupBy("cell.before", "class").agg(F.sum("cell.n")).collect():  # CLASSES squared rows
+        out[before, into] = n
+    return out
+
+
+def predictive_likelihood(matrix: np.ndarray) -> float:
+    """Log likelihood of all words after their contexts, up to what no class of a word changes."""
+    return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum())
+
+
+def exchange_rest(words: DataFrame, matrix: np.ndarray, own: int) -> tuple[DataFrame, np.ndarray]:
+    """(words, matrix) after passes over all words until the likelihood rises no more.  ``matrix`` counts classes after
+    context classes, the most frequent words and ends included."""
+    fixed, parts, tokens = matrix - following(words), 1, max(matrix.sum(), 1)
+    now, idle = predictive_likelihood(matrix), 0
+    for turn in itertools.count():
+        after = written(moved(words, matrix, own, turn % parts, parts), "word-classes")
+        fresh = fixed + following(after)
+        rise = predictive_likelihood(fresh) - now
+        if rise > 0:
+            words, matrix, now = after, fresh, now + rise
+        if rise <= 0 and parts < PARTS_AT_ONCE and not np.array_equal(fresh, matrix):
+            parts, idle = parts * 2, 0
+        elif rise > TOLERANCE * tokens:
+            idle = 0
+        elif (idle := idle + 1) >= parts:  # every part had its turn
+            return words, matrix
+
+
 # --- model ----------------------------------------------------------------------------------------------------------
 
 
 class Model:
     """Everything that scoring needs besides the counts of the tail."""
 
-    def __init__(self, head, classes, matrix, n_words, types, tokens, distinct, n_texts):
+    def __init__(self, head, classes, into, matrix, n_words, types, tokens, distinct, n_texts):
         self.vocabulary, self.classes, self.n_texts = (vocabulary := Vocabulary(head)), classes, n_texts
+        self.into = into  # classes of the frequent words; ``classes``: context classes of all units
         self.tokens, self.distinct = tokens, distinct  # of the training text, ends included
         self.base_divisor = tokens + 1 * (distinct + 1)
         shares = (matrix.sum(0) + 1) / (matrix.sum() + CLASSES)
@@ -231,52 +380,60 @@ class Model:
         self.transition = np.log10(smoothed / smoothed.sum(1, keepdims=True))
         # of each class but the end's: counted words and types, and one unknown word
         self.divisor = n_words + EMISSION_WEIGHT * (types + 1)
-        direct = np.array(list(vocabulary.rank), object)
-        units = [i if i < UNITS else ending(word) for i, word in enumerate(direct)]
-        self.units = np.array(units, np.int64)
-        self.emission = np.log10((vocabulary.counts + EMISSION_WEIGHT) / self.divisor[classes[self.units]])
+        self.emission = np.log10((vocabulary.counts + EMISSION_WEIGHT) / self.divisor[into])
         self.base = np.log10((vocabulary.counts + 1) / self.base_divisor)
 
     def score(self, text):
-        """(tokens, known, base, score, tail): sums over the frequent words, the end and all transitions; the other
-        words with their numbers."""
+        """(tokens, known, base, score, tail): sums over the frequent words and the end; the other words with their
+        context classes and numbers."""
         words = words_of(text)
-        rank = self.vocabulary.rank
-        found = [rank.get(word, -1) for word in words]
-        tail = [word for word, at in zip(words, found) if at < 0]
-        direct = np.array(found, np.int64)
-        units = np.full(len(words) + 2, END, np.int64)
-        if words:
-            units[1:-1][direct >= 0] = self.units[direct[direct >= 0]]
-            units[1:-1][direct < 0] = [ending(word) for word in tail]
-        direct = direct[direct >= 0]
-        path = self.classes[units]
+        rank = np.array([self.vocabulary.rank.get(word, -1) for word in words], np.int64)
+        before = self.classes[self.vocabulary.units(words)[:-1]]  # of every word and of the end
+        tail = Counter((words[at], int(before[at])) for at in np.flatnonzero(rank < 0).tolist())
+        direct, found = rank[rank >= 0], before[:-1][rank >= 0]
         base = float(self.base[direct].sum()) + float(np.log10((self.n_texts + 1) / self.base_divisor))
-        score = float(self.emission[direct].sum()) + float(self.transition[path[:-1], path[1:]].sum())
-        return len(words) + 1, len(direct) + (self.n_texts > 0), base, score, Counter(tail)
+        score = float(self.emission[direct].sum()) + float(self.transition[found, self.into[direct]].sum())
+        score += float(self.transition[before[-1], self.classes[END]])
+        return len(words) + 1, len(direct) + (self.n_texts > 0), base, score, tail
 
 
 def train(texts: DataFrame):
-    """(parts, counts): what Model is made of, and the (word, n) table of all training words."""
+    """(parts, words): what Model is made of, and the (word, n, class) table of all training words but the UNITS most
+    frequent."""
     spark = texts.sparkSession
     counts = written(word_counts(texts), "word-counts")
     n_texts = texts.count()
-    head = [(bytes(word), n) for word, n in counts.orderBy(F.desc("n"), "word").limit(DIRECT).collect()]
-    vocabulary = Vocabulary(head)
+    frequent = written(counts.orderBy(F.desc("n"), "word").limit(DIRECT), "frequent-words")
+    head = sorted(((bytes(word), n) for word, n in frequent.collect()), key=lambda pair: (-pair[1], pair[0]))
     bigrams = unit_bigrams(texts, spark.sparkContext.broadcast(head))
     classes = exchange(bigrams, first_classes(bigrams))
+    met = contexts(texts, spark.sparkContext.broadcast((head, classes)))
+    words = written(met.withColumn("class", _of_ending(classes)), "word-classes")
+    words, matrix = exchange_rest(words, class_matrix(bigrams, classes), classes[END])
+    rank, into = {word: i for i, (word, _) in enumerate(head)}, np.zeros(len(head), np.int64)
+    into[:UNITS] = classes[: min(UNITS, len(head))]
+    later = words.join(F.broadcast(frequent.select("word")), "word", "left_semi")  # DIRECT rows
+    for word, found in later.select("word", "class").collect():
+        into[rank[bytes(word)]] = found
     n_words, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for i, (word, n) in enumerate(zip(vocabulary.rank, vocabulary.counts[:UNITS])):
-        n_words[classes[i]] += n
-        types[classes[i]] += 1
-    frequent = spark.createDataFrame([(word,) for word in list(vocabulary.rank)[:UNITS]], "word binary")
-    rest = counts.join(F.broadcast(frequent), "word", "left_anti")  # UNITS rows
-    for unit, n, m in rest.groupBy(_ending().alias("unit")).agg(F.sum("n"), F.count("*")).collect():
-        n_words[classes[unit]] += n
-        types[classes[unit]] += m
+    for (_, n), found in zip(head[:UNITS], into):
+        n_words[found] += n
+        types[found] += 1
+    for found, n, m in words.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        n_words[found] += n
+        types[found] += m
     n_all, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    parts = (head, classes, class_matrix(bigrams, classes), n_words, types, n_all + n_texts, distinct + (n_texts > 0), n_texts)
-    return parts, counts
+    parts = (head, classes, into, matrix, n_words, types, n_all + n_texts, distinct + (n_texts > 0), n_texts)
+    return parts, words.select("word", "n", "class")
+
+
+def _numbers(values) -> Column:
+    return F.expr(f"array({', '.join(map(repr, values))})")
+
+
+def _of_ending(classes: np.ndarray) -> Column:
+    """The class of a word's ending."""
+    return F.element_at(_numbers(classes[UNITS:END].tolist()), _ending() - UNITS + 1).cast("int")
 
 
 def _ending() -> Column:
@@ -288,7 +445,8 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     """``docs`` without text, with n_tokens, n_known, train_tokens, base_score and score."""
     parts, counts = train(training)
     model, shared = Model(*parts), docs.sparkSession.sparkContext.broadcast(parts)
-    kept = [name for name in docs.columns if name != "text"]
+    taken = {"text", *PARTS.names, *RESULTS}
+    kept = [name for name in docs.columns if name.lower() not in taken]
     fields = {name: docs.schema[name] for name in kept}
     schema = T.StructType([*fields.values(), *PARTS.fields])
 
@@ -301,33 +459,32 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 key = (part << 40) + row
                 rows.append((key, *sums))
                 row += 1
-                for word, times in tail.items():
-                    tails.append((key, word, times))
+                tails.extend((key, word, before, times) for (word, before), times in tail.items())
             own = batch.select(kept)
             none = pa.nulls(len(rows))
             columns = [pa.array(side) for side in zip(*rows)] if rows else [pa.array([])] * 5
             table = pa.Table.from_arrays(
-                [*own.columns, *columns, none.cast(pa.binary()), none.cast(pa.int64())], names=[*kept, *PARTS.names]
+                [*own.columns, *columns, *(none.cast(arrow_schema.field(name).type) for name in PARTS.names[5:])], names=[*kept, *PARTS.names]
             )
             yield from table.cast(arrow_schema).to_batches()
             if tails:
-                keys, words, times = (pa.array(side) for side in zip(*tails))
+                keys, *found = (pa.array(side) for side in zip(*tails))
                 blank = [pa.nulls(len(tails), arrow_schema.field(name).type) for name in [*kept, *PARTS.names[1:5]]]
-                columns = [*blank[: len(kept)], keys, *blank[len(kept) :], words, times]
+                columns = [*blank[: len(kept)], keys, *blank[len(kept) :], *found]
                 table = pa.Table.from_arrays(columns, names=[*kept, *PARTS.names])
                 yield from table.cast(arrow_schema).to_batches()
 
     arrow_schema = to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
     rows = written(docs.mapInArrow(run, schema), "scored")
-    tail = rows.where("_word IS NOT NULL").select("_key", F.col("_word").alias("word"), "_times")
-    by_class = [float(x) for x in model.divisor]
-    classes = F.array(*[F.lit(int(c)) for c in model.classes[UNITS:END]])
-    divisor = F.element_at(F.array(*[F.lit(x) for x in by_class]), F.element_at(classes, _ending() - UNITS + 1) + 1)
+    tail = rows.where("_word IS NOT NULL").select("_key", F.col("_word").alias("word"), "_before", "_times")
+    into = F.coalesce("class", _of_ending(model.classes))
+    divisor = F.element_at(_numbers(model.divisor.tolist()), into + 1)
+    transition = F.element_at(_numbers(model.transition.ravel().tolist()), F.col("_before") * CLASSES + into + 1)
     n = F.coalesce("n", F.lit(0))
     late = tail.join(counts, "word", "left").groupBy("_key").agg(
         F.sum(F.when(n > 0, F.col("_times")).otherwise(0)).alias("_known_tail"),
         F.sum(F.col("_times") * F.log10((n + 1) / F.lit(float(model.base_divisor)))).alias("_base_tail"),
-        F.sum(F.col("_times") * F.log10((n + EMISSION_WEIGHT) / divisor)).alias("_score_tail"),
+        F.sum(F.col("_times") * (transition + F.log10((n + EMISSION_WEIGHT) / divisor))).alias("_score_tail"),
     )
     zero = F.lit(0.0)
     return rows.where("_word IS NULL").join(late, "_key", "left").select(

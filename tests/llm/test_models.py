@@ -71,21 +71,32 @@ def test_scores_against_brute_force(spark, monkeypatch):
         if i % 3 != 2:
             counts.update([*(text or "").lower().split(), None])
     total, distinct = sum(counts.values()), len(counts)
-    (head, classes, matrix, n_words, types, tokens, known, n_texts), _ = brown_lm.train(training)
+    (head, classes, into, matrix, n_words, types, tokens, known, n_texts), table = brown_lm.train(training)
+    later = {bytes(row["word"]).decode(): row for row in table.collect()}
+    frequent = [word.decode() for word, _ in head]
+    assert {word: row.n for word, row in later.items()} == {w: n for w, n in counts.items() if w and w not in frequent[:12]}
     assert (tokens, known, n_texts) == (total, distinct, counts[None])
     rank = {word.decode(): i for i, (word, _) in enumerate(head)}
     smoothed = matrix + brown_lm.TRANSITION_WEIGHT * (matrix.sum(0) + 1) / (matrix.sum() + 6)
     transition = smoothed / smoothed.sum(1, keepdims=True)
 
-    def class_of(word):
+    def context_of(word):
         at = rank.get(word, 99)
         return classes[at if at < 12 else 12 + zlib.crc32(word.encode()[-2:]) % 5]
 
+    def class_of(word):
+        return later[word]["class"] if word in later else context_of(word)
+
+    assert [class_of(word) for word in frequent] == into.tolist()
+    path = [(a, b) for i, t in enumerate(texts) if i % 3 != 2 for a, b in zip([None, *(t or "").lower().split()], [*(t or "").lower().split(), None])]
+    met = Counter((context_of(a) if a else classes[17], class_of(b) if b else classes[17]) for a, b in path)
+    assert {(i, j): n for (i, j), n in np.ndenumerate(matrix) if n} == met
+
     for i, text in enumerate(texts):
         tokens_of = (text or "").lower().split()
         base = sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in [*tokens_of, None])
-        path = [classes[17], *map(class_of, tokens_of), classes[17]]
-        score = sum(math.log10(transition[a, b]) for a, b in zip(path, path[1:]))
+        before, after = [classes[17], *map(context_of, tokens_of)], [*map(class_of, tokens_of), classes[17]]
+        score = sum(math.log10(transition[a, b]) for a, b in zip(before, after))
         score += sum(math.log10((counts[w] + 0.5) / (n_words[class_of(w)] + 0.5 * (types[class_of(w)] + 1))) for w in tokens_of)
         row = rows[i]
         assert (row.n_tokens, row.n_known, row.train_tokens) == (len(tokens_of) + 1, sum(counts[x] > 0 for x in [*tokens_of, None]), total)
@@ -112,6 +123,58 @@ def test_exchange_only_raises_the_likelihood(monkeypatch):
     assert alone == 1 and len({tuple(sorted({i % 2 for i in range(20) if classes[i] == c})) for c in set(classes[:20])}) == 2
 
 
+def test_rare_words_move_to_the_class_of_their_contexts(spark, monkeypatch):
+    for name, value in {"UNITS": 4, "ENDINGS": 3, "END": 7, "CLASSES": 8, "DIRECT": 6, "TOLERANCE": 1e-6}.items():
+        monkeypatch.setattr(brown_lm, name, value)
+    rng = random.Random(5)
+    # 200 rare words of either kind, alike in their endings, after four frequent words
+    texts = [" ".join(f"{('sun the', 'moon a')[k]} {k}w{rng.randrange(200)}zz" for _ in range(8)) for k in (0, 1) for _ in range(80)]
+    training = documents(spark, texts)
+    (head, classes, into, matrix, *_), table = brown_lm.train(training)
+    rows = table.collect()
+    words_by_context = {"0": Counter(), "1": Counter()}
+    for row in rows:
+        words_by_context[bytes(row["word"]).decode()[0]][row["class"]] += 1
+    (first, n), (second, m) = (words_by_context[k].most_common(1)[0] for k in "01")
+    assert first != second and n + m >= 0.95 * len(rows)
+    start = brown_lm.class_matrix(*_start(brown_lm, training, head, classes))
+    assert brown_lm.predictive_likelihood(matrix) > brown_lm.predictive_likelihood(start)
+
+
+def _start(module, training, head, classes):
+    return module.unit_bigrams(training, training.sparkSession.sparkContext.broadcast(head)), classes
+
+
+def test_gain_of_a_move_is_the_change_of_the_likelihood(monkeypatch):
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    rng = np.random.default_rng(8)
+    fixed = rng.poisson(5, (4, 4)).astype(float)
+    cells = [np.array([[d, n] for d, n in enumerate(row) if n]) for row in rng.poisson(2, (40, 4)) if row.any()]
+    cells[0] = np.array([[0, 30], [2, 1]])
+    old = rng.integers(0, 3, len(cells))
+    matrix = fixed.copy()
+    for row, at in zip(cells, old):
+        matrix[row[:, 0], at] += row[:, 1]
+    flat, n = np.concatenate(cells), np.array([row[:, 1].sum() for row in cells])
+    starts = np.concatenate([[0], np.cumsum([len(row) for row in cells])[:-1]])
+    new = brown_lm.Gains(matrix, 3).best(n, starts, flat[:, 0], flat[:, 1], old)
+    for row, was, at in zip(cells, old, new):
+        values = []
+        for into in range(3):
+            other = matrix.copy()
+            other[row[:, 0], was] -= row[:, 1]
+            other[row[:, 0], into] += row[:, 1]
+            values.append(brown_lm.predictive_likelihood(other))
+        assert values[at] == pytest.approx(max(values))
+
+
+def test_language_model_columns_that_clash(spark):
+    docs = documents(spark, ["a b a", "b " * 200_000, None]).select("doc_id", "text", F.lit("x").alias("Score"), F.lit(1).alias("_word"), F.lit(2).alias("n"), F.lit(3).alias("class"), F.lit(4).alias("word"))
+    rows = brown_lm.score_texts(docs, docs).orderBy("doc_id").collect()
+    assert [row.n_tokens for row in rows] == [4, 200_001, 1] and {(row.n, row["class"], row.word) for row in rows} == {(2, 3, 4)}
+    assert all(isinstance(row.score, float) for row in rows) and "_word" not in rows[0].asDict()
+
+
 def test_language_model_without_training_text(spark):
     docs = documents(spark, ["a b", None, "x " * 5000])
     rows = brown_lm.score_texts(docs, docs.limit(0)).collect()
