@@ -20,7 +20,6 @@ doc_id keep their number, ordered by text; an empty table gives no file rows.
 """
 
 import itertools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import of_worker, tokenizer_file, written
-from .word_table import WordTable, grouped
+from .word_table import grouped
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -44,43 +43,83 @@ SEEDS = 3  # tried in a row before the remaining pairs count as rare
 LEVEL_RATIO = 32
 HASH_BITS = 18
 GROUP_CHARS = 1 << 20
+HELD_WORDS, JOINED_WORDS = 500_000, 1000
 BLOCK_SCHEMA = (
     "shard int, block int, first long, n_tokens long, doc_ids binary, lengths binary, rules binary, spans binary,"
     " symbols binary"
 )
-# what a blank or newline may not follow, and characters that are white space to Python or the vocabulary's pattern alone
-UNSURE = re.compile("\\s[ \n]|[ \n]\\Z|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|\\A[ \n]|\x00")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+# what is white space to Python or the vocabulary's pattern alone, and the mark of first words
+ASCII_SPACE = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+OTHER_SPACE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 FIRST = "\x00"  # marks the first word of a text
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes."""
+    """Ids of texts as little-endian uint32 bytes.  The words met last are held, between ``HELD_WORDS`` and twice as many."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(map(re.escape, literals)) or r"(?!)")  # such a text is encoded as one
-        self.table = WordTable(self._words, every=True)
+        self.literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
+        self.leads[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        return self.ids([word[1:] if word[0] == FIRST else word if word[0] == "\n" else " " + word for word in words])
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_blank(self, words: list[str]) -> list[bytes]:
+        """Words that a blank leads, many in one text, cut where a token begins with a blank."""
+        out = []
+        for at in range(0, len(words), JOINED_WORDS):
+            some = words[at : at + JOINED_WORDS]
+            raw = self.ids([" " + " ".join(some)])[0]
+            cuts = (4 * np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")])).tolist()
+            if len(cuts) == len(some) and cuts[0] == 0:
+                out += [raw[start:stop] for start, stop in zip(cuts, [*cuts[1:], len(raw)])]
+            else:  # of another kind of vocabulary
+                out += self.ids([" " + word for word in some])
+        return out
+
+    def _learn(self, words: set[str]):
+        """Takes up words that are not held in ``recent``."""
+        known = words & self.older.keys()
+        self.recent.update((word, self.older[word]) for word in known)
+        missing = sorted(words - known)
+        inner = [word for word in missing if word[0] not in "\n\x00"]
+        edge = [word for word in missing if word[0] in "\n\x00"]
+        self.recent.update(zip(inner, self._after_blank(inner)))
+        self.recent.update(zip(edge, self.ids([word[1:] if word[0] == FIRST else word for word in edge])))
+
+    def _of_words(self, split: list[list[str]]) -> Iterator[bytes]:
+        if len(self.recent) > HELD_WORDS:
+            self.older, self.recent = self.recent, {}
+        found = [list(map(self.recent.get, words)) for words in split]
+        holes = [[at for at, ids in enumerate(row) if ids is None] for row in found]
+        self._learn({words[at] for words, gone in zip(split, holes) for at in gone})
+        for words, row, gone in zip(split, found, holes):
+            for at in gone:
+                row[at] = self.recent[words[at]]
+            yield b"".join(row)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for group in grouped(texts, GROUP_CHARS):
-            split = [[] if self.whole.search(text) else words_of(text) for text in group]
-            for text, words, ids in zip(group, split, self.table.join(split)):
+            # a text with the literal of an added token is encoded as one
+            split = [[] if any(map(text.__contains__, self.literals)) else words_of(text) for text in group]
+            for text, words, ids in zip(group, split, self._of_words(split)):
                 yield ids if words or not text else self.ids([text])[0]
 
 
 def words_of(text: str) -> list[str]:
     """Pieces whose tokens do not depend on their neighbours: words, each led by the blank (left out here) or newline
     before it.  Nothing for a text with other white space or runs of it: such a text is encoded as one."""
-    if not text or UNSURE.search(text):
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, RUNS)):
+        return []
+    if any(map(text.__contains__, ASCII_SPACE)) or not text.isascii() and any(map(text.__contains__, OTHER_SPACE)):
         return []
     words = text.replace("\n", " \n").split(" ")
     words[0] = FIRST + words[0]

@@ -66,6 +66,26 @@ def test_absent_and_repeated_ids_in_files(spark):
     assert [(row.doc_id, row.start, row.n_tokens) for row in rows] == [(None, 0, 2), (5, 2, 2), (5, 4, 2)]
 
 
+def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "HELD_WORDS", 30)
+    monkeypatch.setattr(token_output, "JOINED_WORDS", 7)
+    monkeypatch.setattr(token_output, "GROUP_CHARS", 200)
+    path = tokenizer_file(token_output.VOCABULARY)
+    encoder, tokenizer, rng = token_output.Encoder(path), Tokenizer.from_file(path), random.Random(6)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff", "\x00"]
+    parts = ["don't", "'s", "a", "Ünïcode", "e\u0301", "漢字", "12", "½", "!?", "😀", "Ġ", "<|endoftext|>", "\n", *spaces]
+    common = ["don't", "we'll", "'s", "x'", "Ünïcode", "漢字", "12.5", "-", "😀!", "Ġ", "\u0301e", "#1"]
+    for _ in range(150):
+        texts = ["".join(rng.choices([" ", *parts], k=rng.randrange(12))) for _ in range(4)]
+        texts += [rng.choice([" ", " ", "\n"]).join(rng.choices(common, k=rng.randrange(30))) for _ in range(4)]
+        texts += [" ".join(f"{rng.choice(common)}{rng.randrange(99)}" for _ in range(20)), None, ""]
+        ids = [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == ids
+    assert len(encoder.recent) <= 100 and len(encoder.older) <= 100
+
+
 def test_word_table_forgets_but_stays_right():
     calls = []
 
