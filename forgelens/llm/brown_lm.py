@@ -33,6 +33,7 @@ training text all classes and words are equally likely; an empty table gives an
 import itertools
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ TRANSITION_WEIGHT, EMISSION_WEIGHT = 20.0, 0.5
 FOLDS, HELD_FOLD = 7, 2
 END = UNITS + ENDINGS  # the unit of a document's end
 COUNT_BLOCKS = 16
-FLUSH_WORDS, FLUSH_TOKENS, GROUP_TEXTS = 200_000, 1 << 19, 512
+FLUSH_WORDS, FLUSH_TOKENS, GROUP_CHARS = 200_000, 1 << 19, 1 << 20
 # sums over frequent words; with a word set, a row of the tail instead
 PARTS = (
     T.StructType().add("_key", "long").add("_tokens", "long").add("_known", "long").add("_base", "double")
@@ -108,13 +109,48 @@ class Vocabulary:
         self.rank = {word: i for i, (word, _) in enumerate(words)}
         self.counts = np.array([n for _, n in words], np.int64)
 
-    def units(self, words: list[bytes]) -> np.ndarray:
-        """Units of the words of a text, with the end before and after them."""
-        out = [END]
-        for word in words:
-            rank = self.rank.get(word, UNITS)
-            out.append(rank if rank < UNITS else ending(word))
-        return np.array([*out, END], np.uint16)
+        self.unit_of = np.array([i if i < UNITS else ending(word) for word, i in self.rank.items()], np.int64)
+
+    def read(self, texts: list[str | None]) -> "Read":
+        """The words of some texts, looked up together."""
+        words, lengths = [], []
+        for text in texts:
+            found = words_of(text)
+            words += found
+            lengths.append(len(found))
+        rank = np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
+        tail, units = np.flatnonzero(rank < 0), np.full(len(words) + 1, END)
+        units[:-1][rank >= 0] = self.unit_of[rank[rank >= 0]]
+        tail_words = [words[at] for at in tail.tolist()]
+        units[tail] = list(map(ending, tail_words))
+        lengths = np.array(lengths, np.int64)
+        ends, full = np.cumsum(lengths), lengths > 0
+        before = np.append(END, units[:-1])[: len(words)]
+        before[(ends - lengths)[full]] = END
+        last = np.where(full, units[ends - 1], END)
+        return Read(np.repeat(np.arange(len(texts)), lengths), lengths, rank, units[:-1], before, last, tail, tail_words)
+
+
+class Read(NamedTuple):
+    text: np.ndarray  # of each word: the text, its rank or -1, its unit and the unit before it
+    lengths: np.ndarray
+    rank: np.ndarray
+    units: np.ndarray
+    before: np.ndarray
+    last: np.ndarray  # of each text: the unit before its end
+    tail: np.ndarray  # places and words without rank
+    tail_words: list[bytes]
+
+
+def _groups(batches, column):
+    """(rows, their texts) of about GROUP_CHARS characters."""
+    for whole in batches:
+        texts, start, size = whole.column(column).to_pylist(), 0, 0
+        for at, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= GROUP_CHARS or at == len(texts):
+                yield whole.slice(start, at - start), texts[start:at]
+                start, size = at, 0
 
 
 def unit_bigrams(texts: DataFrame, head) -> np.ndarray:
@@ -128,14 +164,13 @@ def unit_bigrams(texts: DataFrame, head) -> np.ndarray:
 
     def count(batches):
         known, held, tokens, cells = Vocabulary(head.value), [], 0, np.zeros(size * size, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                units = known.units(words_of(text)).astype(np.int64)
-                held.append(units[:-1] * size + units[1:])
-                tokens += len(units)
-                if tokens >= FLUSH_TOKENS:
-                    add(cells, held)
-                    held, tokens = [], 0
+        for _, texts in _groups(batches, 0):
+            read = known.read(texts)
+            held += [read.before * size + read.units, read.last * size + END]
+            tokens += len(read.units) + len(read.last)
+            if tokens >= FLUSH_TOKENS:
+                add(cells, held)
+                held, tokens = [], 0
         add(cells, held)
         at = np.flatnonzero(cells)
         cuts = np.searchsorted(at, bounds)
@@ -248,26 +283,20 @@ def contexts(texts: DataFrame, shared) -> DataFrame:
         head, classes = shared.value
         known, held = Vocabulary(head), {}
         frequent, pending, tokens = np.zeros(len(head) * CLASSES, np.int32), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                if not words:
-                    continue
-                rank = np.array([known.rank.get(word, -1) for word in words])
-                before = classes[known.units(words)[:-2]]
-                direct = rank >= UNITS
-                pending.append(rank[direct] * CLASSES + before[direct])
-                tokens += len(words)
-                for at in np.flatnonzero(rank < 0).tolist():
-                    pair = words[at], int(before[at])
-                    held[pair] = held.get(pair, 0) + 1
-                if len(held) >= FLUSH_WORDS:
-                    yield rows(*zip(*held), held.values())
-                    held = {}
-                if tokens >= FLUSH_TOKENS:
-                    met, times = np.unique(np.concatenate(pending), return_counts=True)
-                    frequent[met] += times.astype(np.int32)
-                    pending, tokens = [], 0
+        for _, texts in _groups(batches, 0):
+            read = known.read(texts)
+            before, direct = classes[read.before], read.rank >= UNITS
+            pending.append(read.rank[direct] * CLASSES + before[direct])
+            tokens += len(before)
+            for pair in zip(read.tail_words, before[read.tail].tolist()):
+                held[pair] = held.get(pair, 0) + 1
+            if len(held) >= FLUSH_WORDS:
+                yield rows(*zip(*held), held.values())
+                held = {}
+            if tokens >= FLUSH_TOKENS:
+                met, times = np.unique(np.concatenate(pending), return_counts=True)
+                frequent[met] += times.astype(np.int32)
+                pending, tokens = [], 0
         if pending:
             met, times = np.unique(np.concatenate(pending), return_counts=True)
             frequent[met] += times.astype(np.int32)
@@ -324,7 +353,7 @@ def moved(words: DataFrame, matrix: np.ndarray, own: int, part: int, parts: int)
             before, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             n = batch.column("n").to_numpy(zero_copy_only=False)
             new = gains.best(n, offsets[:-1] - offsets[0], before, times, old)
-            turn = np.array([zlib.crc32(word) % parts == part for word in batch.column("word").to_pylist()])
+            turn = parts == 1 or np.array([zlib.crc32(word) % parts == part for word in batch.column("word").to_pylist()])
             fresh = pa.array(np.where(turn, new, old).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], fresh], ["word", "n", "cells", "class"])
 
@@ -383,18 +412,18 @@ class Model:
         self.emission = np.log10((vocabulary.counts + EMISSION_WEIGHT) / self.divisor[into])
         self.base = np.log10((vocabulary.counts + 1) / self.base_divisor)
 
-    def score(self, text):
-        """(tokens, known, base, score, tail): sums over the frequent words and the end; the other words with their
-        context classes and numbers."""
-        words = words_of(text)
-        rank = np.array([self.vocabulary.rank.get(word, -1) for word in words], np.int64)
-        before = self.classes[self.vocabulary.units(words)[:-1]]  # of every word and of the end
-        tail = Counter((words[at], int(before[at])) for at in np.flatnonzero(rank < 0).tolist())
-        direct, found = rank[rank >= 0], before[:-1][rank >= 0]
-        base = float(self.base[direct].sum()) + float(np.log10((self.n_texts + 1) / self.base_divisor))
-        score = float(self.emission[direct].sum()) + float(self.transition[found, self.into[direct]].sum())
-        score += float(self.transition[before[-1], self.classes[END]])
-        return len(words) + 1, len(direct) + (self.n_texts > 0), base, score, tail
+    def score(self, texts: list[str | None]):
+        """(tokens, known, base, score), each of every text, and the rest: sums over the frequent words and the end; the
+        other words as (text, word, context class) with their numbers."""
+        read = self.vocabulary.read(texts)
+        before, direct, count = self.classes[read.before], read.rank >= 0, len(texts)
+        at, rank = read.text[direct], read.rank[direct]
+        base = np.bincount(at, self.base[rank], count) + float(np.log10((self.n_texts + 1) / self.base_divisor))
+        words = self.emission[rank] + self.transition[before[direct], self.into[rank]]
+        score = np.bincount(at, words, count) + self.transition[self.classes[read.last], self.classes[END]]
+        known = np.bincount(at, minlength=count) + (self.n_texts > 0)
+        tail = Counter(zip(read.text[read.tail].tolist(), read.tail_words, before[read.tail].tolist()))
+        return (read.lengths + 1, known, base, score), tail
 
 
 def train(texts: DataFrame):
@@ -452,17 +481,14 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     def run(batches):
         known, part, row = Model(*shared.value), TaskContext.get().partitionId(), 0
-        for batch in (whole.slice(at, GROUP_TEXTS) for whole in batches for at in range(0, whole.num_rows, GROUP_TEXTS)):
-            rows, tails = [], []
-            for text in batch.column("text").to_pylist():
-                *sums, tail = known.score(text)
-                key = (part << 40) + row
-                rows.append((key, *sums))
-                row += 1
-                tails.extend((key, word, before, times) for (word, before), times in tail.items())
+        for batch, texts in _groups(batches, "text"):
+            sums, tail = known.score(texts)
+            rows = [(part << 40) + row + np.arange(len(texts)), *sums]
+            tails = [((part << 40) + row + at, word, before, times) for (at, word, before), times in tail.items()]
+            row += len(texts)
             own = batch.select(kept)
-            none = pa.nulls(len(rows))
-            columns = [pa.array(side) for side in zip(*rows)] if rows else [pa.array([])] * 5
+            none = pa.nulls(len(texts))
+            columns = list(map(pa.array, rows))
             table = pa.Table.from_arrays(
                 [*own.columns, *columns, *(none.cast(arrow_schema.field(name).type) for name in PARTS.names[5:])], names=[*kept, *PARTS.names]
             )
