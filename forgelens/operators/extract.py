@@ -16,7 +16,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     Columns of files that parsed are never null except ``permissions``.
     """
-    return files.select(*schemas.RAW_FILE.names).mapInPandas(parse_workflow_batches, schemas.PARSED)
+    return files.select(*schemas.RAW_FILE.names).mapInArrow(parse_workflow_batches, schemas.PARSED)
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:

@@ -202,7 +202,11 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = steps.withColumn(
         "steps", F.flatten(F.transform("_steps", lambda step: F.array_repeat(step["_code"], step["_n"])))
     )
-    files = table(spark, sf_dir, "orders").join(steps, "o_orderkey", "inner")
+    # a stated number of partitions is not coalesced: a few shuffled bytes become much text, and the partitions that the
+    # planner would leave, one or two more than there are cores, take twice as long as one a core
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, sf_dir, "orders").repartition(partitions, "o_orderkey")
+    files = orders.join(steps, "o_orderkey", "inner")
     return files.withColumns(
         {
             "triggers": _words_of("_triggers", TRIGGERS),

@@ -3,9 +3,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from forgelens.functions import parsers
 from forgelens.functions.parsers import parse_workflow
 from forgelens.operators import extract
-from forgelens.sources import corpus
+from forgelens.sources import corpus, tables
 
 
 
@@ -174,3 +175,40 @@ def test_action_descriptions_take_the_first_candidate_with_text(spark):
     ]
     found = extract.action_descriptions(spark.createDataFrame(rows, "action string, candidate int, content string"))
     assert {tuple(row) for row in found.collect()} == {("a/one", "first"), ("a/two", "fallback"), ("a/three", "")}
+
+
+def test_pieces_of_yaml_read_as_the_whole_text(monkeypatch):
+    flow = (
+        "name: ci-{0}\non: [push]\njobs:\n  a:\n    runs-on: x\n    # note\n    steps:\n      - name: s\n        run: |\n          b\n\n"
+        "      - uses: c/d@v1\n  on:\n    uses: ./e.yml\n  yes: no\n"
+    )
+    odd = [
+        flow.replace("    runs-on: x", "   runs-on: x"), flow.replace("run: |", 'run: "'), flow.replace("c/d@v1", "&c d") + "z: *c\n",
+        flow.replace("jobs:\n", "jobs:\n  a: {b: 1}\n"), flow.replace("\n", "\r\n"), flow + "...\n---\nx: 1\n", flow + "? q\n: r\n",
+        "a:\n  # c\n", "a:\n b: 'x\n c: y'\n", "a:\n- b\nc:\n  - d\n", "a: b\n  c: d\n", "", "- a\n- b: 1\n", "a: on\nb: 1.5\n",
+    ]
+
+    def outcome(load, text):
+        try:
+            return repr(load(text))
+        except Exception as problem:
+            return f"{type(problem).__name__}: {problem}"
+
+    whole = parsers._load_yaml
+    pieces = parsers.YamlPieces()
+    for text in [flow.format(0), *odd, *odd]:
+        assert outcome(pieces.load, text) == outcome(whole, text), text
+    calls = []
+    monkeypatch.setattr(parsers, "_load_yaml", lambda text: calls.append(text) or whole(text))
+    for i in range(1, 50):
+        assert pieces.load(flow.format(i)) == whole(flow.format(i))
+    assert not calls
+
+
+def test_files_are_not_parsed_in_a_few_coalesced_partitions(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        content = tables.raw_files(spark, sf_dir)
+        assert content.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
