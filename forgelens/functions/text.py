@@ -41,6 +41,20 @@ def whole_word(terms) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{pattern_of(terms)})(?![\p{{L}}\p{{N}}_])"
 
 
+def words_found(column: str, words) -> Column:
+    """Bit mask of the words that a folded text column holds as whole words, by their place among the sorted ones.
+
+    A plain substring test comes first; the pattern begins with the word, so that it is searched as a literal.
+    """
+    cases = []
+    for place, word in enumerate(sorted(words)):
+        exact = word.replace(".", r"\.")
+        pattern = rf"{exact}(?<![\p{{L}}\p{{N}}_]{exact})(?![\p{{L}}\p{{N}}_])"
+        found = f"contains({column}, {quoted(word)}) AND {column} RLIKE {quoted(pattern)}"
+        cases.append(f"CASE WHEN {found} THEN {1 << place} ELSE 0 END")
+    return F.expr(" | ".join(cases))
+
+
 def spellings(term: str) -> list[str]:
     """Literal spellings of a term."""
     forms = [""]
@@ -49,6 +63,37 @@ def spellings(term: str) -> list[str]:
     return list(dict.fromkeys(forms))
 
 
+def _tests(text: str, terms, items: str | None) -> list[str]:
+    """Per term that no other implies, whether the text holds it.
+
+    A term of several words, or of several spellings, asks for each of its words first: those cannot span items.
+    """
+    forms = {term: spellings(term) for term in terms}
+    words = list(dict.fromkeys(word for found in forms.values() for word in found))
+    needed = {word for word in words if not any(other != word and other in word for other in words)}
+    tests, seen = [], set()
+    for term, found in forms.items():
+        own = [word for word in found if word in needed and word not in seen]
+        seen.update(own)
+        if not own:
+            continue
+        exact = " OR ".join(f"contains({text if ' ' in word else items or text}, {quoted(word)})" for word in own)
+        guard = _guard(term, items) if items else None
+        tests.append(f"({guard} AND ({exact}))" if guard else exact)
+    return tests
+
+
+def _guard(term: str, items: str) -> str | None:
+    parts = sorted(term.replace("~", " ").split(), key=len, reverse=True)
+    return " AND ".join(f"contains({items}, {quoted(part)})" for part in parts) if len(parts) > 1 else None
+
+
+def may_span(terms, items: str) -> Column:
+    """Whether the items hold all words of any term that may span items: without them the text needs no search."""
+    spanning = [term for term in dict.fromkeys(terms) if any(" " in word for word in spellings(term))]
+    return F.expr(" OR ".join(f"({_guard(term, items)})" for term in spanning))
+
+
 def mentions(text: str, terms, items: str | None = None) -> Column:
     """Whether a folded text column contains any of the terms.
 
@@ -57,10 +102,7 @@ def mentions(text: str, terms, items: str | None = None) -> Column:
     it is folded once per row and not once per term.  ``items`` is a shorter column with every list item of the
     text once; a word without a space cannot span items, so it is looked for there.
     """
-    words = list(dict.fromkeys(word for term in terms for word in spellings(term)))
-    needed = [word for word in words if not any(other != word and other in word for other in words)]
-    tests = [f"contains({text if ' ' in word else items or text}, {quoted(word)})" for word in needed]
-    return F.expr(" OR ".join(tests))
+    return F.expr(" OR ".join(_tests(text, terms, items)))
 
 
 def quoted(word: str) -> str:

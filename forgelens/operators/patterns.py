@@ -30,17 +30,16 @@ def hits(slug: str) -> str:
     return "n_" + slug.replace("-", "_")
 
 
-def _build_system(term: str) -> str:
-    return "builds_" + term
-
-
 def workflow_flags(detail: DataFrame) -> DataFrame:
     """Detail rows plus one boolean per workflow-level pattern and the helper flags of the repo-level ones."""
+    searched = []
 
     def says(*terms: str) -> Column:
+        searched.extend(terms)
         return text.mentions("_text", terms, items="_items")
 
-    uses_ai = F.col("has_ai_review") | says(*rules.AI_TOOLS_TEXT)
+    uses_ai, releases = F.col("_uses_ai"), F.col("is_release")
+    shared = {"_uses_ai": F.col("has_ai_review") | says(*rules.AI_TOOLS_TEXT), "is_release": says(*rules.RELEASE)}
     versions = F.filter("matrix_values", lambda value: value.rlike(rf"(?U)\A(?:{rules.VERSION_VALUE})\z"))
     by_slug = {
         "ai-code-review": uses_ai,
@@ -58,32 +57,33 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
         "performance-tracking": says(*rules.PERFORMANCE),
         "python-future-testing": text.mentions("_matrix_text", (rules.PYTHON_NEXT, rules.PYTHON_FREE_THREADED))
         | (says(rules.PYTHON_NEXT) & says("python")),
-        "multi-channel-release": says(*rules.RELEASE) & says(*rules.CHANNEL),
+        "multi-channel-release": releases & says(*rules.CHANNEL),
         "pr-package-preview": says(*rules.PREVIEW_PACKAGE),
         "reusable-workflows": F.col("uses_reusable_workflows"),
         "ecosystem-ci": says(*rules.ECOSYSTEM),
-        "cross-version-compat": F.size(F.array_distinct(versions)) >= rules.MIN_VERSIONS,
+        "cross-version-compat": F.when(
+            F.size("matrix_values") >= rules.MIN_VERSIONS, F.size(F.array_distinct(versions)) >= rules.MIN_VERSIONS
+        ).otherwise(False),
     }
     events = F.transform("triggers", F.lower)
-    # all build systems are single words, so one pass over the text finds each of them
-    words = text.whole_word(rules.BUILD_SYSTEMS)
     columns = {flag(slug): condition for slug, condition in by_slug.items()}
-    columns["is_release"] = says(*rules.RELEASE)
     columns["is_dispatch"] = F.arrays_overlap(events, text.strings(rules.DISPATCH_TRIGGERS)) | says(
         *rules.DISPATCH_TEXT
     )
     columns["is_sample"] = says(*rules.SAMPLE)
-    columns["_builds"] = F.array_distinct(F.regexp_extract_all("_items", F.lit(words), F.lit(0)))
-    texts = detail.withColumns({"_raw": repos.workflow_text(), "_raw_items": repos.workflow_items()}).withColumns(
+    columns["_builds"] = text.words_found("_items", rules.BUILD_SYSTEMS)
+    # the text that may be spanned is built only where the items hold all words of a term
+    texts = detail.withColumn("_raw_items", repos.workflow_items()).withColumns(
         {
-            "_text": text.folded(F.col("_raw")),
             "_items": text.folded(F.col("_raw_items")),
             "_platforms": F.expr("lower(array_join(concat(matrix_keys, matrix_values, runs_on), '\\n'))"),
             "_matrix_text": F.expr("lower(array_join(matrix_values, '\\n'))"),
             "_owner_prefix": F.concat(F.lower(text.owner_of(F.col("repo"))), F.lit("/")),
         }
     )
-    helpers = ("_raw", "_raw_items", "_text", "_items", "_platforms", "_matrix_text", "_owner_prefix")
+    texts = texts.withColumn("_raw", F.when(text.may_span(searched, "_items"), repos.workflow_text()).otherwise(""))
+    texts = texts.withColumn("_text", text.folded(F.col("_raw"))).withColumns(shared)
+    helpers = ("_raw", "_raw_items", "_text", "_items", "_platforms", "_matrix_text", "_owner_prefix", "_uses_ai")
     return texts.withColumns(columns).drop(*helpers)
 
 
@@ -116,14 +116,13 @@ def repo_facts(flags: DataFrame, *by: str) -> DataFrame:
     aggregates["release_workflows"] = F.count_if("is_release")
     aggregates["dispatch_workflows"] = F.count_if("is_dispatch")
     aggregates["sample_workflows"] = F.count_if("is_sample")
-    for term in rules.BUILD_SYSTEMS:
-        aggregates[_build_system(term)] = F.expr(f"bool_or(array_contains(_builds, {text.quoted(term)}))")
+    aggregates["_builds"] = F.bit_or("_builds")
     grouped = flags.groupBy(*by, "repo").agg(
         F.count("*").alias("workflow_count"), *[column.alias(name) for name, column in aggregates.items()]
     )
-    systems = _compact([(_build_system(term), text.quoted(term)) for term in sorted(rules.BUILD_SYSTEMS)])
+    systems = _compact([(f"_builds & {1 << i} > 0", text.quoted(term)) for i, term in enumerate(sorted(rules.BUILD_SYSTEMS))])
     releases, dispatches = F.col("release_workflows"), F.col("dispatch_workflows")
-    facts = grouped.withColumn("build_systems", systems)
+    facts = grouped.withColumn("build_systems", systems).drop("_builds")
     has = {flag(slug): F.col(hits(slug)) > 0 for slug in WORKFLOW_SLUGS}
     has[flag("multi-stage-release")] = (releases >= rules.MIN_RELEASE_WORKFLOWS) | (
         (releases >= rules.MIN_RELEASE_WORKFLOWS_WITH_DISPATCH) & (dispatches > 0)
@@ -244,7 +243,7 @@ def _written_flags(detail: DataFrame, slugs: tuple[str, ...]) -> DataFrame:
         "multi-stage-release": ("is_release", "is_dispatch"), "per-sample-ci": ("is_sample",), "multiple-build-systems": ("_builds",),
     }
     needed = {flag(slug) for slug in slugs} | {name for slug in slugs for name in rests_on.get(slug, ())}
-    blank = {"_builds": text.strings(())}
+    blank = {"_builds": F.lit(0)}
     own = [flag(slug) for slug in WORKFLOW_SLUGS] + ["is_release", "is_dispatch", "is_sample", "_builds"]
     flags = workflow_flags(detail).select(
         *_KEYS, *practice, "uses_reusable_workflows", *[name for name in own if name in needed]
