@@ -1,5 +1,7 @@
 """Text helpers shared by the rule jobs.  All of them are built-in expressions."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ WHITESPACE = (
 )
 SUMMARY_LIMIT = 240
 ELLIPSIS = "..."
+RARE = "zqxjkvbywgfpmh"  # letters that few places of a text hold, rarest first
 
 
 def ignore_case(pattern: str) -> str:
@@ -41,7 +44,50 @@ def whole_word(terms) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{pattern_of(terms)})(?![\p{{L}}\p{{N}}_])"
 
 
-def words_found(column: str, words) -> Column:
+def mark(word: str) -> str:
+    """The end of a word from its rarest letter on, two characters at least; empty for a word without such a letter."""
+    places = [(RARE.index(letter), place) for place, letter in enumerate(word[:-1]) if letter in RARE]
+    return word[min(places)[1] :] if places else ""
+
+
+def marks(column: str, words) -> Column:
+    """Marks of the words that a folded text holds, as a short text: of the marks at one place, the longest.
+
+    One pass for all words, which stops at rare letters only.  A text that holds a word holds its mark here, so that words
+    without theirs need no search.
+    """
+    found = sorted({mark(word) for word in words} - {""})
+    letters = "".join(sorted({end[0] for end in found}))
+    pattern = f"[{letters}](?<=(?=({_any_of(found)})).)"
+    return F.expr(f"array_join(regexp_extract_all({column}, {quoted(pattern)}, 1), '\\n')")
+
+
+def _any_of(words: list[str]) -> str:
+    """Pattern of the longest of some words that begins at a place; common beginnings are tried once."""
+    ends: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            ends.setdefault(word[0], []).append(word[1:])
+    cases = [re.escape(first) + _any_of(rest) for first, rest in ends.items()]
+    if not cases:
+        return ""
+    return f"(?:{'|'.join(cases)}){'?' if '' in words else ''}"
+
+
+def _holds(column: str, word: str, marked: str | None) -> str:
+    """SQL text: whether a column contains a word; ``marked`` is the column of its marks."""
+    end = mark(word) if marked else ""
+    exact = f"contains({column}, {quoted(word)})"
+    return f"(contains({marked}, {quoted(end)}) AND {exact})" if end else exact
+
+
+def item_words(terms) -> list[str]:
+    """All words that a search for the terms looks for in the items."""
+    parts = [part for term in terms if (each := term.replace("~", " ").split())[1:] for part in each]
+    return list(dict.fromkeys([word for term in terms for word in spellings(term) if " " not in word] + parts))
+
+
+def words_found(column: str, words, marked: str | None = None) -> Column:
     """Bit mask of the words that a folded text column holds as whole words, by their place among the sorted ones.
 
     A plain substring test comes first; the pattern begins with the word, so that it is searched as a literal.
@@ -50,7 +96,7 @@ def words_found(column: str, words) -> Column:
     for place, word in enumerate(sorted(words)):
         exact = word.replace(".", r"\.")
         pattern = rf"{exact}(?<![\p{{L}}\p{{N}}_]{exact})(?![\p{{L}}\p{{N}}_])"
-        found = f"contains({column}, {quoted(word)}) AND {column} RLIKE {quoted(pattern)}"
+        found = f"{_holds(column, word, marked)} AND {column} RLIKE {quoted(pattern)}"
         cases.append(f"CASE WHEN {found} THEN {1 << place} ELSE 0 END")
     return F.expr(" | ".join(cases))
 
@@ -63,7 +109,7 @@ def spellings(term: str) -> list[str]:
     return list(dict.fromkeys(forms))
 
 
-def _tests(text: str, terms, items: str | None) -> list[str]:
+def _tests(text: str, terms, items: str | None, marked: str | None) -> list[str]:
     """Per term that no other implies, whether the text holds it.
 
     A term of several words, or of several spellings, asks for each of its words first: those cannot span items.
@@ -77,32 +123,34 @@ def _tests(text: str, terms, items: str | None) -> list[str]:
         seen.update(own)
         if not own:
             continue
-        exact = " OR ".join(f"contains({text if ' ' in word else items or text}, {quoted(word)})" for word in own)
-        guard = _guard(term, items) if items else None
+        exact = " OR ".join(
+            _holds(text, word, None) if " " in word else _holds(items or text, word, marked) for word in own
+        )
+        guard = _guard(term, items, marked) if items else None
         tests.append(f"({guard} AND ({exact}))" if guard else exact)
     return tests
 
 
-def _guard(term: str, items: str) -> str | None:
+def _guard(term: str, items: str, marked: str | None) -> str | None:
     parts = sorted(term.replace("~", " ").split(), key=len, reverse=True)
-    return " AND ".join(f"contains({items}, {quoted(part)})" for part in parts) if len(parts) > 1 else None
+    return " AND ".join(_holds(items, part, marked) for part in parts) if len(parts) > 1 else None
 
 
-def may_span(terms, items: str) -> Column:
+def may_span(terms, items: str, marked: str | None = None) -> Column:
     """Whether the items hold all words of any term that may span items: without them the text needs no search."""
     spanning = [term for term in dict.fromkeys(terms) if any(" " in word for word in spellings(term))]
-    return F.expr(" OR ".join(f"({_guard(term, items)})" for term in spanning))
+    return F.expr(" OR ".join(f"({_guard(term, items, marked)})" for term in spanning))
 
 
-def mentions(text: str, terms, items: str | None = None) -> Column:
+def mentions(text: str, terms, items: str | None = None, marked: str | None = None) -> Column:
     """Whether a folded text column contains any of the terms.
 
     Chained substring tests, measured at half the cost of an alternation over all rules together.  Terms that
     contain another term are implied by it and left out.  The text has to be a column, not an expression, so that
     it is folded once per row and not once per term.  ``items`` is a shorter column with every list item of the
-    text once; a word without a space cannot span items, so it is looked for there.
+    text once; a word without a space cannot span items, so it is looked for there, after its mark in ``marked``.
     """
-    return F.expr(" OR ".join(_tests(text, terms, items)))
+    return F.expr(" OR ".join(_tests(text, terms, items, marked)))
 
 
 def quoted(word: str) -> str:
