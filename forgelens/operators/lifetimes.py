@@ -14,15 +14,17 @@ def lifetimes(members: DataFrame, *keys: str, snapshots: DataFrame | None = None
     """Intervals of a (snapshot, keys) table; repeats do not matter.
 
     ``snapshots`` lists the snapshots taken, by default those with any member; one in which nothing was found must be
-    listed to end runs.  The windows are over the list of snapshots and over the snapshots of one key.
+    listed to end runs.  The windows are over the list of snapshots and over the snapshots of one key, in which repeats
+    share a rank.
     """
     taken = (members if snapshots is None else snapshots).select("snapshot").distinct()
     in_time = Window.orderBy("snapshot")
     numbered = taken.select(
         "snapshot", F.row_number().over(in_time).alias("_n"), F.lead("snapshot").over(in_time).alias("_next")
     )
-    present = members.select("snapshot", *keys).distinct().join(numbered, "snapshot")
-    runs = present.withColumn("_run", F.col("_n") - F.row_number().over(Window.partitionBy(*keys).orderBy("_n")))
+    # one row a snapshot
+    present = members.select("snapshot", *keys).join(F.broadcast(numbered), "snapshot")
+    runs = present.withColumn("_run", F.col("_n") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("_n")))
     return runs.groupBy(*keys, "_run").agg(
         F.min("snapshot").alias("first_seen"), F.max("snapshot").alias("last_seen"), F.max_by("_next", "_n").alias("gone_at")
     ).drop("_run")

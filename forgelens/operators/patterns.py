@@ -17,6 +17,7 @@ from forgelens.sources.workspace import written
 WORKFLOW_SLUGS = tuple(slug for slug, *_ in rules.PATTERNS if slug not in rules.REPO_LEVEL_PATTERNS)
 ALL_SLUGS = tuple(slug for slug, *_ in rules.PATTERNS)
 EXAMPLES = 5
+MANY = 4
 _KEYS = ("repo", "workflow_name", "workflow_path", "source_file")
 
 
@@ -30,13 +31,16 @@ def hits(slug: str) -> str:
     return "n_" + slug.replace("-", "_")
 
 
-def workflow_flags(detail: DataFrame) -> DataFrame:
-    """Detail rows plus one boolean per workflow-level pattern and the helper flags of the repo-level ones."""
-    searched = []
+def workflow_flags(detail: DataFrame, slugs: tuple[str, ...] = ALL_SLUGS) -> DataFrame:
+    """Detail rows plus one boolean per workflow-level pattern and the helper flags of the repo-level ones.
+
+    ``slugs`` tells which will be used: the pass that finds the marks of all words pays for many rules, not for one.
+    """
+    searched, marked = [], "_marks" if len(slugs) >= MANY else None
 
     def says(*terms: str) -> Column:
         searched.extend(terms)
-        return text.mentions("_text", terms, items="_items")
+        return text.mentions("_text", terms, "_items", marked)
 
     uses_ai, releases = F.col("_uses_ai"), F.col("is_release")
     shared = {"_uses_ai": F.col("has_ai_review") | says(*rules.AI_TOOLS_TEXT), "is_release": says(*rules.RELEASE)}
@@ -71,7 +75,7 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
         *rules.DISPATCH_TEXT
     )
     columns["is_sample"] = says(*rules.SAMPLE)
-    columns["_builds"] = text.words_found("_items", rules.BUILD_SYSTEMS)
+    columns["_builds"] = text.words_found("_items", rules.BUILD_SYSTEMS, marked)
     # the text that may be spanned is built only where the items hold all words of a term
     texts = detail.withColumn("_raw_items", repos.workflow_items()).withColumns(
         {
@@ -81,9 +85,12 @@ def workflow_flags(detail: DataFrame) -> DataFrame:
             "_owner_prefix": F.concat(F.lower(text.owner_of(F.col("repo"))), F.lit("/")),
         }
     )
-    texts = texts.withColumn("_raw", F.when(text.may_span(searched, "_items"), repos.workflow_text()).otherwise(""))
+    if marked:
+        texts = texts.withColumn(marked, text.marks("_items", text.item_words((*searched, *rules.BUILD_SYSTEMS))))
+    spans = text.may_span(searched, "_items", marked)
+    texts = texts.withColumn("_raw", F.when(spans, repos.workflow_text()).otherwise(""))
     texts = texts.withColumn("_text", text.folded(F.col("_raw"))).withColumns(shared)
-    helpers = ("_raw", "_raw_items", "_text", "_items", "_platforms", "_matrix_text", "_owner_prefix", "_uses_ai")
+    helpers = ("_raw", "_raw_items", "_text", "_items", "_marks", "_platforms", "_matrix_text", "_owner_prefix", "_uses_ai")
     return texts.withColumns(columns).drop(*helpers)
 
 
@@ -99,38 +106,53 @@ def pattern_hits(flags: DataFrame) -> DataFrame:
 
 
 def of_snapshots(flags: DataFrame, versions: DataFrame) -> DataFrame:
-    """Flags of the file versions of several snapshots, each version flagged once.
+    """(snapshot, repo, slug) of the patterns that repos have in several snapshots; each file version is flagged once.
 
-    ``versions`` holds (snapshot, repo, workflow_name); only flags and keys are shuffled.
+    ``versions`` holds (snapshot, repo, workflow_name).  A version's flags travel and are combined as the bits of one number.
     """
-    practice = ("uses_matrix", "has_permissions", "has_security_scan", "has_ai_review", "uses_cache", "has_concurrency")
-    own = [flag(slug) for slug in WORKFLOW_SLUGS] + ["is_release", "is_dispatch", "is_sample", "_builds"]
-    narrow = flags.select("repo", "workflow_name", *practice, "uses_reusable_workflows", *own)
-    return narrow.join(versions, ["repo", "workflow_name"])
+    packed = " | ".join(f"if({flag(slug)}, {1 << place}L, 0L)" for place, slug in enumerate(WORKFLOW_SLUGS))
+    narrow = flags.select(
+        "repo", "workflow_name", F.expr(packed).alias("_has"), "is_release", "is_dispatch", "is_sample", "_builds"
+    )
+    grouped = narrow.join(versions, ["repo", "workflow_name"]).groupBy("snapshot", "repo").agg(
+        F.count("*").alias("workflow_count"), F.bit_or("_has").alias("_has"), *_repo_counts()
+    )
+    has = {flag(slug): F.expr(f"_has & {1 << place}L > 0") for place, slug in enumerate(WORKFLOW_SLUGS)}
+    facts = grouped.withColumns(has).withColumn("build_systems", _systems()).withColumns(_repo_flags())
+    return facts.select("snapshot", "repo", F.explode(slugs_of()).alias("slug"))
+
+
+def _repo_counts() -> list[Column]:
+    """What the repo-level patterns rest on, as aggregates."""
+    counts = {"release_workflows": "is_release", "dispatch_workflows": "is_dispatch", "sample_workflows": "is_sample"}
+    return [F.count_if(name).alias(alias) for alias, name in counts.items()] + [F.bit_or("_builds").alias("_builds")]
+
+
+def _systems() -> Column:
+    systems = [(f"_builds & {1 << i} > 0", text.quoted(term)) for i, term in enumerate(sorted(rules.BUILD_SYSTEMS))]
+    return _compact(systems)
+
+
+def _repo_flags() -> dict[str, Column]:
+    """Repo-level patterns by the counts of a repo."""
+    releases, dispatches = F.col("release_workflows"), F.col("dispatch_workflows")
+    return {
+        flag("multi-stage-release"): (releases >= rules.MIN_RELEASE_WORKFLOWS)
+        | ((releases >= rules.MIN_RELEASE_WORKFLOWS_WITH_DISPATCH) & (dispatches > 0)),
+        flag("multiple-build-systems"): F.size("build_systems") >= rules.MIN_BUILD_SYSTEMS,
+        flag("per-sample-ci"): (F.col("workflow_count") >= rules.MIN_REPO_WORKFLOWS_FOR_SAMPLES)
+        & (F.col("sample_workflows") >= rules.MIN_SAMPLE_WORKFLOWS),
+    }
 
 
 def repo_facts(flags: DataFrame, *by: str) -> DataFrame:
     """One row per repo (and snapshot): practices, maturity, hits per pattern, and which patterns it has."""
-    aggregates = repos.practice_aggregates()
-    aggregates.update({hits(slug): F.count_if(flag(slug)) for slug in WORKFLOW_SLUGS})
-    aggregates["release_workflows"] = F.count_if("is_release")
-    aggregates["dispatch_workflows"] = F.count_if("is_dispatch")
-    aggregates["sample_workflows"] = F.count_if("is_sample")
-    aggregates["_builds"] = F.bit_or("_builds")
-    grouped = flags.groupBy(*by, "repo").agg(
-        F.count("*").alias("workflow_count"), *[column.alias(name) for name, column in aggregates.items()]
-    )
-    systems = _compact([(f"_builds & {1 << i} > 0", text.quoted(term)) for i, term in enumerate(sorted(rules.BUILD_SYSTEMS))])
-    releases, dispatches = F.col("release_workflows"), F.col("dispatch_workflows")
-    facts = grouped.withColumn("build_systems", systems).drop("_builds")
+    aggregates = [column.alias(name) for name, column in repos.practice_aggregates().items()]
+    aggregates += [F.count_if(flag(slug)).alias(hits(slug)) for slug in WORKFLOW_SLUGS]
+    grouped = flags.groupBy(*by, "repo").agg(F.count("*").alias("workflow_count"), *aggregates, *_repo_counts())
+    facts = grouped.withColumn("build_systems", _systems()).drop("_builds")
     has = {flag(slug): F.col(hits(slug)) > 0 for slug in WORKFLOW_SLUGS}
-    has[flag("multi-stage-release")] = (releases >= rules.MIN_RELEASE_WORKFLOWS) | (
-        (releases >= rules.MIN_RELEASE_WORKFLOWS_WITH_DISPATCH) & (dispatches > 0)
-    )
-    has[flag("multiple-build-systems")] = F.size("build_systems") >= rules.MIN_BUILD_SYSTEMS
-    has[flag("per-sample-ci")] = (F.col("workflow_count") >= rules.MIN_REPO_WORKFLOWS_FOR_SAMPLES) & (
-        F.col("sample_workflows") >= rules.MIN_SAMPLE_WORKFLOWS
-    )
+    has.update(_repo_flags())
     has.update({hits(slug): F.lit(0).cast("bigint") for slug in rules.REPO_LEVEL_PATTERNS})
     return repos.with_maturity(facts.withColumns(has))
 
@@ -245,7 +267,7 @@ def _written_flags(detail: DataFrame, slugs: tuple[str, ...]) -> DataFrame:
     needed = {flag(slug) for slug in slugs} | {name for slug in slugs for name in rests_on.get(slug, ())}
     blank = {"_builds": F.lit(0)}
     own = [flag(slug) for slug in WORKFLOW_SLUGS] + ["is_release", "is_dispatch", "is_sample", "_builds"]
-    flags = workflow_flags(detail).select(
+    flags = workflow_flags(detail, slugs).select(
         *_KEYS, *practice, "uses_reusable_workflows", *[name for name in own if name in needed]
     )
     absent = {name: blank.get(name, F.lit(False)) for name in own if name not in needed}

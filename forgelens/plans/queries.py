@@ -117,14 +117,7 @@ class Inputs:
 
     @cached_property
     def pattern_changes(self) -> DataFrame:
-        """Every file version is flagged once, then counted by snapshot and repo."""
-        versions = [
-            self.snapshot(which).select(F.lit(which).alias("snapshot"), "repo", "workflow_name")
-            for which in ("previous", "current")
-        ]
-        flags = patterns.of_snapshots(self.flags, versions[0].unionByName(versions[1]))
-        rows = patterns.pattern_repos(patterns.repo_facts(flags, "snapshot"), "snapshot")
-        return changes.pattern_changes(rows.select("snapshot", "repo", "slug"))
+        return changes.pattern_changes(patterns.of_snapshots(self.flags, self._of(tables.snapshot_files)))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -132,9 +125,7 @@ class Inputs:
 
     @cached_property
     def pattern_members(self) -> DataFrame:
-        """(snapshot, repo, slug) of all snapshots; every file version is flagged once."""
-        facts = patterns.repo_facts(patterns.of_snapshots(self.flags, self.members), "snapshot")
-        return patterns.pattern_repos(facts, "snapshot").select("snapshot", "repo", "slug")
+        return patterns.of_snapshots(self.flags, self.members)
 
     @cached_property
     def distinct_state(self) -> DataFrame:
@@ -265,8 +256,9 @@ def _diffs_on_shared(x: Inputs) -> DataFrame:
 
 
 def _trend_counters(x: Inputs) -> DataFrame:
+    files = x._of(tables.snapshot_files)
     return serving.trend_counters(
-        changes.workflow_changes(*x.snapshots()),
+        changes.workflow_changes(*[files.where(F.col("snapshot") == which) for which in ("previous", "current")]),
         x.pattern_changes,
         x.configs,
         signals.structure_adoption(x.files, x.observed),
@@ -279,13 +271,15 @@ def _examples(x: Inputs) -> DataFrame:
 
 def _pattern_query(slug: str) -> Callable[[Inputs], DataFrame]:
     if slug not in rules.REPO_LEVEL_PATTERNS:
-        return lambda x: patterns.workflow_hits(x.flags, slug).select("repo", "workflow_name")
+        return lambda x: patterns.workflow_hits(patterns.workflow_flags(x.detail, (slug,)), slug).select("repo", "workflow_name")
     extra = {
         "multi-stage-release": "concat(release_workflows, '/', dispatch_workflows)",
         "multiple-build-systems": "array_join(build_systems, ',')",
         "per-sample-ci": "concat(workflow_count, '/', sample_workflows)",
     }[slug]
-    return lambda x: x.facts.where(patterns.flag(slug)).selectExpr("repo", f"{extra} AS detail")
+    return lambda x: patterns.repo_facts(patterns.workflow_flags(x.detail, (slug,))).where(patterns.flag(slug)).selectExpr(
+        "repo", f"{extra} AS detail"
+    )
 
 
 def _month(column: str) -> Column:

@@ -269,6 +269,15 @@ def snapshot_orders(which: str) -> Column:
     return F.col("o_orderpriority") != absent
 
 
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshot, repo, workflow_name) of the previous and the current snapshot; the lines only tell which orders are files."""
+    filled = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    files = table(spark, sf_dir, "orders").join(filled, "o_orderkey", "left_semi")
+    named = _file_columns()
+    taken = F.array_compact(F.array(*[F.when(snapshot_orders(which), F.lit(which)) for which in ("previous", "current")]))
+    return files.select(F.explode(taken).alias("snapshot"), named["repo"].alias("repo"), named["workflow_name"].alias("workflow_name"))
+
+
 def snapshot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(snapshot, repo, workflow_name) of six monthly snapshots: a file is in those that the suppliers of its lines name."""
     lines = table(spark, sf_dir, "lineitem")
