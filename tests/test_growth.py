@@ -3,7 +3,7 @@
 import datetime
 import re
 
-from forgelens.operators import lifetimes
+from forgelens.operators import lifetimes, reuse
 from forgelens.plans.queries import build
 
 
@@ -27,3 +27,10 @@ def test_lifetimes_shuffle_members_by_their_key_alone(spark):
     assert not re.search(r"Exchange hashpartitioning\(snapshot#\d+, repo", plan)
     assert len(re.findall(r"Exchange hashpartitioning\(repo#", plan)) == 1
     assert [tuple(row) for row in whole.collect()] == [("a", "x", rows[0][0], rows[2][0], None)]
+
+
+def test_chains_are_shuffled_by_caller_alone(spark):
+    chains = reuse.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "caller string, callee string"))
+    plan = chains._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(caller#\d+, callee", plan)
+    assert {tuple(row) for row in chains.collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 1)}
