@@ -20,12 +20,14 @@ doc_id keep their number, ordered by text; an empty table gives no file rows.
 """
 
 import itertools
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,11 +41,10 @@ N_IDS = 50_257
 MAX_RULES = 65_536 - N_IDS  # a symbol has 16 bits
 BLOCK_TOKENS = 1 << 18
 MIN_USES = 16  # a rule takes the room of six symbols
-SEEDS = 3  # tried in a row before the remaining pairs count as rare
 LEVEL_RATIO = 32
-HASH_BITS = 18
-GROUP_CHARS = 1 << 20
-HELD_WORDS, JOINED_WORDS = 500_000, 1000
+HASH_BITS = 16
+GROUP_CHARS = 1 << 22
+HELD_WORDS, JOINED_WORDS = 500_000, 100
 BLOCK_SCHEMA = (
     "shard int, block int, first long, n_tokens long, doc_ids binary, lengths binary, rules binary, spans binary,"
     " symbols binary"
@@ -56,9 +57,11 @@ FIRST = "\x00"  # marks the first word of a text
 
 
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes.  The words met last are held, between ``HELD_WORDS`` and twice as many."""
+    """Ids of texts as little-endian uint32 bytes.  The words met last are held, between ``HELD_WORDS`` and twice as many
+    and those of a group.  A group's words are told apart by Arrow, so that a word is looked up once a group."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,79 +88,91 @@ class Encoder:
                 out += self.ids([" " + word for word in some])
         return out
 
-    def _learn(self, words: set[str]):
+    def _learn(self, words: list[str]):
         """Takes up words that are not held in ``recent``."""
-        known = words & self.older.keys()
-        self.recent.update((word, self.older[word]) for word in known)
-        missing = sorted(words - known)
+        known = [self.older.get(word) for word in words]
+        self.recent.update((word, ids) for word, ids in zip(words, known) if ids is not None)
+        missing = [word for word, ids in zip(words, known) if ids is None]
         inner = [word for word in missing if word[0] not in "\n\x00"]
         edge = [word for word in missing if word[0] in "\n\x00"]
         self.recent.update(zip(inner, self._after_blank(inner)))
         self.recent.update(zip(edge, self.ids([word[1:] if word[0] == FIRST else word for word in edge])))
 
-    def _of_words(self, split: list[list[str]]) -> Iterator[bytes]:
+    def _of_words(self, marked: list[str]) -> Iterator[bytes]:
         if len(self.recent) > HELD_WORDS:
             self.older, self.recent = self.recent, {}
-        found = [list(map(self.recent.get, words)) for words in split]
-        holes = [[at for at, ids in enumerate(row) if ids is None] for row in found]
-        self._learn({words[at] for words, gone in zip(split, holes) for at in gone})
-        for words, row, gone in zip(split, found, holes):
-            for at in gone:
-                row[at] = self.recent[words[at]]
-            yield b"".join(row)
+        split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
+        found = list(map(self.recent.get, distinct))
+        gone = [at for at, ids in enumerate(found) if ids is None]
+        self._learn([distinct[at] for at in gone])
+        for at in gone:
+            found[at] = self.recent[distinct[at]]
+        row = pa.array(found, pa.large_binary()).take(words.indices)
+        ends, data = np.frombuffer(row.buffers()[1], "<i8", len(row) + 1), row.buffers()[2]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for start, stop in itertools.pairwise(bounds):
+            yield data[start:stop].to_pybytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for group in grouped(texts, GROUP_CHARS):
             # a text with the literal of an added token is encoded as one
-            split = [[] if any(map(text.__contains__, self.literals)) else words_of(text) for text in group]
-            for text, words, ids in zip(group, split, self._of_words(split)):
-                yield ids if words or not text else self.ids([text])[0]
+            marked = ["" if any(map(text.__contains__, self.literals)) else marked_words(text) for text in group]
+            by_words = self._of_words(list(filter(None, marked)))
+            for text, words in zip(group, marked):
+                yield next(by_words) if words else self.ids([text])[0] if text else b""
 
 
-def words_of(text: str) -> list[str]:
-    """Pieces whose tokens do not depend on their neighbours: words, each led by the blank (left out here) or newline
-    before it.  Nothing for a text with other white space or runs of it: such a text is encoded as one."""
+def marked_words(text: str) -> str:
+    """Pieces whose tokens do not depend on their neighbours, parted by blanks: words, each led by the blank (left out
+    here) or newline before it, the first one marked.  Nothing for a text with other white space or runs of it: such a
+    text is encoded as one."""
     if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, RUNS)):
-        return []
+        return ""
     if any(map(text.__contains__, ASCII_SPACE)) or not text.isascii() and any(map(text.__contains__, OTHER_SPACE)):
-        return []
-    words = text.replace("\n", " \n").split(" ")
-    words[0] = FIRST + words[0]
-    return words
-
-
-def _level(seq: np.ndarray, seed: int, min_uses: int, room: int):
-    """(positions, ranks, pairs): pairs to replace now, and where.  A hash table of counts finds the frequent ones; of
-    pairs that share a slot the first is counted, and another seed parts them on the next level."""
-    a, b = seq[:-1], seq[1:]
-    slot = (a * np.uint32(2654435761 + 2 * seed) + b * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(32 - HASH_BITS)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << HASH_BITS) >= min_uses)[slot])
-    slots = slot[at]
-    first = np.zeros(1 << HASH_BITS, np.int64)
-    first[slots[::-1]] = at[::-1]
-    same = (a[at] == a[first[slots]]) & (b[at] == b[first[slots]])
-    at, slots = at[same], slots[same]
-    uses = np.bincount(slots, minlength=1 << HASH_BITS)
-    chosen = np.flatnonzero(uses >= max(min_uses, uses.max() // LEVEL_RATIO))
-    pairs = np.stack([a[first[chosen]], b[first[chosen]]], 1)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], -uses[chosen]))[:room]
-    rank = np.full(1 << HASH_BITS, -1, np.int32)
-    rank[chosen[order]] = np.arange(len(order))
+        return ""
+    return FIRST + text.replace("\n", " \n")
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return keys * np.uint32(2654435761) >> np.uint32(32 - HASH_BITS)
+
+
+def _level(seq: np.ndarray, hot: np.ndarray, newest: int, min_uses: int, room: int):
+    """(positions, ranks, pairs, hot): pairs to replace now, where, and the slots of pairs that may be frequent still.
+    Only pairs of hot slots and those with a symbol from ``newest`` on are counted, by sorting: no other pair got more
+    uses since it was found rare.  Of frequent pairs with one slot the first is replaced, the others on a later level."""
+    keys = seq[:-1] << np.uint32(16) | seq[1:]
+    slots, new = _slots(keys), seq >= newest
+    near = np.flatnonzero(hot[slots] | new[:-1] | new[1:])
+    keys, slots = keys[near], slots[near]
+    in_order = np.sort(keys)
+    starts = np.flatnonzero(np.append(in_order[:1] == in_order[:1], in_order[1:] != in_order[:-1]))
+    uses = np.diff(np.append(starts, len(keys)))
+    least = max(min_uses, uses.max(initial=0) // LEVEL_RATIO)
+    chosen = np.flatnonzero(uses >= least)
+    chosen = chosen[np.argsort(-uses[chosen], kind="stable")][:room]
+    pairs = in_order[starts[chosen]]
+    if not len(pairs):
+        return near[:0], near[:0], np.zeros((0, 2), np.uint32), hot
+    rank, hot = np.zeros(1 << HASH_BITS, np.int32), np.full(1 << HASH_BITS, least > min_uses)
+    rank[_slots(pairs)[::-1]] = np.arange(len(pairs))[::-1]  # of equal slots the last entry stays
+    hot[_slots(pairs)] = True
     ranks = rank[slots]
-    return at[ranks >= 0], ranks[ranks >= 0], pairs[order]
+    found = np.flatnonzero(pairs[ranks] == keys)
+    return near[found], ranks[found], np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1), hot
 
 
 def repair(symbols: np.ndarray, min_uses: int = MIN_USES, max_rules: int = MAX_RULES):
     """(symbols, rules): the shortened sequence and the pairs that the new symbols stand for."""
-    seq, rules, idle = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), 0
-    for seed in itertools.count():
-        if len(rules) >= max_rules or len(seq) < 2 or idle == SEEDS:
-            break
-        at, ranks, pairs = _level(seq, seed, min_uses, max_rules - len(rules))
+    seq, rules = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32)
+    hot, newest = np.ones(1 << HASH_BITS, bool), N_IDS
+    while len(rules) < max_rules and len(seq) > 1:
+        at, ranks, pairs, hot = _level(seq, hot, newest, min_uses, max_rules - len(rules))
+        newest = N_IDS + len(rules)
         if not len(at):
-            idle += 1
-            continue
-        idle = 0
+            break
         touches = np.append(at[1:] == at[:-1] + 1, False)  # the next pair overlaps this one
         repeats = np.append(False, touches[:-1] & (ranks[1:] == ranks[:-1]))  # aaaa: every other pair is taken
         starts = np.flatnonzero(~repeats)
@@ -165,10 +180,11 @@ def repair(symbols: np.ndarray, min_uses: int = MIN_USES, max_rules: int = MAX_R
         free = ~np.append(False, touches[:-1]) | (ranks < np.append(0, ranks[:-1]))  # of the pair before
         free = np.repeat(free[starts], np.diff(np.append(starts, len(at))))
         take = free & (offset % 2 == 0) & (~touches | (ranks <= np.append(ranks[1:], 0)))
-        used, fresh = np.unique(ranks[take], return_inverse=True)
-        seq[at[take]] = N_IDS + len(rules) + fresh
+        at, ranks = at[take], ranks[take]
+        used = np.bincount(ranks, minlength=len(pairs)) > 0
+        seq[at] = N_IDS + len(rules) + (np.cumsum(used) - 1)[ranks]
         kept = np.ones(len(seq), bool)
-        kept[at[take] + 1] = False
+        kept[at + 1] = False
         seq = seq[kept]
         rules = np.concatenate([rules, pairs[used]])
     return seq, rules
@@ -176,23 +192,30 @@ def repair(symbols: np.ndarray, min_uses: int = MIN_USES, max_rules: int = MAX_R
 
 def spans_of(rules: np.ndarray) -> np.ndarray:
     """Number of ids under each rule; rules refer to earlier ones only."""
-    spans = np.ones(N_IDS + len(rules), np.int64)
-    for r, (left, right) in enumerate(rules.tolist()):
-        spans[N_IDS + r] = spans[left] + spans[right]
-    return spans[N_IDS:]
+    spans: list[int] = []
+    for left, right in (rules.astype(np.int64) - N_IDS).tolist():
+        spans.append((spans[left] if left >= 0 else 1) + (spans[right] if right >= 0 else 1))
+    return np.array(spans, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that ``symbols`` stand for; every pass unfolds one level of all nonterminals."""
-    seq = symbols.astype(np.int64)
-    while len(seq) and seq.max() >= N_IDS:
-        inner = seq >= N_IDS
-        starts = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(inner)[:-1]])
-        out = np.empty(len(seq) + int(inner.sum()), np.int64)
-        out[starts] = np.where(inner, rules[np.where(inner, seq - N_IDS, 0), 0] if len(rules) else 0, seq)
-        out[starts[inner] + 1] = rules[seq[inner] - N_IDS, 1]
-        seq = out
-    return seq
+    """The ids that ``symbols`` stand for.  Each nonterminal among them is unfolded once, one level a pass, and its ids
+    are copied to its places."""
+    symbols = symbols.astype(np.int64)
+    met = np.flatnonzero(np.bincount(symbols, minlength=N_IDS)[N_IDS:])
+    seq, owner = met + N_IDS, np.arange(len(met))
+    while (inner := seq >= N_IDS).any():
+        width = 1 + inner
+        starts = (np.cumsum(width) - width)[inner]
+        pairs = rules[seq[inner] - N_IDS]
+        seq, owner = np.repeat(seq, width), np.repeat(owner, width)
+        seq[starts], seq[starts + 1] = pairs[:, 0], pairs[:, 1]
+    ids = np.concatenate([np.arange(N_IDS, dtype=np.uint32), seq.astype(np.uint32)])
+    own = np.bincount(owner, minlength=len(met))
+    first, spans = np.arange(N_IDS + len(rules)), np.ones(N_IDS + len(rules), np.int64)
+    first[met + N_IDS], spans[met + N_IDS] = N_IDS + np.cumsum(own) - own, own
+    width = spans[symbols]
+    return ids[np.arange(width.sum()) + np.repeat(first[symbols] - np.cumsum(width) + width, width)]
 
 
 def pack(shard: int, block: int, first: int, doc_ids: list, ids: list[bytes]) -> dict:
@@ -280,12 +303,14 @@ ROWS = pa.schema(
 def _documents(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            out, at = [], row["first"]
-            for doc_id, ids in unpack(row):
-                crc = zlib.crc32(ids.astype("<u4").tobytes())
-                out.append({"shard": row["shard"], "doc_id": doc_id, "within": at, "n_tokens": len(ids), "ids_crc32": crc})
-                at += len(ids)
-            yield pa.RecordBatch.from_pylist(out, ROWS)
+            every = list(unpack(row))
+            lengths = np.array([len(ids) for _, ids in every])
+            sums = [zlib.crc32(ids.astype("<u4", copy=False)) for _, ids in every]
+            columns = [
+                np.full(len(every), row["shard"], np.int32), [doc_id for doc_id, _ in every],
+                row["first"] + np.cumsum(lengths) - lengths, lengths, sums,
+            ]
+            yield pa.record_batch([pa.array(x, field.type) for x, field in zip(columns, ROWS)], schema=ROWS)
 
 
 def read_back(files: DataFrame) -> DataFrame:

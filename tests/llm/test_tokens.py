@@ -36,6 +36,24 @@ def test_frequent_pairs_become_rules():
     assert len(symbols) < 40 and len(rules) >= 3
 
 
+def test_no_frequent_pair_is_left_among_many_rare_ones():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 40_000, 600_000).astype(np.uint32)
+    places = rng.choice(len(ids) // 2 - 1, (400, 20), replace=False) * 2
+    for pair, at in enumerate(places):  # 400 pairs, each 20 times
+        ids[at], ids[at + 1] = 41_000 + pair, 42_000 + pair
+    symbols, rules = token_output.repair(ids, 16)
+    assert token_output.expand(symbols, rules).tolist() == ids.tolist()
+    _, uses = np.unique(symbols[:-1].astype(np.int64) << 16 | symbols[1:], return_counts=True)
+    assert len(rules) >= 400 and uses.max() < 16
+
+
+def test_long_runs_are_unfolded():
+    ids = [7] * 100_000 + [8, 9] * 1000
+    symbols, rules = token_output.repair(np.array(ids, np.uint32), 2)
+    assert len(symbols) < 100 and token_output.expand(symbols, rules).tolist() == ids
+
+
 @pytest.mark.parametrize("block", [64, 1 << 18])
 def test_files_hold_every_id(spark, monkeypatch, block):
     from tokenizers import Tokenizer
@@ -86,6 +104,29 @@ def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
     assert len(encoder.recent) <= 100 and len(encoder.older) <= 100
 
 
+def test_a_word_is_looked_up_once_a_group():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            self.looked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            self.looked += 1
+            return super().__getitem__(key)
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(token_output.VOCABULARY)
+    encoder, tokenizer = token_output.Encoder(path), Tokenizer.from_file(path)
+    encoder.recent = Counted()
+    texts = ["naïve words, met\nagain and again " * 100 + "end"] * 20
+    ids = tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids] * 20
+    assert encoder.recent.looked <= 2 * len(encoder.recent)
+
+
 def test_word_table_forgets_but_stays_right():
     calls = []
 
