@@ -67,25 +67,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.literals = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
-        self.leads[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
+        self.leads = {}  # ids that begin with a blank, with a newline
+        for space, mark in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.leads[space] = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.leads[space][[i for piece, i in vocabulary.items() if piece.startswith(mark)]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _after_blank(self, words: list[str]) -> list[bytes]:
-        """Words that a blank leads, many in one text, cut where a token begins with a blank."""
+    def _after(self, space: str, words: list[str]) -> list[bytes]:
+        """Words with the blank or newline that leads them, many in one text, cut where a token begins with it."""
         out = []
         for at in range(0, len(words), JOINED_WORDS):
             some = words[at : at + JOINED_WORDS]
-            raw = self.ids([" " + " ".join(some)])[0]
-            cuts = (4 * np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")])).tolist()
+            raw = self.ids([space + space.join(some)])[0]
+            cuts = (4 * np.flatnonzero(self.leads[space][np.frombuffer(raw, "<u4")])).tolist()
             if len(cuts) == len(some) and cuts[0] == 0:
                 out += [raw[start:stop] for start, stop in zip(cuts, [*cuts[1:], len(raw)])]
             else:  # of another kind of vocabulary
-                out += self.ids([" " + word for word in some])
+                out += self.ids([space + word for word in some])
         return out
 
     def _learn(self, words: list[str]):
@@ -94,9 +96,11 @@ class Encoder:
         self.recent.update((word, ids) for word, ids in zip(words, known) if ids is not None)
         missing = [word for word, ids in zip(words, known) if ids is None]
         inner = [word for word in missing if word[0] not in "\n\x00"]
-        edge = [word for word in missing if word[0] in "\n\x00"]
-        self.recent.update(zip(inner, self._after_blank(inner)))
-        self.recent.update(zip(edge, self.ids([word[1:] if word[0] == FIRST else word for word in edge])))
+        lines = [word for word in missing if word[0] == "\n"]
+        first = [word for word in missing if word[0] == FIRST]
+        self.recent.update(zip(inner, self._after(" ", inner)))
+        self.recent.update(zip(lines, self._after("\n", [word[1:] for word in lines])))
+        self.recent.update(zip(first, self.ids([word[1:] for word in first])))
 
     def _of_words(self, marked: list[str]) -> Iterator[bytes]:
         if len(self.recent) > HELD_WORDS:

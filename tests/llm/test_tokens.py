@@ -127,6 +127,19 @@ def test_a_word_is_looked_up_once_a_group():
     assert encoder.recent.looked <= 2 * len(encoder.recent)
 
 
+def test_words_after_newlines_are_encoded_many_to_a_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(token_output.VOCABULARY)
+    encoder, tokenizer, given_texts = token_output.Encoder(path), Tokenizer.from_file(path), []
+    plain = encoder.ids
+    monkeypatch.setattr(encoder, "ids", lambda texts: given_texts.extend(texts) or plain(texts))
+    text = "\n".join(f"{lead}é{i}." for i in range(150) for lead in ("'s", "Line", "(#"))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([text])] == [ids]
+    assert len(given_texts) <= 6
+
+
 def test_word_table_forgets_but_stays_right():
     calls = []
 
